@@ -17,17 +17,20 @@ SECTIONS = {
 
 
 def _whole_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    """One row per file. The language is the ``lang=`` directory if there is one, else the file's name."""
+    files = spark.read.text(path, wholetext=True)
+    named = F.regexp_extract("_metadata.file_name", r"([^/]+)\.json$", 1)
+    return files.select("value", (F.col("lang") if "lang" in files.columns else named).alias("lang"))
 
 
 def load_lookup(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """``(lang, id, name)`` from files named ``<lang>.json``."""
+    """``(lang, id, name)`` from files ``<lang>.json`` or ``lang=<lang>/...``."""
     section = SECTIONS[kind]
     text = F.col("value") if section is None else F.get_json_object("value", f"$.{section}")
     return (
         _whole_files(spark, path)
         .select(
-            F.regexp_extract("file", r"([^/]+)\.json$", 1).alias("lang"),
+            "lang",
             F.explode(F.from_json(text, "map<string,string>")).alias("id", "name"),
         )
         .select("lang", F.col("id").try_cast("int").alias("id"), "name")

@@ -85,7 +85,7 @@ def _raids(parsed: DataFrame) -> DataFrame:
     return parsed.select(
         F.col("m.gym_id").alias("gym"), "m.gym_name",
         _number("m.latitude", "double").alias("lat"), _number("m.longitude", "double").alias("lon"),
-        F.col("m.pokemon_id").alias("boss"), _number("m.level", "int").alias("lvl"), "m.form", "m.costume",
+        _number("m.pokemon_id", "int").alias("boss"), _number("m.level", "int").alias("lvl"), "m.form", "m.costume",
         F.col("m.team_id").alias("team"),
         _flag("m.is_exclusive").alias("exclusive"), _flag("m.ex_raid_eligible").alias("ex_eligible"),
         _number("m.spawn", "bigint").alias("spawn"), _number("m.start", "bigint").alias("start_ts"),

@@ -77,4 +77,4 @@ def restore_rollups(spark: SparkSession, path: str) -> DataFrame:
 
 def write_report(df: DataFrame, path: str) -> None:
     """Report rows as JSON lines."""
-    df.write.mode("overwrite").json(path, timestampNTZFormat="yyyy-MM-dd HH:mm:ss", dateFormat="yyyy-MM-dd")
+    df.write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").json(path)
