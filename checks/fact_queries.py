@@ -187,8 +187,8 @@ def h3_top(f: Frames) -> DataFrame:
 for _id, _kind, _plan, _filter, _where in (
     ("H4_quest_item_map", "quest_item_facts", PM.quest_item_map, {"ar_item_ids": "4,10,16,22"},
      "(mode = 1 AND item_id IN (4, 10, 16, 22))"),
-    ("H5_quest_creature_map", "quest_creature_facts", PM.quest_creature_map, {"normal_task_types": "2,4,6,8", "mode": "0"},
-     "mode = 0 AND task_type IN (2, 4, 6, 8)"),
+    ("H5_quest_creature_map", "quest_creature_facts", PM.quest_creature_map, {"ar_task_types": "2,4,6,8", "mode": "1"},
+     "mode = 1 AND task_type IN (2, 4, 6, 8)"),
 ):
     _spec = (_kind, "pokestops", "pokestop", "pokestop_name", "mode, task_type", "LEFT JOIN", "pokestop, mode, task_type")
 

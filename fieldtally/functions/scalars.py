@@ -36,7 +36,11 @@ def epoch_to_ntz(epoch: Column) -> Column:
 
 def to_area_local(epoch: Column, offset_hours: Column, sender_offset: int = 0) -> Column:
     """Undo the sender's offset, then apply the area's."""
-    return epoch_to_ntz(epoch.cast("bigint") + (offset_hours.cast("bigint") - F.lit(int(sender_offset))) * 3600)
+    return epoch_to_ntz(local_epoch(epoch, offset_hours, sender_offset))
+
+
+def local_epoch(epoch: Column, offset_hours: Column, sender_offset: int = 0) -> Column:
+    return epoch.cast("bigint") + (offset_hours.cast("bigint") - F.lit(int(sender_offset))) * 3600
 
 
 def iv_bucket(iv: Column) -> Column:
@@ -80,6 +84,19 @@ def bucket(ts: Column, grain: str) -> Column:
     raise ValueError(f"unknown grain {grain!r}; use one of {GRAINS}")
 
 
+_BUCKET_SECONDS = {"minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+_FIRST_MONDAY = 4 * 86400  # 1970-01-05
+
+
+def bucket_epoch(epoch: Column, grain: str) -> Column:
+    """The same bucket start as :func:`bucket`, from and to epoch seconds: integer arithmetic for hot loops."""
+    if grain == "month":
+        day = F.date_from_unix_date(F.floor(epoch / 86400).cast("int"))
+        return F.unix_date(F.trunc(day, "month")).cast("bigint") * 86400
+    shift = _FIRST_MONDAY if grain == "week" else 0
+    return epoch - F.pmod(epoch - shift, F.lit(_BUCKET_SECONDS[grain]))
+
+
 def yymm(ts: Column) -> Column:
     """Month as the integer YYMM."""
     return ((F.year(ts) % 100) * 100 + F.month(ts)).cast("int")

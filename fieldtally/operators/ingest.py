@@ -1,53 +1,61 @@
-"""Raw family frames to localised events: validity, area, area-local time, derived columns."""
+"""Valid raw family frames to localised events: area, area-local time, derived columns.
+
+Validity is checked where payloads are routed. Keeping it out of this step keeps the map stage's
+generated code small enough for the JVM to compile.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.functions import scalars as S
-from fieldtally.functions.predicates import valid_invasions, valid_raids, valid_sightings
 from fieldtally.operators.spatial import AreaIndex, assign_area
 
 Areas = DataFrame | AreaIndex
 
 
-def _local(epoch: str, sender_offset: int):
-    return S.to_area_local(F.col(epoch), F.col("offset_hours"), sender_offset)
+def _local(name: str, epoch: str, sender_offset: int) -> dict[str, Column]:
+    """Area-local time twice: as a timestamp ``<name>_at`` and as epoch seconds ``<name>_epoch`` for counting."""
+    offset = F.col("offset_hours")
+    return {
+        f"{name}_at": S.to_area_local(F.col(epoch), offset, sender_offset),
+        f"{name}_epoch": S.local_epoch(F.col(epoch), offset, sender_offset),
+    }
 
 
 def ingest_sightings(raw: DataFrame, areas: Areas, sender_offset: int = 0) -> DataFrame:
-    rows = assign_area(valid_sightings(raw), areas)
+    rows = assign_area(raw, areas)
     return rows.withColumns(
         {
             "iv": S.iv_pct(F.col("atk"), F.col("dfn"), F.col("sta")),
-            "seen_at": _local("first_seen", sender_offset),
+            **_local("seen", "first_seen", sender_offset),
             "despawn_s": S.despawn_seconds(F.col("disappear_time"), F.col("first_seen")),
         }
     )
 
 
 def ingest_raids(raw: DataFrame, areas: Areas, sender_offset: int = 0) -> DataFrame:
-    rows = assign_area(valid_raids(raw), areas)
+    rows = assign_area(raw, areas)
     return rows.withColumns(
         {
-            "seen_at": _local("spawn", sender_offset),
-            "start_at": _local("start_ts", sender_offset),
-            "end_at": _local("end_ts", sender_offset),
+            **_local("seen", "spawn", sender_offset),
+            **_local("start", "start_ts", sender_offset),
+            **_local("end", "end_ts", sender_offset),
         }
     )
 
 
 def ingest_quests(raw: DataFrame, areas: Areas, sender_offset: int = 0) -> DataFrame:
     """Takes flat quests (first reward already picked, see :mod:`fieldtally.operators.derive`)."""
-    rows = assign_area(raw, areas).withColumn("seen_at", _local("updated", sender_offset))
+    rows = assign_area(raw, areas).withColumns(_local("seen", "updated", sender_offset))
     if "mode" not in rows.columns:
         rows = rows.withColumn("mode", F.when(F.col("with_ar"), "ar").otherwise("normal"))
     return rows
 
 
 def ingest_invasions(raw: DataFrame, areas: Areas, sender_offset: int = 0) -> DataFrame:
-    return assign_area(valid_invasions(raw), areas).withColumn("start_at", _local("start_ts", sender_offset))
+    return assign_area(raw, areas).withColumns(_local("start", "start_ts", sender_offset))
 
 
 INGEST = {

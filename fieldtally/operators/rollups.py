@@ -7,7 +7,7 @@ counted side by side and turned into rows after the aggregation, not before.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +48,6 @@ class RollupSpec:
     #: dimensions of the minute grain, where they differ
     minute_dims: tuple[str, ...] | None = None
     minute_metrics: tuple[str, ...] | None = None
-    derived: dict = field(default_factory=dict)
 
     def dims_at(self, grain: str) -> tuple[str, ...]:
         return self.minute_dims if grain == "minute" and self.minute_dims is not None else self.dims
@@ -60,19 +59,19 @@ class RollupSpec:
 _ALL = ("minute", "hour", "day", "week")
 
 ROLLUPS = {
-    "sightings": RollupSpec("sightings", "seen_at", ("species", "form"), _ALL, tuple(SIGHTING_METRICS)),
-    "tth": RollupSpec("sightings", "seen_at", ("tth_bucket",), _ALL),
-    "weather_iv": RollupSpec("sightings", "seen_at", ("weather_flag", "iv_bucket"), ("month",)),
+    "sightings": RollupSpec("sightings", "seen_epoch", ("species", "form"), _ALL, tuple(SIGHTING_METRICS)),
+    "tth": RollupSpec("sightings", "seen_epoch", ("tth_bucket",), _ALL),
+    "weather_iv": RollupSpec("sightings", "seen_epoch", ("weather_flag", "iv_bucket"), ("month",)),
     "raids": RollupSpec(
-        "raids", "start_at", ("boss", "level", "form", "costume", "exclusive", "ex_eligible"), _ALL,
+        "raids", "start_epoch", ("boss", "level", "form", "costume", "exclusive", "ex_eligible"), _ALL,
         minute_dims=("boss", "level", "form"), minute_metrics=tuple(RAID_METRICS),
     ),
     "quests": RollupSpec(
-        "quests", "seen_at",
+        "quests", "seen_epoch",
         ("mode", "task_type", "reward_type", "item_id", "amount", "creature_id", "creature_form"), _ALL,
     ),
     "invasions": RollupSpec(
-        "invasions", "start_at", ("display_type", "character_id", "grunt", "confirmed"), _ALL,
+        "invasions", "start_epoch", ("display_type", "character_id", "grunt", "confirmed"), _ALL,
         minute_dims=("display_type", "grunt", "confirmed"),
     ),
 }
@@ -102,11 +101,11 @@ def rollup(events: DataFrame, family: str, grain: str) -> DataFrame:
         raise ValueError(f"{family} has no {grain} rollup")
     dims, metrics = spec.dims_at(grain), spec.metrics_at(grain)
     flags = {"sightings": sighting_flags, "raids": raid_flags}.get(family, lambda: {"total": F.lit(True)})()
-    keyed = _shaped(events, family).withColumn("bucket", S.bucket(F.col(spec.time), grain))
-    counted = keyed.groupBy("area", "bucket", *dims).agg(
+    keyed = _shaped(events, family).withColumn("_start", S.bucket_epoch(F.col(spec.time), grain))
+    counted = keyed.groupBy("area", "_start", *dims).agg(
         *[F.count("*").alias(m) if m == "total" else F.count_if(flags[m]).alias(m) for m in metrics]
     )
-    return _to_rows(counted, dims, metrics)
+    return _to_rows(counted.withColumn("bucket", S.epoch_to_ntz(F.col("_start"))), dims, metrics)
 
 
 def _to_rows(counted: DataFrame, dims: tuple[str, ...], metrics: tuple[str, ...]) -> DataFrame:

@@ -87,7 +87,11 @@ class AreaIndex:
         else:
             joined = salted_join(keyed, self.cells, keys)
         hits = F.filter("_areas", lambda a: a["whole"] | strictly_inside(a["edges"], x, y))
-        return joined.select(*df.columns, F.explode(F.slice(hits, 1, 1) if first_only else hits).alias("hit"))
+        if first_only:
+            # most points lie in a cell whose first area covers it entirely
+            sure = F.get("_areas", F.lit(0))["whole"]
+            hits = F.when(sure, F.slice("_areas", 1, 1)).otherwise(F.slice(hits, 1, 1))
+        return joined.select(*df.columns, F.explode(hits).alias("hit"))
 
 
 def _cell(value: Column, step: float) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldtally import schemas as M
 from fieldtally.functions import scalars as S
-from fieldtally.functions.predicates import valid_quests
+from fieldtally.functions.predicates import valid_invasions, valid_quests, valid_raids, valid_sightings
 from fieldtally.operators.derive import first_reward, quest_labels
 
 
@@ -122,6 +122,11 @@ def flat_quests(quests: DataFrame) -> DataFrame:
 
 
 def routed_raw(payloads: DataFrame) -> dict[str, DataFrame]:
-    """Routed frames in the shape the ingest step takes."""
+    """Routed, valid frames in the shape the ingest step takes."""
     frames = route(payloads)
-    return {**frames, "quests": flat_quests(frames["quests"])}
+    return {
+        "sightings": valid_sightings(frames["sightings"]),
+        "raids": valid_raids(frames["raids"]),
+        "quests": flat_quests(frames["quests"]),
+        "invasions": valid_invasions(frames["invasions"]),
+    }
