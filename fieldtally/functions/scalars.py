@@ -151,9 +151,17 @@ def to_double(x: Column, default: float | None = None) -> Column:
 
 
 def hex_to_id(x: Column) -> Column:
-    """Hexadecimal text to a signed 64-bit id; values beyond that range give null."""
-    digits = F.regexp_replace(strip(x), "^0+(?=.)", "")
-    return F.when(F.length(digits) <= 16, F.conv(digits, 16, 10).try_cast("bigint"))
+    """Hexadecimal text to a signed 64-bit id; values beyond that range give null.
+
+    Short texts without blanks at the ends, which is nearly all of them, need no trimming.
+    """
+
+    def convert(text: Column) -> Column:
+        return F.conv(text, 16, 10).try_cast("bigint")
+
+    plain = (F.length(x) <= 16) & (F.ascii(x) > 32) & (F.ascii(F.substring(x, -1, 1)) > 32)
+    digits = F.ltrim(strip(x), F.lit("0"))
+    return F.when(plain, convert(x)).when(F.length(digits) <= 16, convert(F.concat(F.lit("0"), digits)))
 
 
 def shiny_odds(pct: Column) -> Column:

@@ -22,11 +22,14 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     """Join in which every key of the left side is spread over ``salts`` tasks.
 
     The right side must be unique per key; it is repeated once per salt. For use where the left
-    side's rows may share one key and the right side is too large to broadcast.
+    side's rows may share one key and the right side is too large to broadcast. The salt comes from
+    the row's values (its ``arrival`` if it has one), not from a random number: a task that runs again
+    after a lost executor must send its rows to the same places.
     """
-    spread = left.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int"))
+    parts = ["arrival"] if "arrival" in left.columns else left.columns
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in parts]), F.lit(salts)).cast("int")
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return left.withColumn("_salt", salt).join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def first_coords(df: DataFrame, key: str = "spawnpoint_hex", order: str = "arrival") -> DataFrame:
