@@ -71,7 +71,7 @@ def i5(f: Frames) -> DataFrame:
     return PD.global_snapshot(f.roll("sightings", "hour"), "sightings", f.sel(start="24 hours", end="now"))
 
 
-_ALLTIME = "r JOIN areas a USING (area) WHERE bucket >= TIMESTAMP '2024-01-02' AND bucket < TIMESTAMP '2024-02-20 12:00:00' + to_hours(a.offset_hours)"
+_ALLTIME = "r JOIN areas a USING (area) WHERE bucket >= TIMESTAMP '2024-01-01' AND bucket < TIMESTAMP '2024-02-20 12:00:00' + to_hours(a.offset_hours)"
 
 
 @query("I5_global_sightings_alltime", f"SELECT 'metric' AS section, metric AS key, {CNT} FROM r_sightings_day {_ALLTIME} GROUP BY metric")
@@ -387,7 +387,7 @@ def j7_series(f: Frames) -> DataFrame:
 
 def _streamed(f: Frames, job) -> str:
     path, mark = scratch_dir(f.spark, "live"), scratch_dir(f.spark, "mark")
-    stream = stream_payloads(f.spark, write_payloads(f), max_files=3)
+    stream = stream_payloads(f.spark, write_payloads(f), max_files=2)
     job(stream, f.areas, path, mark).awaitTermination()
     return path
 
