@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.base import NOW, Frames, query, window
-from checks.fact_queries import AREA, FROM, SEEN, TO, heatmap_sql, named_map_sql, shiny_sql, _INVASION, _RAID
+from checks.base import NOW, Frames, query
+from checks.fact_queries import _INVASION, _RAID, AREA, FROM, TO, heatmap_sql, named_map_sql, shiny_sql
 from checks.payload_files import write_payloads
 from checks.rollup_queries import CNT, HOUR, W
-from checks.scalars_joins import _CLASS, _E, _named_species, _REWARD_SOURCE
+from checks.scalars_joins import _CLASS, _named_species
 from fieldtally.operators import derive as D
 from fieldtally.operators import merge as G
 from fieldtally.operators import retention as RT
+from fieldtally.operators.rollups import merge_deltas, rollup
 from fieldtally.operators.spatial import count_points_by_area
 from fieldtally.plans import derived as PD
 from fieldtally.plans import maps as PM
 from fieldtally.plans import series as PS
 from fieldtally.plans import shiny as PH
 from fieldtally.plans import totals as PT
+from fieldtally.plans.selection import select_rows
 from fieldtally.session import scratch_dir
 from fieldtally.sources import tables as ST
 from fieldtally.sources.payloads import stream_payloads
@@ -303,8 +305,6 @@ def i20_page(f: Frames) -> DataFrame:
         UNION ALL SELECT 'confirmed', CASE WHEN confirmed = 1 THEN 'Confirmed' ELSE 'Unconfirmed' END, {CNT} FROM r GROUP BY confirmed""",
 )
 def i21(f: Frames) -> DataFrame:
-    from fieldtally.plans.selection import select_rows
-
     return PD.top_characters(select_rows(f.roll("invasions", "hour"), f.sel()))
 
 
@@ -447,8 +447,6 @@ def k2_points(f: Frames) -> DataFrame:
 @query("K3_merge_late_deltas", "SELECT * FROM r_sightings_hour")
 def k3(f: Frames) -> DataFrame:
     """Events split into an early and a late delivery of the same hours; the deltas add up."""
-    from fieldtally.operators.rollups import merge_deltas, rollup
-
     events = f.events("sightings")
     early = rollup(events.where("arrival % 3 <> 0"), "sightings", "hour").withColumn("batch_id", F.lit(0))
     late = rollup(events.where("arrival % 3 = 0"), "sightings", "hour").withColumn("batch_id", F.lit(1))

@@ -7,8 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.base import NOW, START, END, Frames, first_by, query, window
+from checks.base import END, NOW, START, Frames, query, window
 from checks.payload_files import write_payloads
+from fieldtally import schemas as M
 from fieldtally.functions import predicates as P
 from fieldtally.operators import merge as G
 from fieldtally.plans.selection import area_windows, where_areas
@@ -83,7 +84,7 @@ def a4(f: Frames) -> DataFrame:
     feature = """{"type":"Feature","properties":{"name":"%s","id":%s,"offset_hours":%s},"geometry":{"type":"%s","coordinates":%s}}"""
     rows = f.areas.select(
         F.format_string(
-            feature.replace("%s", "%s"), F.concat(F.lit("  "), "area", F.lit(" ")), F.col("area_id").cast("string"),
+            feature, F.concat(F.lit("  "), "area", F.lit(" ")), F.col("area_id").cast("string"),
             F.col("offset_hours").cast("string"), F.lit("Polygon"), F.to_json(F.array(point)),
         ).alias("good"),
         F.format_string(
@@ -121,8 +122,6 @@ def a6(f: Frames) -> DataFrame:
 
 @query("A7_write_months", "SELECT * FROM shiny_months")
 def a7(f: Frames) -> DataFrame:
-    from fieldtally import schemas as M
-
     path = scratch_dir(f.spark, "months")
     ST.write_months(G.shiny_counts(f.events("sightings")), path)
     return ST.read_table(f.spark, path, M.SHINY_MONTHS)

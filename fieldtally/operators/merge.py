@@ -6,14 +6,13 @@ before the shuffle, so no task ever holds all rows of a hot key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally import schemas as M
 from fieldtally.functions import scalars as S
 from fieldtally.functions.predicates import valid_coords
 from fieldtally.operators.derive import quest_kind
-from fieldtally.operators.rollups import merge_deltas  # noqa: F401  (shared additive merge)
 
 
 def sighting_fact_rows(events: DataFrame) -> DataFrame:
@@ -162,8 +161,6 @@ def register_areas(existing: DataFrame, names: DataFrame) -> DataFrame:
     Names are compared without regard to case. The list of unseen names is configuration, a few
     hundred rows at most, which is what makes the single ordered numbering acceptable.
     """
-    from pyspark.sql import Window
-
     tidy = names.select(S.strip(F.regexp_replace("area", r"\s+", " ")).alias("area")).where("area <> ''")
     unique = tidy.groupBy(F.lower("area").alias("_low")).agg(F.min("area").alias("area"))
     unseen = unique.join(existing.select(F.lower("area").alias("_low")), "_low", "left_anti")
