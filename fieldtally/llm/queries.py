@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import decontam, mixing, near_dup, quality, sharding
+from fieldtally.llm import chat, decontam, html_text, langid, mixing, near_dup, pitman_yor, quality, secret_scan, sharding
 from fieldtally.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,34 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 @query("op8_winnowing", OP8)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: a conversation whose texts hold what looks like the template's control strings
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+@query("op3_chat_format")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    return chat.conversation_report(rows.unionByName(tricky))
+
+
+@query("op5_word_backoff")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_blob_ledger")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_site_templates")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(table(spark, sf_dir, "pages"))
+
+
+@query("op9_pitman_yor")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_report(table(spark, sf_dir, "documents"))
