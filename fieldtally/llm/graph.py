@@ -15,7 +15,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     fraction in each round, so rounds grow with the logarithm of the longest path. A null end is not an edge.
     """
     both = edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
-    both = stored(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{label}-edges")
+    both = stored(both, f"{label}-edges")
+    both = both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), f"{label}-0")
     while True:
         known = labels.select(F.col("node").alias("b"), F.col("root").alias("_near"))

@@ -7,9 +7,9 @@ arrival. A process ends early once its next arrival is later than the latest fir
 agree in a register with the probability of their probability Jaccard similarity (equal to Jaccard where all weights are 1).
 
 Texts with equal words share a node. Nodes that agree in a band of registers are candidates; a link is a candidate pair with
-an exact probability Jaccard of 0.8 or more; a class is a component of links. Within a bucket, members are compared with one
-centre, then components are formed, and only pairs of different components are left to compare: after a few such rounds,
-all of them are. So no bucket is expanded into all its pairs, and no candidate pair between different classes is left out.
+an exact probability Jaccard of 0.8 or more; a class is a component of links. Small buckets are compared pair by pair. In a larger one, members are compared with one
+centre, then components are formed, and only pairs of different components are left to compare; at the end all of these
+are. So no group of copies is expanded into all its pairs, and no candidate pair between different classes is left out.
 
 Defined cases: a null text is a class of its own; texts without words are copies of each other; repeated rows are copies; the
 class id is the smallest id of the class (null if all its ids are null); an empty table gives an empty result. Only id and
@@ -46,8 +46,10 @@ SKETCH = Sketch()
 ID_BITS = np.uint64(50)
 #: rows of the largest table of wanted ids that is broadcast; beyond, it is shuffled
 BROADCAST_ROWS = 1_000_000
-#: rounds of comparing with one centre before all remaining pairs are compared
-STAR_ROUNDS = 4
+#: buckets of so many members are compared pair by pair at once
+FEW = 16
+#: mean members outside the largest component from which on another round of centres is tried, and sizes of blocks
+MINOR, BLOCK, PROBES = 1024, 256, 2048
 
 
 def shingles(piece, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -176,52 +178,101 @@ def verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary, similarity double")
 
 
-def links(docs: DataFrame, sketches: DataFrame, sketch: Sketch) -> tuple[DataFrame, DataFrame | None]:
-    """Verified links (a, b, similarity) between nodes, enough to connect every class; node and root of their components."""
+def links(docs: DataFrame, sketches: DataFrame, sketch: Sketch) -> DataFrame:
+    """node and root: components of the verified links, which connect every class."""
     entries = sketches.select(F.explode("keys").alias("key"), "node").distinct()
-    crowded = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    crowded = entries.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("centre")).where("n > 1")
     members = stored(entries.join(crowded, "key"), "near-members")
-    wanted = stored(sketches.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("id").alias("id")), "near-wanted")
-    ids = wanted.select("id").distinct()
+    wanted = stored(sketches.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "near-wanted")
+    ids = wanted.select(F.col("id").alias("_id")).distinct()
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    again = docs.join(ids.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    again = docs.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
     rows = stored(shingle_rows(again.select("text"), sketch.width).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "near-shingles")
-    found: DataFrame | None = None
-    roots: DataFrame | None = None
-    tested: DataFrame | None = None
-    for turn in range(STAR_ROUNDS + 1):
-        placed = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        groups = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("first"))
-        mixed_keys = groups.groupBy("key").agg(
-            F.count("*").alias("groups"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("within"), F.min_by("first", F.xxhash64("first", F.lit(turn))).alias("centre")
-        ).where("groups > 1")
-        groups, mixed_keys = stored(groups, "near-groups"), stored(mixed_keys, "near-keys")
-        size = mixed_keys.agg(F.sum("all").alias("rows"), F.sum((F.col("all") * F.col("all") - F.col("within")) / 2).alias("pairs")).first()
+    # All pairs of small buckets, so at most FEW / 2 a member; of others, the members with the bucket's centre.
+    listed = members.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list("node").alias("all"))
+    later = lambda a: F.transform(F.filter("all", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = listed.select(F.explode(F.flatten(F.transform("all", later))).alias("pair")).select("pair.*")
+    stars = members.where((F.col("n") > FEW) & (F.col("node") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    roots = connected(pairs.union(stars), rows, sketch, None)
+    rest, before, turn = members.where(F.col("n") > FEW).select("key", "node"), float("inf"), 0
+    while True:
+        turn += 1
+        placed = stored(rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-placed")
+        order = F.xxhash64("node", F.lit(turn))
+        groups = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("order"), F.col("node").alias("centre"), F.col("root").alias("own"))).alias("first"))
+        split = stored(
+            groups.groupBy("key")
+            .agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots"), F.min("first").alias("first"))
+            .where("roots > 1")
+            .select("key", "all", (F.col("all") - F.col("most.n")).alias("minor"), F.col("most.root").alias("major"), "first.centre", "first.own"),
+            "near-split",
+        )
+        size = split.agg(F.sum("all").alias("rows"), F.sum(F.col("all") * F.col("minor")).alias("pairs")).first()
         if not size["rows"]:
-            break
-        last = turn == STAR_ROUNDS or turn > 0 and size["pairs"] <= 4 * size["rows"]
-        if last:  # every pair of different components in a bucket
-            one = groups.join(mixed_keys.select("key"), "key").select("key", "root")
-            cross = one.join(one.withColumnRenamed("root", "other"), "key").where("root < other")
-            side = placed.select("key", "root", F.col("node").alias("a"))
-            pairs = cross.join(side, ["key", "root"]).join(side.select("key", F.col("root").alias("other"), F.col("a").alias("b")), ["key", "other"])
-        else:  # the bucket's centre with every member of another component
-            pairs = placed.join(mixed_keys.select("key", "centre"), "key").join(
-                placed.select("key", F.col("node").alias("centre"), F.col("root").alias("_own")), ["key", "centre"]
-            ).where("root <> _own").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "near-pairs")
-        fresh = stored(verified(pairs, rows, sketch.least), "near-links")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = fresh if found is None else found.union(fresh)
-        if fresh.limit(1).count():
-            roots = components(found.select("a", "b"), "near-roots")
+            return roots
+        # A centre costs a comparison a member. Once that no longer joins groups, or little is left, all members outside a
+        # bucket's largest component are compared with all members of other components.
+        last = size["pairs"] <= MINOR * size["rows"] or size["pairs"] > before / 2
+        before = size["pairs"]
         if last:
-            break
-    return found, roots
+            edges = block_links(placed.join(split.select("key", "all", "minor", "major"), "key"), rows, sketch)
+            return components(edges.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "near-roots")
+        rest = placed.join(split, "key")
+        roots = connected(rest.where("root <> own").select(F.col("centre").alias("a"), F.col("node").alias("b")), rows, sketch, roots)
+        rest = stored(rest.select("key", "node"), "near-rest")
+
+
+def block_links(members: DataFrame, rows: DataFrame, sketch: Sketch) -> DataFrame:
+    """Links a, b between members of different components in a bucket. ``members``: key, node, root, all, minor, major.
+
+    The members outside the largest component are cut into blocks of about BLOCK, all members into blocks of about
+    PROBES; a task holds one of either, so memory is bounded and no row is made for a pair without a link.
+    """
+    blocks, probes = F.ceil(F.col("minor") / BLOCK).cast("int"), F.ceil(F.col("all") / PROBES).cast("int")
+    of_block, of_probe = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int"), F.pmod(F.xxhash64("node", F.lit("probe")), probes).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    builds = members.where("root <> major").select("key", of_block.alias("block"), every(probes).alias("probe"), F.lit(True).alias("build"), "node", "root")
+    others = members.select("key", every(blocks).alias("block"), of_probe.alias("probe"), F.lit(False).alias("build"), "node", "root")
+    held = builds.union(others).join(rows, "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        lists = {}
+        for name in ("ids", "weights"):
+            column = table.column(name).combine_chunks()
+            values, offsets = np.asarray(column.values), np.asarray(column.offsets)
+            lists[name] = [values[offsets[i] : offsets[i + 1]] for i in range(len(column))]
+        nodes, roots, build = (table.column(c).to_pylist() for c in ("node", "root", "build"))
+        left = [i for i, x in enumerate(build) if x]
+        known, at = np.unique(np.concatenate([lists["ids"][i] for i in left]) if left else np.zeros(0, np.int64), return_inverse=True)
+        shares = np.zeros((len(left), len(known)))
+        owner = np.repeat(np.arange(len(left)), [len(lists["ids"][i]) for i in left])
+        shares[owner, at] = np.concatenate([lists["weights"][i] / lists["weights"][i].sum() for i in left]) if left else 0.0
+        found: set[tuple[int, bytes]] = set()
+        links: list[tuple[bytes, bytes]] = []
+        for j in (i for i, x in enumerate(build) if not x):
+            ids, weights = lists["ids"][j], lists["weights"][j]
+            place = np.minimum(np.searchsorted(known, ids), max(len(known) - 1, 0))
+            hit = known[place] == ids if len(known) else np.zeros(len(ids), bool)
+            # the overlap of the two distributions is an upper bound of the similarity
+            overlap = np.minimum(shares[:, place[hit]], (weights / weights.sum())[hit]).sum(axis=1)
+            for k in np.flatnonzero(overlap >= sketch.least - 1e-9):
+                i = left[k]
+                if roots[i] != roots[j] and (i, roots[j]) not in found and probability_jaccard(lists["ids"][i], lists["weights"][i], ids, weights) >= sketch.least:
+                    found.add((i, roots[j]))
+                    links.append((nodes[i], nodes[j]))
+        return pa.table({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary())})
+
+    return held.groupBy("key", "block", "probe").applyInArrow(run, "a binary, b binary")
+
+
+def connected(pairs: DataFrame, rows: DataFrame, sketch: Sketch, roots: DataFrame | None) -> DataFrame:
+    """node and root once the verified ones among ``pairs`` are added to the components so far."""
+    ordered = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    edges = verified(ordered, rows, sketch.least).select("a", "b")
+    if roots is not None:
+        edges = edges.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return components(edges, "near-roots")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: Sketch = SKETCH) -> DataFrame:
@@ -229,12 +280,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class_size."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sketches = stored(sketched(slim, sketch), "near-sketches")
-    found, roots = links(slim, sketches, sketch)
+    roots = links(slim, sketches, sketch)
     nodes = sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("exact_id"), F.count("*").alias("n"))
-    if roots is not None:
-        nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    else:
-        nodes = nodes.withColumn("root", F.col("node"))
+    nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     nodes = stored(nodes, "near-nodes")
     classes = nodes.groupBy("root").agg(F.min("exact_id").alias("class_id"), F.sum("n").alias("class_size"))
     known = nodes.join(classes, "root").select("node", "exact_id", "class_id", "class_size")
