@@ -24,7 +24,7 @@ from fieldtally.llm.tables import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BREAK_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: words of a hash, hashes of a window, words of a contaminated window
 K, WINDOW, SPAN = 6, 8, 13
 #: rows of the largest table that is broadcast
@@ -43,6 +43,10 @@ def word_list(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(lower, F.lit("")), BREAK), "")
 
 
+def n_words(text: Column) -> Column:
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), BREAK_ANY_CASE), "")).cast("bigint")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once."""
     return F.transform(F.array(value), body)[0]
@@ -147,7 +151,7 @@ def contamination_report(docs: DataFrame, items: DataFrame, id_col: str = "doc_i
     found = stored(contamination(docs, items, id_col, text_col, **items_cols), "decon-report")
     text = F.col(text_col).cast("string")
     slim = docs.select(
-        F.col(id_col), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), F.xxhash64(text).alias("_k"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_words")
+        F.col(id_col), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), F.xxhash64(text).alias("_k"), n_words(text).alias("n_words")
     )
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     return slim.join(small(found), ["_id", "_k"], "left").select(
@@ -164,6 +168,6 @@ def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     """The documents that are not contaminated, with their columns."""
     found = stored(contamination(docs, items, id_col, text_col, **items_cols), "decon-report").select("_id", "_k", "n_hit")
     text = F.col(text_col).cast("string")
-    marked = docs.select(F.struct(*docs.columns).alias("_doc"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), F.xxhash64(text).alias("_k"), F.regexp_count(text, F.lit(WORD)).alias("_n"))
+    marked = docs.select(F.struct(*docs.columns).alias("_doc"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), F.xxhash64(text).alias("_k"), n_words(text).alias("_n"))
     joined = marked.join(small(found), ["_id", "_k"], "left")
     return joined.where(~F.coalesce((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("_n")), F.lit(False))).select("_doc.*")
