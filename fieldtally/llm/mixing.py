@@ -25,13 +25,13 @@ from pyspark.sql import types as T
 
 from fieldtally.llm.tables import running_sums, stored
 
-WORD = r"[^\x20\x09-\x0D]+"
+BREAK = r"[\x20\x09-\x0D]+"
 #: parameters: words in a block, copies of a document at most, slots and documents that one task numbers
-BLOCK_WORDS, CAP, SLOTS_A_CHUNK, DOCS_A_BUCKET = 2048, 3, 1 << 16, 20_000
+BLOCK_WORDS, CAP, SLOTS_A_CHUNK, DOCS_A_BUCKET = 2048, 3, 1 << 16, 4_000
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
+    return F.size(F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), BREAK), "")).cast("bigint")
 
 
 def source_targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:

@@ -76,7 +76,7 @@ def with_shard(docs: DataFrame, key: str, tree: tuple[Leaf, ...] = TREE, into: s
     return placed.withColumn(into, shard.cast("int")).drop("_region", "_rack")
 
 
-def with_slots(placed: DataFrame, key: str, text: str = "text", rows_a_bucket: int = 20_000, into: str = "slot") -> DataFrame:
+def with_slots(placed: DataFrame, key: str, text: str = "text", rows_a_bucket: int = 4_000, into: str = "slot") -> DataFrame:
     """Adds a gapless number from 0 within each shard. Shards are cut into buckets of hash ranges of about
     ``rows_a_bucket`` rows; buckets are counted, then rows are numbered within their bucket."""
     marked = placed.withColumn("_spread", F.xxhash64(F.col(key).cast("string"), F.lit("slot"))).withColumn(
