@@ -143,7 +143,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                         rows.clear()
                     if len(rows) + len(seen) > len(table):
                         table = np.concatenate([table, np.zeros((max(len(table), len(seen)), table.shape[1]))])
-                    for w in seen.keys() - rows.keys():
+                    for w in [w for w in seen if w not in rows]:
                         table[len(rows)] = model.score(w)
                         rows[w] = len(rows)
                     at = np.fromiter(map(rows.__getitem__, seen), dtype=np.int64, count=len(seen))
