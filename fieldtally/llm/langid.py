@@ -55,7 +55,8 @@ class Model:
         """Mean score of the known n-grams of the longest length that has any; zeros if there are none."""
         framed = f"^{word}$"
         for n in range(min(self.longest, len(framed)), 0, -1):
-            at = [i for k in range(len(framed) - n + 1) if (i := self.grams.get(framed[k : k + n])) is not None]
+            text = framed if n > 1 else word
+            at = [i for k in range(len(text) - n + 1) if (i := self.grams.get(text[k : k + n])) is not None]
             if at:
                 return self.gram_scores[at].mean(axis=0)
         return np.zeros(len(self.languages))
