@@ -95,6 +95,23 @@ def g9(f: Frames) -> DataFrame:
     return G.accumulate_shiny(G.shiny_counts(old), new)
 
 
+@query(
+    "G9_shiny_months_long_names",
+    """SELECT month_year, concat(repeat('u', 300), username) AS username, species, concat(repeat('f', 20), form) AS form, shiny, area_id, total_count
+       FROM shiny_months""",
+)
+def g9_long(f: Frames) -> DataFrame:
+    """Users and forms that differ only after hundreds of equal characters stay apart."""
+    events = f.events("sightings").withColumns({"username": F.concat(F.lit("u" * 300), "username"), "form": F.concat(F.lit("f" * 20), "form")})
+    return G.shiny_counts(events)
+
+
+@query("G7_gyms_long_names", "SELECT gym, concat(repeat('g', 300), gym_name) AS gym_name, lat, lon FROM gyms")
+def g7_long(f: Frames) -> DataFrame:
+    events = f.events("raids").withColumn("gym_name", F.concat(F.lit("g" * 300), "gym_name"))
+    return G.upsert_points(f.spark.createDataFrame([], M.GYMS), G.raid_fact_rows(events), "gym")
+
+
 @query(
     "G10_register_areas",
     """SELECT CAST(CASE WHEN n_nationkey < 5 THEN n_nationkey ELSE 4 + row_number() OVER (ORDER BY n_nationkey < 5, name) END AS INT)

@@ -60,8 +60,15 @@ for _id, _family, _first, _last, _shown in (
 
     @query(_id, daily_sql(_family, "NATION_24", f"{_shown} 00:00:00", f"{_last} 00:00:00"))
     def daily(f: Frames, family: str = _family, first: date = _first, last: date = _last) -> DataFrame:
-        """The first range is longer than 90 days and is cut."""
-        return PD.daily_series(f.roll(family, "hour"), family, "nation_24", first, last)
+        """The first range is longer than 90 days and is cut, as asked for."""
+        return PD.daily_series(f.roll(family, "hour"), family, "nation_24", first, last, max_days=90)
+
+
+for _id, _family in (("I1_daily_sightings_whole", "sightings"), ("I1_daily_tth_whole", "tth"), ("I2_daily_raids_whole", "raids"), ("I4_daily_quests_whole", "quests")):
+
+    @query(_id, daily_sql(_family, "NATION_24", "2023-10-01 00:00:00", "2024-02-10 00:00:00"))
+    def daily_whole(f: Frames, family: str = _family) -> DataFrame:
+        return PD.daily_series(f.roll(family, "hour"), family, "nation_24", date(2023, 10, 1), date(2024, 2, 10))
 
 
 _LAST_DAY = """r JOIN areas a USING (area) WHERE bucket >= TIMESTAMP '2024-02-20 12:00:00' + to_hours(a.offset_hours) - INTERVAL 24 HOUR
@@ -350,7 +357,12 @@ def j4(f: Frames) -> DataFrame:
 
 @query("J5_keep_months", "SELECT * FROM shiny_months WHERE month_year >= 2402")
 def j5(f: Frames) -> DataFrame:
-    return RT.keep_months(G.shiny_counts(f.events("sightings")), date(2024, 4, 10), 1)
+    return RT.keep_months(G.shiny_counts(f.events("sightings")), date(2024, 4, 10), 1, at_least=3)
+
+
+@query("J5_keep_months_one", "SELECT * FROM shiny_months WHERE month_year >= 2402")
+def j5_one(f: Frames) -> DataFrame:
+    return RT.keep_months(G.shiny_counts(f.events("sightings")), date(2024, 2, 10), 1)
 
 
 @query(

@@ -227,10 +227,34 @@ def c20(f: Frames) -> DataFrame:
 )
 def c21(f: Frames) -> DataFrame:
     return f.table("documents").select(
-        "doc_id", S.clean_text(F.col("text"), 255, pipe=True).alias("name"), S.clean_form(F.col("text")).alias("form")
+        "doc_id", S.clean_text(F.col("text"), 255, pipe=True).alias("name"), S.clean_form(F.col("text"), 15).alias("form")
     )
 
 
+@query(
+    "C21_clean_text_whole",
+    """SELECT doc_id, regexp_replace(replace(t, '|', '/'), '[^\\x00-\\x7F]', '', 'g') AS name,
+              CASE WHEN regexp_replace(t, '[^\\x00-\\x7F]', '', 'g') = '' THEN '0' ELSE regexp_replace(t, '[^\\x00-\\x7F]', '', 'g') END AS form
+       FROM (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents)""",
+)
+def c21_whole(f: Frames) -> DataFrame:
+    return f.table("documents").select("doc_id", S.clean_text(F.col("text"), pipe=True).alias("name"), S.clean_form(F.col("text")).alias("form"))
+
+
+@query(
+    "C23_hex_to_id_high",
+    f"""SELECT CAST(CAST({HEX_ID} AS HUGEINT) + CASE WHEN {HEX_ID} % 2 = 0 THEN 9223372036854775808::HUGEINT ELSE 0 END AS DECIMAL(20,0)) AS id, {N}
+        FROM sightings GROUP BY ALL""",
+)
+def c23_high(f: Frames) -> DataFrame:
+    """Every even id gets its highest bit set: half of them are beyond the signed range, none is lost."""
+    text = F.lpad("spawnpoint_hex", 16, "0")
+    even = F.conv(F.substring(text, -1, 1), 16, 10).cast("int") % 2 == 0
+    digit = F.lower(F.conv((F.conv(F.substring(text, 1, 1), 16, 10).cast("int") + 8).cast("string"), 10, 16))
+    high = F.when(even, F.concat(digit, F.substring(text, 2, 15))).otherwise(text)
+    return counted(f.raw("sightings").select(S.unsigned_id(S.hex_to_id(high)).alias("id")), "id")
+
+
 @query(
     "C22_lenient_casts",
     """SELECT vec, CAST(sum(i) AS BIGINT) AS i, CAST(round(sum(d), 4) AS DOUBLE) AS d FROM (
@@ -249,14 +273,20 @@ def c22(f: Frames) -> DataFrame:
 
 @query("C23_hex_to_id", f"SELECT {HEX_ID} AS id, {N} FROM sightings GROUP BY ALL")
 def c23(f: Frames) -> DataFrame:
-    """Leading zeros make no difference; ids beyond 63 bits have no number."""
+    """Leading zeros make no difference."""
     rows = f.raw("sightings").select(S.hex_to_id(F.concat(F.lit(" 00000000000000000"), "spawnpoint_hex")).alias("id"))
     return counted(rows, "id")
 
 
-_CLASS = "CASE " + " ".join(
-    f"WHEN character_id IN ({', '.join(map(str, ids))}) THEN '{name}'" for name, ids in V.CHARACTER_CLASSES.items()
-) + " ELSE 'unset' END"
+# fixed values: character ids by class, written out apart from the library's lists
+_CLASS = """CASE
+    WHEN character_id IN (44, 524) THEN 'giovanni'
+    WHEN character_id IN (41, 527) THEN 'cliff'
+    WHEN character_id IN (42, 526) THEN 'arlo'
+    WHEN character_id IN (43, 525) THEN 'sierra'
+    WHEN character_id IN (5, 6, 8, 10, 12, 14, 16, 18, 20, 22, 24, 26, 28, 30, 32, 34, 36, 38, 46, 47, 49, 51, 53, 55, 57, 59, 61, 63, 65, 67, 69, 71, 73, 75, 77, 79, 81, 83, 85, 87, 89) THEN 'female'
+    WHEN character_id IN (4, 7, 9, 11, 13, 15, 17, 19, 21, 23, 25, 27, 29, 31, 33, 35, 37, 39, 45, 48, 50, 52, 54, 56, 58, 60, 62, 64, 66, 68, 70, 72, 74, 76, 78, 80, 82, 84, 86, 88, 90) THEN 'male'
+    ELSE 'unset' END"""
 
 
 @query("C24_character_class", f"SELECT character_id, {_CLASS} AS character_class, {N} FROM invasions GROUP BY ALL")

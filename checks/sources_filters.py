@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -351,6 +352,16 @@ def b13(f: Frames) -> DataFrame:
     return where_areas(f.roll("sightings", "hour"), f.sel(start="5 days", end="now"))
 
 
+@query(
+    "B13_where_areas_wide_offset",
+    """SELECT r.* FROM r_sightings_hour r WHERE bucket >= TIMESTAMP '2024-02-21 08:00:00' - INTERVAL 5 DAY AND bucket < TIMESTAMP '2024-02-21 08:00:00'""",
+)
+def b13_wide(f: Frames) -> DataFrame:
+    """No bound on offsets: 20 hours for every area."""
+    sel = f.sel(start="5 days", end="now")
+    return where_areas(f.roll("sightings", "hour"), replace(sel, areas=sel.areas.withColumn("offset_hours", F.lit(20))))
+
+
 @query(
     "B13_where_areas_list",
     f"SELECT * FROM r_sightings_hour WHERE area IN ('NATION_3', 'NATION_12', 'NATION_20') AND {window()}",

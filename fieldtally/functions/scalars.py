@@ -126,8 +126,8 @@ def strip(x: Column) -> Column:
     return F.btrim(x, F.lit(_SPACES))
 
 
-def clean_text(x: Column, n: int | None, pipe: bool = False) -> Column:
-    """Strip, optionally turn pipes into slashes, drop non-ASCII characters, cut to ``n``. Null becomes empty."""
+def clean_text(x: Column, n: int | None = None, pipe: bool = False) -> Column:
+    """Strip, optionally turn pipes into slashes, drop non-ASCII characters; cut to ``n`` if given. Null becomes empty."""
     out = strip(F.coalesce(x, F.lit("")))
     if pipe:
         out = F.translate(out, "|", "/")
@@ -135,9 +135,9 @@ def clean_text(x: Column, n: int | None, pipe: bool = False) -> Column:
     return F.substring(out, 1, n) if n else out
 
 
-def clean_form(x: Column) -> Column:
-    """Form text for the monthly table: 15 characters, blank becomes ``0``."""
-    text = clean_text(x, 15)
+def clean_form(x: Column, n: int | None = None) -> Column:
+    """Form text for the monthly table: blank becomes ``0``; cut to ``n`` if given."""
+    text = clean_text(x, n)
     return F.when(text == "", "0").otherwise(text)
 
 
@@ -151,19 +151,31 @@ def to_double(x: Column, default: float | None = None) -> Column:
 
 
 def hex_to_id(x: Column) -> Column:
-    """Hexadecimal text to a signed 64-bit id; values beyond that range give null.
+    """Hexadecimal text of up to 64 bits to an id; longer values give null (see :func:`long_id`).
 
+    Ids are unsigned; one of 2^63 or more is held in a bigint as its bits, a negative number. :func:`unsigned_id` shows it.
     Short texts without blanks at the ends, which is nearly all of them, need no trimming.
     """
 
     def convert(text: Column) -> Column:
-        return F.conv(text, 16, 10).try_cast("bigint")
+        return F.conv(text, 16, -10).try_cast("bigint")
 
     plain = (F.length(x) <= 16) & (F.ascii(x) > 32) & (F.ascii(F.substring(x, -1, 1)) > 32)
     digits = F.ltrim(strip(x), F.lit("0"))
     return F.when(plain, convert(x)).when(F.length(digits) <= 16, convert(F.concat(F.lit("0"), digits)))
 
 
+def unsigned_id(id_: Column) -> Column:
+    """The id as the unsigned number it stands for."""
+    wide = id_.cast("decimal(20,0)")
+    return F.when(id_ < 0, wide + F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
+
+
+def long_id(x: Column) -> Column:
+    """Whether a hexadecimal text has more than 64 bits, which no id column holds."""
+    return F.length(F.ltrim(strip(x), F.lit("0"))) > 16
+
+
 def shiny_odds(pct: Column) -> Column:
     """``n`` of the odds "1 in n"; null if the rate is not positive."""
     return F.when(pct > 0, F.floor(F.lit(100.0) / pct)).cast("bigint")

@@ -63,10 +63,10 @@ def label(col: Column) -> Column:
 
 def quest_kind(quests: DataFrame) -> DataFrame:
     """Fact kind ``creature`` or ``item`` with cleaned fields; quests that give neither are dropped."""
-    stop = S.clean_text(F.col("pokestop"), None)
+    stop = S.clean_text(F.col("pokestop"))
     creature = F.coalesce(F.col("creature_id") > 0, F.lit(False))
     item = F.coalesce(F.col("item_id") > 0, F.lit(False))
-    form = S.clean_text(F.col("creature_form").cast("string"), None)
+    form = S.clean_text(F.col("creature_form").cast("string"))
     return (
         quests.where(F.col("task_type") > 0)
         .where(creature | item)
@@ -75,7 +75,7 @@ def quest_kind(quests: DataFrame) -> DataFrame:
             {
                 "kind": F.when(creature, "creature").otherwise("item"),
                 "pokestop": stop,
-                "pokestop_name": S.clean_text(F.col("pokestop_name"), 255, pipe=True),
+                "pokestop_name": S.clean_text(F.col("pokestop_name"), pipe=True),
                 "mode": (F.col("mode") == "ar").cast("int"),
                 "item_amount": F.when(F.col("amount") > 0, F.col("amount")).otherwise(1),
                 "poke_id": F.col("creature_id"),

@@ -20,7 +20,7 @@ def sighting_fact_rows(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("seen_at").cast("date").alias("day_date"),
         S.hex_to_id(F.col("spawnpoint_hex")).alias("spawnpoint"),
-        "seen_at", "lat", "lon", "species", F.substring("form", 1, 15).alias("form"),
+        "seen_at", "lat", "lon", "species", "form",
         S.iv_int(F.col("iv")).alias("iv"), F.col("lvl").alias("level"), "area_id",
     ).where(F.col("spawnpoint").isNotNull())
 
@@ -28,11 +28,11 @@ def sighting_fact_rows(events: DataFrame) -> DataFrame:
 def raid_fact_rows(events: DataFrame) -> DataFrame:
     return events.where(valid_coords(F.col("lat"), F.col("lon"), strict=True) & (F.col("gym") != "")).select(
         F.col("seen_at").cast("date").alias("day_date"), "gym", "seen_at",
-        S.clean_text(F.col("gym_name"), 255, pipe=True).alias("gym_name"),
+        S.clean_text(F.col("gym_name"), pipe=True).alias("gym_name"),
         F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"),
         S.to_int(F.col("boss")).alias("boss"), S.to_int(F.col("lvl")).alias("level"),
-        F.substring("form", 1, 15).alias("form"), S.to_int(F.col("team")).alias("team"),
-        F.substring("costume", 1, 15).alias("costume"), "exclusive", "ex_eligible", "area_id", "arrival",
+        "form", S.to_int(F.col("team")).alias("team"),
+        "costume", "exclusive", "ex_eligible", "area_id", "arrival",
     )
 
 
@@ -50,15 +50,15 @@ def quest_item_rows(facts: DataFrame) -> DataFrame:
 def quest_creature_rows(facts: DataFrame) -> DataFrame:
     return facts.where("kind = 'creature'").select(
         "day_date", "pokestop", "seen_at", "mode", "area_id", "task_type", "poke_id",
-        F.substring("poke_form", 1, 15).alias("poke_form"), "arrival",
+        "poke_form", "arrival",
     )
 
 
 def invasion_fact_rows(events: DataFrame) -> DataFrame:
-    stop = S.clean_text(F.col("pokestop"), None)
+    stop = S.clean_text(F.col("pokestop"))
     return events.where(valid_coords(F.col("lat"), F.col("lon"), strict=True) & (stop != "")).select(
         F.col("start_at").cast("date").alias("day_date"), stop.alias("pokestop"), F.col("start_at").alias("seen_at"),
-        S.clean_text(F.col("pokestop_name"), 255, pipe=True).alias("pokestop_name"),
+        S.clean_text(F.col("pokestop_name"), pipe=True).alias("pokestop_name"),
         F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"),
         "display_type", "character_id", S.to_int(F.col("grunt")).alias("grunt"),
         F.col("confirmed").cast("int").alias("confirmed"), "area_id", "arrival",
@@ -134,7 +134,7 @@ def stop_rows(quest_facts: DataFrame, invasion_rows: DataFrame | None = None) ->
 
 def shiny_counts(events: DataFrame) -> DataFrame:
     """Sightings per user, species, form, shiny flag, area and month."""
-    user = F.substring(S.strip(F.col("username")), 1, 255)
+    user = S.strip(F.col("username"))
     ok = (
         (user != "") & ~F.col("username").contains("|")
         & (F.col("species") > 0) & (F.col("area_id") > 0) & F.col("seen_at").isNotNull()

@@ -14,7 +14,6 @@ SERIES_HOURS = 72
 HOURLY_HOURS = 168
 DAILY_HOURS = 30 * 24
 FACT_DAYS = 15
-_LEAST = 3
 
 
 def expire_rollup(rollup: DataFrame, now: datetime, keep_hours: int = 0) -> DataFrame:
@@ -22,23 +21,29 @@ def expire_rollup(rollup: DataFrame, now: datetime, keep_hours: int = 0) -> Data
     return rollup if keep_hours == 0 else rollup.where(F.col("bucket") >= ntz(now - timedelta(hours=keep_hours)))
 
 
-def first_kept_day(today: date, n: int) -> date:
-    """Start of the last ``n`` days, today included; at least three days are kept."""
-    return today - timedelta(days=max(_LEAST, n) - 1)
+def _kept(n: int, at_least: int) -> int:
+    if n < 1:
+        raise ValueError("at least the current day or month is kept")
+    return max(n, at_least)
 
 
-def first_kept_month(today: date, n: int) -> int:
-    """YYMM of the first of the last ``n`` months, the current one included; at least three are kept."""
+def first_kept_day(today: date, n: int, at_least: int = 1) -> date:
+    """Start of the last ``n`` days, today included; ``at_least`` is a floor for a configured ``n``."""
+    return today - timedelta(days=_kept(n, at_least) - 1)
+
+
+def first_kept_month(today: date, n: int, at_least: int = 1) -> int:
+    """YYMM of the first of the last ``n`` months, the current one included; ``at_least`` as for days."""
     first = datetime(today.year, today.month, 1)
-    return yymm_of(shift_months(first, 1 - max(_LEAST, n)))
+    return yymm_of(shift_months(first, 1 - _kept(n, at_least)))
 
 
-def keep_days(facts: DataFrame, today: date, n: int = FACT_DAYS) -> DataFrame:
-    return facts.where(F.col("day_date") >= F.lit(first_kept_day(today, n)))
+def keep_days(facts: DataFrame, today: date, n: int = FACT_DAYS, at_least: int = 1) -> DataFrame:
+    return facts.where(F.col("day_date") >= F.lit(first_kept_day(today, n, at_least)))
 
 
-def keep_months(months: DataFrame, today: date, n: int) -> DataFrame:
-    return months.where(F.col("month_year") >= first_kept_month(today, n))
+def keep_months(months: DataFrame, today: date, n: int, at_least: int = 1) -> DataFrame:
+    return months.where(F.col("month_year") >= first_kept_month(today, n, at_least))
 
 
 def retention_plan(df: DataFrame, today: date, n: int, unit: str) -> DataFrame:

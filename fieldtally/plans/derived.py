@@ -11,18 +11,17 @@ from fieldtally.functions import fixed_values as V
 from fieldtally.operators.derive import with_character_class, with_reward_class
 from fieldtally.plans.selection import Selection, where_areas
 
-MAX_DAYS = 90
-
-
-def daily_series(hour_rollup: DataFrame, family: str, area: str, start: date, end: date) -> DataFrame:
-    """One value per day and metric, zero-filled, for at most the last 91 days of the range.
+def daily_series(hour_rollup: DataFrame, family: str, area: str, start: date, end: date, max_days: int | None = None) -> DataFrame:
+    """One value per day and metric, zero-filled. ``max_days`` moves the start of a longer range to so many days before
+    its end.
 
     Metrics: the rollup's own for ``sightings`` and ``tth``; ``total`` and ``level_<n>`` for raids;
     ``total, confirmed, unconfirmed`` for invasions; ``total`` and the modes for quests.
     """
     if start > end:
         raise ValueError("the first day is after the last")
-    start = max(start, end - timedelta(days=MAX_DAYS))
+    if max_days is not None:
+        start = max(start, end - timedelta(days=max_days))
     day = F.col("bucket").cast("date")
     rows = hour_rollup.where((F.lower("area") == area.lower()) & day.between(F.lit(start), F.lit(end)))
     names = {
@@ -138,7 +137,7 @@ def grid_bins(rows: DataFrame, dims: list[str], step: float = V.GRID_STEP) -> Da
     keys = ["lat_cell", "lon_cell"]
     summed = rows.select(*cell, *dims, "cnt").groupBy(*keys, *dims).agg(F.sum("cnt").alias("cnt"))
     cells = summed.groupBy(*keys).agg(F.sum("cnt").alias("total"), _items(dims).alias("items"))
-    peak = rows.select(*cell, "cnt").groupBy(*keys).agg(F.sum("cnt").alias("t")).agg(F.max("t")).scalar()
+    peak = summed.groupBy(*keys).agg(F.sum("cnt").alias("t")).agg(F.max("t")).scalar()  # from the same exchange
     bounds = {
         f"{axis}_{end}": (F.col(f"{axis}_cell") + i) * step for axis in ("lat", "lon") for i, end in enumerate(("min", "max"))
     }

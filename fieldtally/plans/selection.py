@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from fieldtally.functions.predicates import ntz, parse_csv, where_in
 from fieldtally.functions.timewindow import rollup_point
 
-#: widest offsets in use; they bound relative windows so that scans can still be pruned
-_MIN_OFFSET, _MAX_OFFSET = -12, 14
-
 
 @dataclass(frozen=True)
 class Selection:
@@ -52,15 +49,16 @@ def area_windows(sel: Selection) -> DataFrame:
 def where_areas(df: DataFrame, sel: Selection, col: str = "bucket") -> DataFrame:
     """Rows of the chosen areas inside each area's window ``[from, to)``.
 
-    The window's outer limits are literals, so the scan is pruned before the (small) area join.
+    The outer limits of all chosen windows (literals if the window is fixed, else scalar subqueries over the areas, whatever
+    their offsets) restrict the scan before the (small) area join.
     """
     start, end = rollup_point(sel.start), rollup_point(sel.end)
-    low = min(start.at(sel.now, o) for o in (_MIN_OFFSET, _MAX_OFFSET))
-    high = max(end.at(sel.now, o) for o in (_MIN_OFFSET, _MAX_OFFSET))
-    pruned = df.where((F.col(col) >= ntz(low)) & (F.col(col) < ntz(high)))
     if start.fixed is not None and end.fixed is not None:
+        pruned = df.where((F.col(col) >= ntz(start.at(sel.now, 0))) & (F.col(col) < ntz(end.at(sel.now, 0))))
         return pruned.join(chosen_areas(sel.areas, sel.area).select("area"), "area", "left_semi")
-    windowed = pruned.join(area_windows(sel), "area")
+    windows = area_windows(sel)
+    low, high = windows.agg(F.min("_from")).scalar(), windows.agg(F.max("_to")).scalar()
+    windowed = df.where((F.col(col) >= low) & (F.col(col) < high)).join(windows, "area")
     return windowed.where((F.col(col) >= F.col("_from")) & (F.col(col) < F.col("_to"))).drop("_from", "_to")
 
 

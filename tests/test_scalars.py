@@ -59,14 +59,15 @@ def test_local_time_uses_both_offsets(spark):
 
 def test_hex_ids(spark):
     given = ["ff", " 0000000000000000000000ff\t", "7fffffffffffffff", "8000000000000000", "f" * 32, "0" * 20, "\tff", "FF"]
-    want = [255, 255, 2**63 - 1, None, None, 0, 255, 255]
+    want = [255, 255, 2**63 - 1, -(2**63), None, 0, 255, 255]
     assert values(spark, given, "string", S.hex_to_id) == want
 
 
 def test_text_cleaning(spark):
     given = ["  Café | Bar ", None, "\t\n", "é|"]
     assert values(spark, given, "string", lambda c: S.clean_text(c, 255, pipe=True)) == ["Caf / Bar", "", "", "/"]
-    assert values(spark, ["", None, " x", "a" * 20], "string", S.clean_form) == ["0", "0", "x", "a" * 15]
+    assert values(spark, ["", None, " x", "a" * 20], "string", lambda c: S.clean_form(c, 15)) == ["0", "0", "x", "a" * 15]
+    assert values(spark, ["a" * 20], "string", S.clean_form) == ["a" * 20]
 
 
 def test_flags_and_casts(spark):
@@ -77,3 +78,9 @@ def test_flags_and_casts(spark):
 
 def test_odds(spark):
     assert values(spark, [0.0, 0.25, 20.0, 33.0], "double", S.shiny_odds) == [None, 400, 5, 3]
+
+
+def test_unsigned_ids(spark):
+    df = spark.createDataFrame([("ffffffffffffffff",), ("8000000000000000",), ("7f",), ("1" + "0" * 16,)], "h string")
+    got = df.select(S.unsigned_id(S.hex_to_id(F.col("h"))).alias("id"), S.long_id(F.col("h")).alias("long")).collect()
+    assert [(None if r["id"] is None else int(r["id"]), r["long"]) for r in got] == [(2**64 - 1, False), (2**63, False), (127, False), (None, True)]
