@@ -18,7 +18,9 @@ from fieldtally.operators.ingest import ingest
 from fieldtally.operators.rollups import ROLLUPS, rollup
 from fieldtally.operators.spatial import AreaIndex
 from fieldtally.plans.selection import Selection
+from fieldtally.session import scratch_dir
 from fieldtally.sources import bindings as B
+from fieldtally.sources.tables import read_rollup, write_rollup
 
 #: "now" of all queries, and the default window
 NOW = datetime(2024, 2, 20, 12, 0)
@@ -54,6 +56,12 @@ class Frames:
     def roll(self, family: str, grain: str) -> DataFrame:
         return rollup(self.events(ROLLUPS[family].source), family, grain)
 
+    def stored_roll(self, family: str, grain: str) -> DataFrame:
+        """The rollup from a store of day partitions."""
+        path = scratch_dir(self.spark, "rollup")
+        write_rollup(self.roll(family, grain), path)
+        return read_rollup(self.spark, path)
+
     def sel(self, area: str = "global", start: str = START, end: str = END, **filters) -> Selection:
         return Selection(self.areas, start, end, NOW, area, filters)
 

@@ -347,6 +347,16 @@ for _id, _family, _grain, _hours in (
         return RT.expire_rollup(f.roll(family, grain), NOW, hours)
 
 
+@query("J1_expire_stored_hours", f"SELECT * FROM r_sightings_hour WHERE bucket >= TIMESTAMP '{NOW}' - to_hours({RT.DAILY_HOURS})")
+def j1_stored(f: Frames) -> DataFrame:
+    return RT.expire_rollup(f.stored_roll("sightings", "hour"), NOW, RT.DAILY_HOURS).drop("day")
+
+
+@query("I1_daily_sightings_stored", daily_sql("sightings", "NATION_24", "2024-01-05 00:00:00", "2024-02-10 00:00:00"))
+def daily_stored(f: Frames) -> DataFrame:
+    return PD.daily_series(f.stored_roll("sightings", "hour"), "sightings", "nation_24", date(2024, 1, 5), date(2024, 2, 10))
+
+
 @query("J4_keep_days", "SELECT * FROM sighting_facts WHERE day_date >= DATE '2024-02-06'")
 def j4(f: Frames) -> DataFrame:
     """On the stored table, so that whole day partitions are skipped."""

@@ -362,6 +362,16 @@ def b13_wide(f: Frames) -> DataFrame:
     return where_areas(f.roll("sightings", "hour"), replace(sel, areas=sel.areas.withColumn("offset_hours", F.lit(20))))
 
 
+@query(
+    "B13_where_areas_stored",
+    """SELECT r.* FROM r_raids_hour r JOIN areas a USING (area)
+       WHERE bucket >= TIMESTAMP '2024-02-20 12:00:00' + to_hours(a.offset_hours) - INTERVAL 5 DAY
+         AND bucket < TIMESTAMP '2024-02-20 12:00:00' + to_hours(a.offset_hours)""",
+)
+def b13_stored(f: Frames) -> DataFrame:
+    return where_areas(f.stored_roll("raids", "hour"), f.sel(start="5 days", end="now")).drop("day")
+
+
 @query(
     "B13_where_areas_list",
     f"SELECT * FROM r_sightings_hour WHERE area IN ('NATION_3', 'NATION_12', 'NATION_20') AND {window()}",

@@ -95,7 +95,19 @@ def where_between(df: DataFrame, col: str, low: int | None = None, high: int | N
 
 def where_buckets(df: DataFrame, start: datetime, end: datetime, col: str = "bucket") -> DataFrame:
     """Rollup window: the bucket's start lies in ``[start, end)``."""
-    return df.where((F.col(col) >= ntz(start)) & (F.col(col) < ntz(end)))
+    return where_days(df, ntz(start), ntz(end), col).where((F.col(col) >= ntz(start)) & (F.col(col) < ntz(end)))
+
+
+def where_days(df: DataFrame, low: Column | None, high: Column | None, col: str = "bucket") -> DataFrame:
+    """On a rollup stored by day (see ``write_rollup``), the days that a window of buckets touches: they prune partitions.
+
+    Other frames are returned as they are.
+    """
+    if col != "bucket" or ("day", "date") not in df.dtypes:
+        return df
+    if low is not None:
+        df = df.where(F.col("day") >= low.cast("date"))
+    return df if high is None else df.where(F.col("day") <= high.cast("date"))
 
 
 def where_seen(df: DataFrame, start: datetime, end: datetime) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.functions.predicates import ntz
+from fieldtally.functions.predicates import ntz, where_days
 from fieldtally.functions.timewindow import shift_months, yymm_of
 
 SERIES_HOURS = 72
@@ -18,7 +18,8 @@ FACT_DAYS = 15
 
 def expire_rollup(rollup: DataFrame, now: datetime, keep_hours: int = 0) -> DataFrame:
     """Rollup rows not older than ``keep_hours``; 0 keeps all."""
-    return rollup if keep_hours == 0 else rollup.where(F.col("bucket") >= ntz(now - timedelta(hours=keep_hours)))
+    first = ntz(now - timedelta(hours=keep_hours))
+    return rollup if keep_hours == 0 else where_days(rollup, first, None).where(F.col("bucket") >= first)
 
 
 def _kept(n: int, at_least: int) -> int:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.functions import fixed_values as V
+from fieldtally.functions.predicates import where_days
 from fieldtally.operators.derive import with_character_class, with_reward_class
 from fieldtally.plans.selection import Selection, where_areas
 
@@ -23,7 +24,7 @@ def daily_series(hour_rollup: DataFrame, family: str, area: str, start: date, en
     if max_days is not None:
         start = max(start, end - timedelta(days=max_days))
     day = F.col("bucket").cast("date")
-    rows = hour_rollup.where((F.lower("area") == area.lower()) & day.between(F.lit(start), F.lit(end)))
+    rows = where_days(hour_rollup, F.lit(start), F.lit(end)).where((F.lower("area") == area.lower()) & day.between(F.lit(start), F.lit(end)))
     names = {
         "sightings": F.array("metric"),
         "tth": F.array("tth_bucket"),

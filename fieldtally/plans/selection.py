@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.functions.predicates import ntz, parse_csv, where_in
+from fieldtally.functions.predicates import parse_csv, where_buckets, where_days, where_in
 from fieldtally.functions.timewindow import rollup_point
 
 
@@ -54,11 +54,11 @@ def where_areas(df: DataFrame, sel: Selection, col: str = "bucket") -> DataFrame
     """
     start, end = rollup_point(sel.start), rollup_point(sel.end)
     if start.fixed is not None and end.fixed is not None:
-        pruned = df.where((F.col(col) >= ntz(start.at(sel.now, 0))) & (F.col(col) < ntz(end.at(sel.now, 0))))
+        pruned = where_buckets(df, start.at(sel.now, 0), end.at(sel.now, 0), col)
         return pruned.join(chosen_areas(sel.areas, sel.area).select("area"), "area", "left_semi")
     windows = area_windows(sel)
     low, high = windows.agg(F.min("_from")).scalar(), windows.agg(F.max("_to")).scalar()
-    windowed = df.where((F.col(col) >= low) & (F.col(col) < high)).join(windows, "area")
+    windowed = where_days(df, low, high, col).where((F.col(col) >= low) & (F.col(col) < high)).join(windows, "area")
     return windowed.where((F.col(col) >= F.col("_from")) & (F.col(col) < F.col("_to"))).drop("_from", "_to")
 
 

@@ -47,6 +47,17 @@ def read_facts(spark: SparkSession, path: str, name: str) -> DataFrame:
     return read_table(spark, path, M.FACT_SCHEMAS[name])
 
 
+def write_rollup(rollup: DataFrame, path: str) -> None:
+    """A rollup in day partitions, sorted by area and bucket, under a new path. Windows over it prune whole days."""
+    rows = rollup.withColumn("day", F.col("bucket").cast("date")).hint("rebalance", F.col("day"))
+    rows.sortWithinPartitions("day", "area", "bucket").write.partitionBy("day").mode("errorifexists").parquet(path)
+
+
+def read_rollup(spark: SparkSession, path: str) -> DataFrame:
+    """A stored rollup with its ``day``, which window filters use and reports leave out."""
+    return spark.read.parquet(path)
+
+
 def snapshot_rollups(
     current: DataFrame, previous: DataFrame | None, retention_hours: int, now: datetime, key: tuple[str, ...] = ("area", "bucket")
 ) -> DataFrame:
