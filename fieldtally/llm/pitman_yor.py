@@ -11,12 +11,16 @@ the spelling probabilities of the last sweep (customers come in blocks over whic
 at most); then the spelling restaurants are seated from the tables. Words are independent given the last sweep, so Spark seats
 them in parallel, and no state but the spelling tables is carried on. Probabilities are averaged over the sweeps after burn-in.
 
+Words that no training text has are one outcome, as they are in the base formula, so that both are probabilities of the same
+events: its probability is what the known words leave. A text's own mass for such a word comes on
+top of it; the masses of the text's other unknown words are left out, so the probabilities sum to one at most.
+
 Counting covers all training texts. The table of words is distributed and never collected. The spelling table has at
 most 257^3 cells whatever the corpus (some ten thousands in practice); it and the ``hot_words`` most frequent words are sent to
 all tasks. The other words of a text are scored by a join on the word's hash, pre-aggregated by text.
 
-Defined cases: a null or empty text is one end token; without training texts every word has its spelling probability under a
-uniform base; repeated rows are scored each; a null id counts as an empty text in the folds; an empty table gives an empty result.
+Defined cases: a null or empty text is one end token; without training texts every token is the unknown
+word, of probability one; repeated rows are scored each; a null id counts as an empty text in the folds; an empty table gives an empty result.
 Only id and text are read. Words are told apart by a 64-bit hash and, in counting, by their bytes.
 """
 
@@ -232,6 +236,15 @@ def sweep(types: DataFrame, state: State, settings: Settings, discount: float, s
 
 def word_scores(types: DataFrame, tokens: int, settings: Settings) -> DataFrame:
     """h, n, score: log10 of each word's probability, averaged over the sampled seatings."""
+    written = stored(known_scores(types, tokens, settings), "lm-scores")
+    used = written.where("h IS NULL").agg(F.sum("score")).first()[0] or 0.0
+    unknown = float(np.log10(max(1.0 - used, 1.0 / (tokens + 2.0))))
+    return written.where("h IS NOT NULL").withColumn("score", F.when(F.col("n") > 0, F.col("score")).otherwise(F.lit(unknown)))
+
+
+def known_scores(types: DataFrame, tokens: int, settings: Settings) -> DataFrame:
+    """h, n, score of the words that training texts have (null for others), and per batch a row without h: the sum of its
+    probabilities."""
     kinds = types.agg(F.sum(F.when(F.col("n") == 1, 1)).alias("once"), F.sum(F.when(F.col("n") == 2, 1)).alias("twice"), F.sum(F.when(F.col("n") > 0, 1)).alias("all")).first()
     once, twice = kinds["once"] or 0, kinds["twice"] or 0
     discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
@@ -247,12 +260,15 @@ def word_scores(types: DataFrame, tokens: int, settings: Settings) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 65_536):
                 batch = whole.slice(start, 65_536)
+                seen = batch.column("n").to_numpy() > 0
                 mean = np.zeros(batch.num_rows)
                 for k, one in enumerate(sent.value):
                     tables, base, _, _, customers = seating(batch, one, settings, discount, 1000 + k)
                     mean += (customers - discount * tables + (settings.strength + discount * one.tables) * base) / (settings.strength + tokens)
-                score = np.log10(np.maximum(mean / len(sent.value), 1e-300))
-                yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), pa.array(score)], names=["h", "n", "score"])
+                mean /= len(sent.value)
+                score = pa.array(np.log10(np.maximum(mean, 1e-300)), mask=~seen)
+                yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), score], names=["h", "n", "score"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([mean[seen].sum()])], names=["h", "n", "score"])
 
     return types.mapInArrow(run, "h bigint, n bigint, score double")
 
@@ -337,6 +353,6 @@ def score_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     types = stored(word_counts(rows.select("text", (~F.col("held_out")).alias("train"))), "lm-types")
     total = types.agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("n") > 0, 1)).alias("distinct")).first()
     tokens, distinct = total["tokens"] or 0, total["distinct"] or 0
-    scores = stored(word_scores(types, tokens, settings), "lm-scores")
+    scores = word_scores(types, tokens, settings)
     found = text_scores(rows, scores, tokens, distinct, settings)
     return found.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

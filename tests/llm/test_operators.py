@@ -385,6 +385,8 @@ def test_language_model(spark, awkward, empty):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(count[w] > 0 for w in ws), total)
         assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (total + kinds + 1)) for w in ws))
         assert r["score"] < 0
+    held = [r for r in rows if r["held_out"]]
+    assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)  # the same outcomes: better perplexity
     got = pitman_yor.score_report(awkward).collect()
     assert len(got) == awkward.count() and all(r["n_tokens"] == 1 for r in got if r["doc_id"] in (0, 1, 2))
     assert pitman_yor.score_report(empty).count() == 0
@@ -392,6 +394,18 @@ def test_language_model(spark, awkward, empty):
     assert {r["doc_id"]: round(r["base_score"], 6) for r in few.collect()} == {r["doc_id"]: round(r["base_score"], 6) for r in rows}
 
 
+def test_word_probabilities_sum_to_one(spark):
+    docs = spark.createDataFrame([(" ".join(f"w{i % k}" for i in range(900)), True) for k in (3, 17, 400)] + [("never seen", False)], "text string, train boolean")
+    types = pitman_yor.word_counts(docs)
+    tokens = types.agg({"n": "sum"}).first()[0]
+    got = pitman_yor.word_scores(types, tokens, pitman_yor.SETTINGS).collect()
+    unknown = {r["score"] for r in got if r["n"] == 0}
+    assert len(unknown) == 1 and sum(r["n"] == 0 for r in got) == 2
+    assert sum(10 ** r["score"] for r in got if r["n"] > 0) + 10 ** unknown.pop() == pytest.approx(1.0)
+    none = pitman_yor.score_report(spark.createDataFrame([(i, "all held out") for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id bigint, text string"))
+    assert all((r["score"], r["base_score"], r["train_tokens"]) == (0.0, 0.0, 0) for r in none.collect())
+
+
 def test_spelling_is_a_distribution():
     import numpy as np
 
