@@ -403,7 +403,7 @@ def test_word_probabilities_sum_to_one(spark):
     assert len(unknown) == 1 and sum(r["n"] == 0 for r in got) == 2
     assert sum(10 ** r["score"] for r in got if r["n"] > 0) + 10 ** unknown.pop() == pytest.approx(1.0)
     none = pitman_yor.score_report(spark.createDataFrame([(i, "all held out") for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id bigint, text string"))
-    assert all((r["score"], r["base_score"], r["train_tokens"]) == (0.0, 0.0, 0) for r in none.collect())
+    assert all((r["base_score"], r["train_tokens"]) == (0.0, 0) and -0.02 < r["score"] <= 0 for r in none.collect())
 
 
 def test_spelling_is_a_distribution():
