@@ -34,9 +34,13 @@ def with_arrival(rows: DataFrame) -> DataFrame:
     ).drop("source")
 
 
-def stream_payloads(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """The same files as they arrive; ``max_files`` bounds a micro-batch."""
-    reader = spark.readStream.schema(M.ENVELOPE).option("maxFilesPerTrigger", max_files)
+def stream_payloads(spark: SparkSession, path: str, max_files: int = 1000, max_bytes: str | None = None) -> DataFrame:
+    """The same files as they arrive; ``max_files``, or else ``max_bytes`` (as ``"1g"``), bounds a micro-batch.
+
+    A file source has no bound by rows; bytes are the nearest to it.
+    """
+    limit = ("maxFilesPerTrigger", max_files) if max_bytes is None else ("maxBytesPerTrigger", max_bytes)
+    reader = spark.readStream.schema(M.ENVELOPE).option(*limit)
     return reader.json(path).select("type", "message", _file_info())
 
 

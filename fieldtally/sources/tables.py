@@ -12,7 +12,7 @@ from fieldtally import schemas as M
 from fieldtally.functions.predicates import ntz
 
 
-def _partitioned(df: DataFrame, by: str, sort: list[str]):
+def partitioned(df: DataFrame, by: str, sort: list[str]):
     """Writer whose files follow the partitions.
 
     The rebalance hint lets adaptive execution split a heavy partition over several tasks and join
@@ -24,12 +24,12 @@ def _partitioned(df: DataFrame, by: str, sort: list[str]):
 
 def write_facts(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Day-partitioned facts. ``overwrite`` replaces only the days present in ``df``."""
-    _partitioned(df, "day_date", [c for c in df.columns if c == "area_id"]).mode(mode).parquet(path)
+    partitioned(df, "day_date", [c for c in df.columns if c == "area_id"]).mode(mode).parquet(path)
 
 
 def write_months(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Month-partitioned accumulation table; same overwrite rule."""
-    _partitioned(df, "month_year", ["area_id"]).mode(mode).parquet(path)
+    partitioned(df, "month_year", ["area_id"]).mode(mode).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
