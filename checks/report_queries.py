@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.base import NOW, Frames, query
+from checks.base import NOW, Frames, first_by, query
 from checks.fact_queries import _INVASION, _RAID, AREA, FROM, TO, heatmap_sql, named_map_sql, shiny_sql
 from checks.payload_files import write_payloads
 from checks.rollup_queries import CNT, HOUR, W
@@ -15,7 +15,7 @@ from checks.scalars_joins import _CLASS, _named_species
 from fieldtally.operators import derive as D
 from fieldtally.operators import merge as G
 from fieldtally.operators import retention as RT
-from fieldtally.operators.rollups import merge_deltas, rollup
+from fieldtally.operators.rollups import ROLLUPS, merge_deltas, rollup
 from fieldtally.operators.spatial import count_points_by_area
 from fieldtally.plans import derived as PD
 from fieldtally.plans import maps as PM
@@ -414,7 +414,9 @@ def _streamed(f: Frames, job) -> str:
     return path
 
 
-_STREAMED = [("sightings", "minute"), ("sightings", "week"), ("tth", "day"), ("weather_iv", "month"), ("raids", "hour"), ("quests", "day"), ("invasions", "hour")]
+_STREAMED = [(family, grain) for family, spec in ROLLUPS.items() for grain in spec.grains]
+# the payload writer makes four files by arrival, of which a micro-batch takes two
+_BATCHED = """(SELECT *, floor(floor(arrival / (SELECT max(arrival) + 1 FROM sightings) * 4) / 2) AS batch FROM sighting_rows)"""
 
 
 @query(
@@ -424,9 +426,11 @@ _STREAMED = [("sightings", "minute"), ("sightings", "week"), ("tth", "day"), ("w
     ),
 )
 def k1(f: Frames) -> DataFrame:
-    path, out = _streamed(f, K.stream_rollups), None
+    """Every rollup, from a folded first batch and the delta of the second."""
+    path, out, folded = _streamed(f, K.stream_rollups), None, scratch_dir(f.spark, "folded")
     for family, grain in _STREAMED:
-        rows = K.read_rollup(f.spark, path, family, grain).groupBy("area", "bucket", "metric").agg(F.sum("cnt").alias("cnt"))
+        K.fold_rollup(f.spark, path, folded, family, grain, last=0)
+        rows = K.read_rollup(f.spark, path, family, grain, folded, upto=0).groupBy("area", "bucket", "metric").agg(F.sum("cnt").alias("cnt"))
         rows = rows.select(F.lit(family).alias("family"), F.lit(grain).alias("grain"), *rows.columns)
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -434,7 +438,9 @@ def k1(f: Frames) -> DataFrame:
 
 @query(
     "K2_stream_facts",
-    """SELECT 'raid' AS kind, day_date, gym AS point, seen_at, boss AS a, level AS b FROM raid_facts
+    f"""SELECT 'raid' AS kind, day_date, gym AS point, seen_at, boss AS a, level AS b FROM raid_facts
+       UNION ALL SELECT 'sighting', day_date, CAST(spawnpoint AS VARCHAR), seen_at, species, iv
+       FROM ({first_by(_BATCHED, 'day_date, spawnpoint, seen_at', '*', 'batch, lat, lon, species, form, iv, level, area_id')})
        UNION ALL SELECT 'invasion', day_date, pokestop, seen_at, display_type, character_id FROM invasion_facts
        UNION ALL SELECT 'item', day_date, pokestop, seen_at, task_type, item_id FROM quest_item_facts
        UNION ALL SELECT 'creature', day_date, pokestop, seen_at, task_type, poke_id FROM quest_creature_facts""",
@@ -442,12 +448,12 @@ def k1(f: Frames) -> DataFrame:
 def k2(f: Frames) -> DataFrame:
     path, out = _streamed(f, K.stream_facts), None
     for kind, name, point, a, b in (
-        ("raid", "raid_facts", "gym", "boss", "level"), ("invasion", "invasion_facts", "pokestop", "display_type", "character_id"),
+        ("raid", "raid_facts", "gym", "boss", "level"), ("sighting", "sighting_facts", "spawnpoint", "species", "iv"), ("invasion", "invasion_facts", "pokestop", "display_type", "character_id"),
         ("item", "quest_item_facts", "pokestop", "task_type", "item_id"),
         ("creature", "quest_creature_facts", "pokestop", "task_type", "poke_id"),
     ):
-        rows = ST.read_facts(f.spark, f"{path}/{name}", name).select(
-            F.lit(kind).alias("kind"), "day_date", F.col(point).alias("point"), "seen_at", F.col(a).alias("a"), F.col(b).alias("b")
+        rows = K.read_facts(f.spark, path, name).select(
+            F.lit(kind).alias("kind"), "day_date", F.col(point).cast("string").alias("point"), "seen_at", F.col(a).alias("a"), F.col(b).alias("b")
         )
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -455,15 +461,30 @@ def k2(f: Frames) -> DataFrame:
 
 @query("K2_stream_shiny_months", "SELECT * FROM shiny_months")
 def k2_shiny(f: Frames) -> DataFrame:
-    return K.read_shiny_months(f.spark, _streamed(f, K.stream_facts))
+    """From a folded first batch and the delta of the second."""
+    path, folded = _streamed(f, K.stream_facts), scratch_dir(f.spark, "folded")
+    K.fold_shiny_months(f.spark, path, folded, last=0)
+    return K.read_shiny_months(f.spark, path, folded, upto=0)
 
 
-@query("K2_stream_points", "SELECT 'gym' AS kind, gym AS point, gym_name AS name, lat, lon FROM gyms UNION ALL SELECT 'stop', pokestop, pokestop_name, lat, lon FROM pokestops")
+@query("J4_fold_days", "SELECT * FROM raid_facts WHERE day_date >= DATE '2024-02-06'")
+def j4_folded(f: Frames) -> DataFrame:
+    """Expired days are left out of the folded facts, after which the deltas are not needed."""
+    path, folded = _streamed(f, K.stream_facts), scratch_dir(f.spark, "folded")
+    K.fold_facts(f.spark, path, folded, "raid_facts", last=1, keep=lambda rows: RT.keep_days(rows, NOW.date(), 15))
+    return K.read_facts(f.spark, path, "raid_facts", folded, upto=1)
+
+
+@query("K2_stream_points", f"SELECT 'spawnpoint' AS kind, CAST(spawnpoint AS VARCHAR) AS point, '' AS name, lat, lon FROM ({first_by(_BATCHED, 'spawnpoint', '*', 'batch DESC, arrival, lat, lon')}) UNION ALL SELECT 'gym' AS kind, gym AS point, gym_name AS name, lat, lon FROM gyms UNION ALL SELECT 'stop', pokestop, pokestop_name, lat, lon FROM pokestops")
 def k2_points(f: Frames) -> DataFrame:
-    path = _streamed(f, K.stream_facts)
-    gyms, stops = K.read_points(f.spark, path, "gyms"), K.read_points(f.spark, path, "pokestops")
+    path, folded = _streamed(f, K.stream_facts), scratch_dir(f.spark, "folded")
+    for name in K.POINTS:
+        K.fold_points(f.spark, path, folded, name, last=0)
+    gyms, stops, spawns = (K.read_points(f.spark, path, name, folded, upto=0) for name in ("gyms", "pokestops", "spawnpoints"))
+    spawns = spawns.withColumn("spawnpoint", F.col("spawnpoint").cast("string")).withColumn("name", F.lit(""))
     shape = lambda df, kind, key, name: df.select(F.lit(kind).alias("kind"), F.col(key).alias("point"), F.col(name).alias("name"), "lat", "lon")
-    return shape(gyms, "gym", "gym", "gym_name").unionByName(shape(stops, "stop", "pokestop", "pokestop_name"))
+    points = shape(gyms, "gym", "gym", "gym_name").unionByName(shape(stops, "stop", "pokestop", "pokestop_name"))
+    return points.unionByName(shape(spawns, "spawnpoint", "spawnpoint", "name"))
 
 
 @query("K3_merge_late_deltas", "SELECT * FROM r_sightings_hour")
