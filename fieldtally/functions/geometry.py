@@ -7,16 +7,11 @@ from pyspark.sql import functions as F
 
 
 def ring_edges(ring: Column) -> Column:
-    """Consecutive vertex pairs, the last joined to the first (a no-op on closed rings)."""
-    last = F.size(ring) - 1
-
-    def edge(i: Column) -> Column:
-        a, b = F.get(ring, i), F.get(ring, (i + 1) % F.size(ring))
-        return F.struct(
-            a["lon"].alias("x1"), a["lat"].alias("y1"), b["lon"].alias("x2"), b["lat"].alias("y2")
-        )
-
-    return F.transform(F.sequence(F.lit(0), last), edge)
+    """Consecutive vertex pairs, the last joined to the first (a no-op on closed rings). One pass over the ring."""
+    following = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, 1, 1))
+    return F.zip_with(
+        ring, following, lambda a, b: F.struct(a["lon"].alias("x1"), a["lat"].alias("y1"), b["lon"].alias("x2"), b["lat"].alias("y2"))
+    )
 
 
 def _side(e: Column, x: Column, y: Column) -> Column:

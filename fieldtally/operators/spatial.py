@@ -2,8 +2,9 @@
 
 The polygons are turned into a grid index once: one row per grid cell with the list of areas that
 reach into the cell. A cell that lies wholly inside an area is marked so, and a point in it needs no
-geometry at all; for a cell on a border only the edges a ray from the cell can meet are kept. A point
-then needs one hash lookup on its cell. With the index below the broadcast bound this is a map-side
+geometry at all; for a cell on a border only the edges a ray from the cell can meet are kept. Where these
+are many, as on a detailed coast, the cell is cut into horizontal bands with the edges of each, and a point
+only walks through those of its band. A point then needs one hash lookup on its cell. With the index below the broadcast bound this is a map-side
 step: the events are not shuffled, not repeated, and a hot point costs no more than any other.
 """
 
@@ -23,6 +24,8 @@ BROADCAST_BYTES = 128 << 20
 _SPREAD_ABOVE = 50_000
 _EDGE_BYTES = 48
 _CELL_BYTES = 160
+#: edges that a band of a cell aims at, bands of a cell at most, and how often bands may repeat a cell's edges in the mean
+BAND_EDGES, MAX_BANDS, BAND_REPEATS = 32, 512, 4
 
 
 @dataclass(frozen=True)
@@ -61,15 +64,14 @@ class AreaIndex:
         if not totals["n"]:
             return AreaIndex(None, 1.0, True)
         step = max(math.sqrt(totals["extent"] / (cells_per_area * totals["n"])), totals["longest"] / 4096, 1e-6)
-        if totals["n"] * totals["edges"] > _SPREAD_ABOVE:
-            shaped = shaped.repartition(min(totals["n"], 512), "area_id")
-        cells = _cells(shaped, step)
+        tasks = min(16 * totals["n"], 512) if totals["n"] * totals["edges"] > _SPREAD_ABOVE else None
+        cells = _cells(shaped, step, tasks)
         bound = totals["extent"] / step**2 + 2 * totals["reach"] / step + 4 * totals["n"]
-        fits = bound * (_CELL_BYTES + totals["edges"] * _EDGE_BYTES) <= broadcast_bytes
+        fits = bound * (_CELL_BYTES + totals["edges"] * BAND_REPEATS * _EDGE_BYTES) <= broadcast_bytes
         if not fits:
             measured = cells.agg(
                 F.count("*").alias("cells"),
-                F.sum(F.aggregate("_areas", F.lit(0), lambda s, a: s + F.size(a["edges"]) + 2)).alias("edges"),
+                F.sum(F.aggregate("_areas", F.lit(0), lambda s, a: s + F.size(F.flatten(a["bands"])) + F.size(a["bands"]) + 2)).alias("edges"),
             ).first()
             fits = measured["cells"] * _CELL_BYTES + (measured["edges"] or 0) * _EDGE_BYTES <= broadcast_bytes
         return AreaIndex(cells, step, fits)
@@ -86,7 +88,7 @@ class AreaIndex:
             joined = keyed.join(F.broadcast(self.cells), keys)
         else:
             joined = salted_join(keyed, self.cells, keys)
-        hits = F.filter("_areas", lambda a: a["whole"] | strictly_inside(a["edges"], x, y))
+        hits = F.filter("_areas", lambda a: a["whole"] | strictly_inside(_band_of(a["bands"], y, self.step), x, y))
         if first_only:
             # most points lie in a cell whose first area covers it entirely
             sure = F.get("_areas", F.lit(0))["whole"]
@@ -98,7 +100,30 @@ def _cell(value: Column, step: float) -> Column:
     return F.floor(value / F.lit(step)).cast("int")
 
 
-def _cells(shaped: DataFrame, step: float) -> DataFrame:
+def _band_of(bands: Column, y: Column, step: float) -> Column:
+    """The edges of the band that y lies in."""
+    n = F.size(bands)
+    place = F.floor((y - F.col("_cy") * F.lit(step)) / F.lit(step) * n).cast("int")
+    return F.get(bands, F.least(F.greatest(place, F.lit(0)), n - 1))
+
+
+def _bands(edges: Column, y0: Column, step: float, slack: float) -> Column:
+    """A cell's edges by horizontal bands of equal height. Edges longer than a band stand in several; where that would
+    repeat them too often, the cell is one band."""
+    n = F.least(F.greatest(F.ceil(F.size(edges) / F.lit(BAND_EDGES)).cast("int"), F.lit(1)), F.lit(MAX_BANDS))
+    height = F.lit(step) / n
+
+    def band(i: Column) -> Column:
+        low, high = y0 + i * height - slack, y0 + (i + 1) * height + slack
+        return F.filter(edges, lambda e: (F.greatest(e["y1"], e["y2"]) >= low) & (F.least(e["y1"], e["y2"]) <= high))
+
+    cut = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 1), band)).otherwise(F.array(edges))
+    held = F.aggregate(cut, F.lit(0), lambda s, b: s + F.size(b))
+    return F.when(held <= F.size(edges) * BAND_REPEATS, cut).otherwise(F.array(edges))
+
+
+def _cells(shaped: DataFrame, step: float, tasks: int | None) -> DataFrame:
+    """The cells of each row of the grid are made from the edges that reach into the row; rows are spread over ``tasks``."""
     slack = step * 1e-6  # rounding of floor(x / step) cannot move a point out of the widened box
     x0, y0 = F.col("_cx") * step - slack, F.col("_cy") * step - slack
     x1, y1 = (F.col("_cx") + 1) * step + slack, (F.col("_cy") + 1) * step + slack
@@ -106,14 +131,18 @@ def _cells(shaped: DataFrame, step: float) -> DataFrame:
         F.exists("edges", lambda e: meets_box(e, x0, y0, x1, y1)).alias("on_border"),
         strictly_inside(F.col("edges"), (x0 + x1) / 2, (y0 + y1) / 2).alias("centre_in"),
     )
+    in_row = F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= y0) & (F.least(e["y1"], e["y2"]) <= y1))
+    rows = shaped.withColumn("_cy", F.explode(F.sequence(_cell(F.col("lat_min"), step), _cell(F.col("lat_max"), step)))).withColumn("edges", in_row)
     per_area = (
-        shaped.withColumn("_cx", F.explode(F.sequence(_cell(F.col("lon_min"), step), _cell(F.col("lon_max"), step))))
-        .withColumn("_cy", F.explode(F.sequence(_cell(F.col("lat_min"), step), _cell(F.col("lat_max"), step))))
+        (rows.repartition(tasks, "area_id", "_cy") if tasks else rows)
+        .withColumn("_cx", F.explode(F.sequence(_cell(F.col("lon_min"), step), _cell(F.col("lon_max"), step))))
         .withColumn("cell", F.explode(F.filter(F.array(tested), lambda c: c["on_border"] | c["centre_in"])))
     )
     near = F.filter("edges", lambda e: F.col("cell.on_border") & right_of_box(e, x0, y0, y1))
-    entry = F.struct("area", "area_id", "offset_hours", (~F.col("cell.on_border")).alias("whole"), near.alias("edges"))
-    return per_area.groupBy("_cx", "_cy").agg(F.array_sort(F.collect_list(entry)).alias("_areas"))
+    near_cells = per_area.select("_cx", "_cy", "area", "area_id", "offset_hours", "cell", near.alias("near"))
+    bands = _bands(F.col("near"), F.col("_cy") * F.lit(step), step, slack)
+    entry = F.struct("area", "area_id", "offset_hours", (~F.col("cell.on_border")).alias("whole"), bands.alias("bands"))
+    return near_cells.groupBy("_cx", "_cy").agg(F.array_sort(F.collect_list(entry)).alias("_areas"))
 
 
 def assign_area(df: DataFrame, areas: DataFrame | AreaIndex, lat: str = "lat", lon: str = "lon") -> DataFrame:

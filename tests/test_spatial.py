@@ -3,10 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fieldtally.operators.spatial import AreaIndex, assign_area, count_points_by_area, stops_with_total
+from fieldtally.session import scratch_dir
 
 AREA = "area_id int, area string, offset_hours int, ring array<struct<lon:double,lat:double>>"
 
@@ -84,3 +86,28 @@ def test_hot_point_is_not_shuffled(spark):
     plan = assign_area(events, index)._jdf.queryExecution().executedPlan().toString()
     events_side = plan.split("BroadcastExchange")[0]
     assert "BroadcastHashJoin" in events_side and "Exchange hashpartitioning" not in events_side
+
+
+def test_detailed_coast(spark):
+    """A ring of 20,000 vertices: a point walks through a small part of the edges, with the same result."""
+    turn = F.lit(2 * math.pi / 20_000)
+    radius = lambda i: 3 + F.sin(turn * i * 7) + 0.002 * F.sin(turn * i * 1999)
+    vertex = lambda i: F.struct((radius(i) * F.cos(turn * i)).alias("lon"), (radius(i) * F.sin(turn * i)).alias("lat"))
+    ring = F.transform(F.sequence(F.lit(0), F.lit(19_999)), vertex)
+    path = scratch_dir(spark, "coast")
+    spark.range(1).select(F.lit(1).alias("area_id"), F.lit("coast").alias("area"), F.lit(0).alias("offset_hours"), ring.alias("ring")).write.parquet(path)
+    areas = spark.read.parquet(path)
+    index = AreaIndex.build(areas)
+    widest = index.cells.select(F.explode("_areas").alias("a")).select(F.explode("a.bands").alias("b")).agg(F.max(F.size("b"))).first()[0]
+    assert widest < 500
+    rng = random.Random(7)
+    xy = np.array([(rng.uniform(-4.2, 4.2), rng.uniform(-4.2, 4.2)) for _ in range(400)])
+    got = {r.i for r in assign_area(points_of(spark, [(float(x), float(y)) for x, y in xy]), index).collect()}
+    corners = np.array([tuple(p) for p in areas.select(F.inline("ring")).collect()])
+    (x1, y1), (x2, y2) = corners.T, np.roll(corners, -1, axis=0).T
+    want = set()
+    for i, (x, y) in enumerate(xy):
+        over = (y1 > y) != (y2 > y)
+        if (x < (x2[over] - x1[over]) * (y - y1[over]) / (y2[over] - y1[over]) + x1[over]).sum() % 2:
+            want.add(i)
+    assert got == want and 0 < len(want) < 400
