@@ -104,14 +104,38 @@ def a4(f: Frames) -> DataFrame:
     )
 
 
-@query("A5_load_lookup", "SELECT lang, id, name FROM l_items")
-def a5(f: Frames) -> DataFrame:
-    """One file per language, written from the part table, with the items in their own section."""
-    path = scratch_dir(f.spark, "lookup")
+def _written_lookup(f: Frames, kind: str) -> str:
+    """One file per language, written from the part table, with the kind in its own section (species: the whole file)."""
+    path, section = scratch_dir(f.spark, "lookup"), SL.SECTIONS[kind]
     entries = F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), "name")))
-    files = f.lookup("items").groupBy("lang").agg(entries.alias("items"))
-    files.select("lang", F.to_json(F.struct("items")).alias("value")).write.partitionBy("lang").text(path)
-    return SL.load_lookup(f.spark, path, "items")
+    files = f.lookup(kind).groupBy("lang").agg(entries.alias("names"))
+    value = F.col("names") if section is None else F.struct(F.col("names").alias(section))
+    files.select("lang", F.to_json(value).alias("value")).write.partitionBy("lang").text(path)
+    return path
+
+
+for _name, _kind in (("A5_load_lookup", "items"), *((f"A5_load_lookup_{k}", k) for k in ("species", "characters", "displays", "quest_types", "rewards"))):
+
+    @query(_name, f"SELECT lang, id, name FROM l_{_kind}")
+    def a5(f: Frames, kind: str = _kind) -> DataFrame:
+        return SL.load_lookup(f.spark, _written_lookup(f, kind), kind)
+
+
+@query("A5_load_forms", "SELECT species, CAST(species * 10 + 1 AS INT) AS form, form_name FROM forms")
+def a5_forms(f: Frames) -> DataFrame:
+    """Upper-case keys; each species also has a form 0, which is dropped, and one key has no species."""
+    paths = [scratch_dir(f.spark, name) for name in ("species", "forms")]
+    key = F.concat(F.lit("SP"), F.col("species").cast("string"))
+    named = F.struct(F.concat(key, F.lit("_"), F.upper("form_name")).alias("k"), (F.col("species") * 10 + 1).alias("v"))
+    unset = F.struct(F.concat(key, F.lit("_UNSET")).alias("k"), F.lit(0).alias("v"))
+    stray = F.array(F.struct(F.lit("NOBODY_NORMAL").alias("k"), F.lit(7).alias("v")))
+    rows = f.forms().agg(
+        F.collect_list(F.struct(key.alias("k"), F.col("species").alias("v"))).alias("species"),
+        F.concat(F.flatten(F.collect_list(F.array(named, unset))), stray).alias("forms"),
+    )
+    for path, name in zip(paths, ("species", "forms"), strict=True):
+        rows.select(F.to_json(F.map_from_entries(name)).alias("value")).write.text(path)
+    return SL.load_forms(f.spark, *paths)
 
 
 @query("A6_write_facts", "SELECT * FROM sighting_facts")
