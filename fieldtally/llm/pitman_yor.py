@@ -1,15 +1,19 @@
 """Language-model scoring by a hierarchical Pitman-Yor model.
 
-Tokens are words (A to Z lower-cased) and an end after each text. All training tokens are customers of one word restaurant. Its
-base measure spells a word byte by byte: restaurants of the two bytes before, whose parents are the restaurants of the last
+Tokens are words (A to Z lower-cased) and an end after each text. Each training token is a customer of the restaurant of the word
+before it (of the end before a text's first word). Every table there sends one customer to the word restaurant, the parent of
+all these contexts. Its base measure spells a word byte by byte: restaurants of the two bytes before, whose parents are the restaurants of the last
 byte, whose parent is the restaurant without context, over a uniform base. Every table of the word restaurant sends one customer
 per byte down this hierarchy, and every table there one to its parent. Each text is a context with a restaurant of its own,
-whose customers are its tokens so far and whose parent is the word restaurant.
+whose customers are its tokens so far and whose parent is the restaurant of the word before.
 
 Seating is sampled by Gibbs sweeps. In a sweep, each word's customers take seats anew, given the tables of all other words and
 the spelling probabilities of the last sweep (customers come in blocks over which the chance of a new table changes by 2 %
 at most); then the spelling restaurants are seated from the tables. Words are independent given the last sweep, so Spark seats
-them in parallel, and no state but the spelling tables is carried on. Probabilities are averaged over the sweeps after burn-in.
+them in parallel, and no state but the spelling tables is carried on. Probabilities are averaged over the sweeps after burn-in. The
+contexts are seated ``pair_turns`` times, at first by the number of contexts of each word, then by the word probabilities of the
+turn before; after each turn the word restaurant is seated anew from their tables. A pair that occurs once has one table, so only
+the others are drawn. The last turn's seating of the contexts is kept.
 
 Words that no training text has are one outcome, as they are in the base formula, so that both are probabilities of the same
 events: its probability is what the known words leave. A text's own mass for such a word comes on
@@ -17,7 +21,8 @@ top of it; the masses of the text's other unknown words are left out, so the pro
 
 Counting covers all training texts. The table of words is distributed and never collected. The spelling table has at
 most 257^3 cells whatever the corpus (some ten thousands in practice); it and the ``hot_words`` most frequent words are sent to
-all tasks. The other words of a text are scored by a join on the word's hash, pre-aggregated by text.
+all tasks, and so are the ``hot_pairs`` most frequent pairs. Other pairs of a text are scored by a join on the pair; a pair that
+training texts do not have goes back to its word, for which a held-out text's other words are joined by their hashes.
 
 Defined cases: a null or empty text is one end token; without training texts every token is the unknown
 word, of probability one; repeated rows are scored each; a null id counts as an empty text in the folds; an empty table gives an empty result.
@@ -35,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.llm.tables import stored
-from fieldtally.llm.text import LOWER, mixed, pieces, words
+from fieldtally.llm.text import LOWER, Words, mixed, pieces, words
 
 EDGE = 256  # a symbol for the start and the end of a word
 SYMBOLS = 257
@@ -50,14 +55,19 @@ class Settings:
     spelling_strength: float = 5.0
     text_discount: float = 0.8
     text_strength: float = 150.0
+    pair_strength: float = 5.0
+    pair_turns: int = 2
     burn_in: int = 2
     samples: int = 3
     hot_words: int = 1 << 18
+    hot_pairs: int = 1 << 18
 
 
 SETTINGS = Settings()
 #: tokens that a task counts before it passes counts on
 COUNT_TOKENS = 4_000_000
+#: pairs, different within a piece of text, that a task holds before it passes counts on
+COUNT_PAIRS = 2_000_000
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -113,6 +123,91 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "h bigint, word binary, n bigint").groupBy("h", "word").agg(F.sum("n").alias("n"))
 
 
+def in_order(found: Words, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash and hash of the token before, of all tokens of a piece with the end of each text; before a text stands an end."""
+    row = np.concatenate([found.row, np.arange(n_rows)])
+    order = np.argsort(row, kind="stable")  # the end comes last
+    hashes = np.concatenate([found.hashes, np.full(n_rows, END, np.uint64)])[order]
+    return row[order], hashes, np.roll(hashes, 1)
+
+
+def pair_keys(before: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return mixed(hashes + mixed(before))
+
+
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """u, w, n: how often the word w follows the word u in the training texts. ``texts``: text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def merged() -> tuple[np.ndarray, ...]:
+            keys, u, w, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, first, of = np.unique(keys, return_index=True, return_inverse=True)
+            return keys, u[first], w[first], np.bincount(of, weights=n).astype(np.int64)
+
+        def flush() -> pa.RecordBatch:
+            _, u, w, n = merged()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(w.view(np.int64)), pa.array(n)], names=["u", "w", "n"])
+
+        for batch in batches:
+            for piece in pieces(batch.column(0)):
+                _, hashes, before = in_order(words(piece, lower=True), len(piece))
+                keys, first, n = np.unique(pair_keys(before, hashes), return_index=True, return_counts=True)
+                held.append((keys, before[first], hashes[first], n))
+                if sum(len(x[0]) for x in held) >= COUNT_PAIRS:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return texts.mapInArrow(run, "u bigint, w bigint, n bigint").groupBy("u", "w").agg(F.sum("n").alias("n"))
+
+
+def seated_pairs(rows: DataFrame, discount: float, settings: Settings, seed: int) -> DataFrame:
+    """u, w, n, t: tables of pairs. ``rows``: u, w, n, p (the word's probability), tables (of the context, last turn)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                u, w, n, p, tables = (batch.column(c).to_numpy() for c in ("u", "w", "n", "p", "tables"))
+                rng = np.random.default_rng([seed, int(u[0]) & 0xFFFFFFFF, int(w[0]) & 0xFFFFFFFF])
+                t = tables_of(n, (settings.pair_strength + discount * tables) * p, discount, rng)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("u", "w", "n")), pa.array(t)], names=["u", "w", "n", "t"])
+
+    return rows.mapInArrow(run, "u bigint, w bigint, n bigint, t bigint")
+
+
+def pair_scores(types: DataFrame, pairs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """h, n, p, back of all words (probability; what the word's context passes on to the word restaurant), and u, w, c, p, n of all
+    pairs (how often w follows u; its probability there; how often w occurs)."""
+    kinds = pairs.agg(F.sum(F.when(F.col("n") == 1, 1)).alias("once"), F.sum(F.when(F.col("n") == 2, 1)).alias("twice"), F.count("*").alias("all")).first()
+    once, twice = kinds["once"] or 0, kinds["twice"] or 0
+    discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+    single = F.sum(F.when(F.col("n") == 1, 1).otherwise(0))
+    contexts = stored(pairs.groupBy("u").agg(F.sum("n").alias("total"), F.count("*").alias("tables"), single.alias("once")), "lm-contexts")
+    followers = stored(pairs.groupBy("w").agg(F.count("*").alias("tables"), single.alias("once")), "lm-followers")
+    more = pairs.where("n > 1")
+    p, tables = followers.select("w", (F.col("tables") / float(max(kinds["all"], 1))).alias("p")), contexts.select("u", "tables")
+    for turn in range(settings.pair_turns):
+        seated = stored(seated_pairs(more.join(p, "w").join(tables, "u"), discount, settings, 2000 + turn), "lm-pair-seats")
+        t = F.col("once") + F.coalesce("t", F.lit(0))
+        tables = stored(contexts.join(seated.groupBy("u").agg(F.sum("t").alias("t")), "u", "left").select("u", "total", t.alias("tables")), "lm-context-tables")
+        customers = followers.join(seated.groupBy("w").agg(F.sum("t").alias("t")), "w", "left").select(F.col("w").alias("h"), t.alias("customers"))
+        used = stored(types.join(customers, "h", "left").withColumn("customers", F.coalesce("customers", F.lit(0))), "lm-customers")
+        scores = word_scores(used, used.agg(F.sum("customers")).first()[0] or 0, settings)
+        p = scores.select(F.col("h").alias("w"), F.pow(F.lit(10.0), F.col("score")).alias("p"))
+        tables = tables.select("u", "tables", "total")
+    strength = F.lit(settings.pair_strength)
+    back = (strength + discount * F.col("tables")) / (strength + F.col("total"))
+    known = scores.join(tables.withColumnRenamed("u", "h"), "h", "left")
+    every = stored(known.select("h", "n", F.pow(F.lit(10.0), F.col("score")).alias("p"), F.coalesce(back, F.lit(1.0)).alias("back"), "total"), "lm-words")
+    all_seats = seated.unionByName(pairs.where("n = 1").withColumn("t", F.lit(1).cast("bigint")))
+    after = all_seats.join(every.select(F.col("h").alias("u"), "back", "total"), "u").select("u", "w", F.col("n").alias("c"), "back", ((F.col("n") - discount * F.col("t")) / (strength + F.col("total"))).alias("own"))
+    found = after.join(every.select(F.col("h").alias("w"), "p", "n"), "w").select("u", "w", "c", (F.col("own") + F.col("back") * F.col("p")).alias("p"), "n")
+    return every.drop("total"), stored(found, "lm-pairs-scored")
+
+
 def tables_of(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables that each dish ends up with when its customers sit down one after the other. ``pull``: (strength + discount *
     tables of the restaurant) * the parent's probability of the dish, which a new table weighs; i customers at t tables weigh
@@ -209,7 +304,7 @@ def seating(batch: pa.RecordBatch, state: State, settings: Settings, discount: f
     """tables, base probability, cells, their words, customers of the words in a batch."""
     cells, owner = spelled_cells(batch.column("word"))
     base = 10.0 ** np.bincount(owner, weights=state.spelling.log10(cells), minlength=batch.num_rows)
-    customers = batch.column("n").to_numpy()
+    customers = batch.column("customers").to_numpy()
     first = int(batch.column("h").to_numpy()[0]) if batch.num_rows else 0
     rng = np.random.default_rng([seed, first & 0xFFFFFFFF])
     return tables_of(customers, (settings.strength + discount * state.tables) * base, discount, rng), base, cells, owner, customers
@@ -235,7 +330,10 @@ def sweep(types: DataFrame, state: State, settings: Settings, discount: float, s
 
 
 def word_scores(types: DataFrame, tokens: int, settings: Settings) -> DataFrame:
-    """h, n, score: log10 of each word's probability, averaged over the sampled seatings."""
+    """h, n, score: log10 of each word's probability, averaged over the sampled seatings. ``types``: h, word, n and, unless they are
+    n, customers; ``tokens``: all customers."""
+    if "customers" not in types.columns:
+        types = types.withColumn("customers", F.col("n"))
     written = stored(known_scores(types, tokens, settings), "lm-scores")
     used = written.where("h IS NULL").agg(F.sum("score")).first()[0] or 0.0
     unknown = float(np.log10(max(1.0 - used, 1.0 / (tokens + 2.0))))
@@ -245,7 +343,7 @@ def word_scores(types: DataFrame, tokens: int, settings: Settings) -> DataFrame:
 def known_scores(types: DataFrame, tokens: int, settings: Settings) -> DataFrame:
     """h, n, score of the words that training texts have (null for others), and per batch a row without h: the sum of its
     probabilities."""
-    kinds = types.agg(F.sum(F.when(F.col("n") == 1, 1)).alias("once"), F.sum(F.when(F.col("n") == 2, 1)).alias("twice"), F.sum(F.when(F.col("n") > 0, 1)).alias("all")).first()
+    kinds = types.agg(F.sum(F.when(F.col("customers") == 1, 1)).alias("once"), F.sum(F.when(F.col("customers") == 2, 1)).alias("twice"), F.sum(F.when(F.col("customers") > 0, 1)).alias("all")).first()
     once, twice = kinds["once"] or 0, kinds["twice"] or 0
     discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
     state, states = State(float(kinds["all"] or 0), UNIFORM), []
@@ -273,59 +371,78 @@ def known_scores(types: DataFrame, tokens: int, settings: Settings) -> DataFrame
     return types.mapInArrow(run, "h bigint, n bigint, score double")
 
 
-def text_scores(docs: DataFrame, scores: DataFrame, tokens: int, distinct: int, settings: Settings) -> DataFrame:
+def text_scores(docs: DataFrame, scores: DataFrame, pairs: DataFrame, tokens: int, distinct: int, settings: Settings) -> DataFrame:
     """row, id, held_out and sums over the tokens of each text. ``docs``: row, id, held_out, text."""
-    base = F.log10((F.col("n") + 1) / F.lit(float(tokens + distinct + 1)))
-    scores = scores.withColumn("base", base)
-    hot = scores.orderBy(F.desc("n"), "h").limit(settings.hot_words).toArrow()  # bounded by the setting
+    base = lambda n: F.log10((n + 1) / F.lit(float(tokens + distinct + 1)))
+    hot = scores.orderBy(F.desc("n"), "h").limit(settings.hot_words).toArrow()  # bounded by the settings, as are the pairs
     order = np.argsort(hot["h"].to_numpy().view(np.uint64))
-    columns = [hot["h"].to_numpy().view(np.uint64)[order], *(hot[c].to_numpy()[order] for c in ("n", "base", "score"))]
-    sent = docs.sparkSession.sparkContext.broadcast(columns)
-    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64())
+    hot_words = [hot["h"].to_numpy().view(np.uint64)[order], *(hot[c].to_numpy()[order] for c in ("n", "p", "back"))]
+    hot = pairs.orderBy(F.desc("c"), "u", "w").limit(settings.hot_pairs).toArrow()
+    keys = pair_keys(hot["u"].to_numpy().view(np.uint64), hot["w"].to_numpy().view(np.uint64))
+    order = np.argsort(keys)
+    sent = docs.sparkSession.sparkContext.broadcast((hot_words, [keys[order], hot["p"].to_numpy()[order], hot["n"].to_numpy()[order]]))
     names = ["n_tokens", "n_known", "base_score", "score", "own", "open"]
+    look = ["uk", "wk", "back", "p", "n"]
+
+    def place(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+        return at, known[at] == keys if len(known) else np.zeros(len(keys), bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n, base, score = sent.value
-        probability = 10.0**score
+        (known, n, p, back), (known_pairs, pair_p, pair_n) = sent.value
         for batch in batches:
             for piece in pieces(batch.column("text")):
-                part, found = batch.slice(piece.rows.start, len(piece)), words(piece, lower=True)
-                row = np.concatenate([found.row, np.arange(len(piece))])
-                order = np.argsort(row, kind="stable")  # the end comes last
-                row, hashes = row[order], np.concatenate([found.hashes, np.full(len(piece), END, np.uint64)])[order]
-                own, free = text_restaurants(row, hashes, len(piece), settings)
-                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
+                part, size = batch.slice(piece.rows.start, len(piece)), len(piece)
+                row, hashes, before = in_order(words(piece, lower=True), size)
+                own, free = text_restaurants(row, hashes, size, settings)
+                at, hit = place(known_pairs, pair_keys(before, hashes))
                 at, here = at[hit], row[hit]
-                logs = np.log10(own[hit] + free[hit] * probability[at])
-                sums = [np.bincount(here, weights=w, minlength=len(piece)) for w in ((n[at] > 0), base[at], logs)]
+                logs, bases = np.log10(own[hit] + free[hit] * pair_p[at]), np.log10((pair_n[at] + 1) / (tokens + distinct + 1.0))
+                sums = [np.bincount(here, weights=w, minlength=size).astype(np.float64) for w in (np.ones(len(at)), bases, logs)]
                 # the head of a text goes by the row number, a hash that no word has but by chance; it opens no word (open = 0)
-                zeros = np.zeros(len(piece))
-                heads = [np.bincount(row, minlength=len(piece)), sums[0].astype(np.int64), sums[1], sums[2], zeros, zeros]
-                columns = [part.column(c) for c in ("row", "id", "held_out", "row")] + [pa.array(c, k) for c, k in zip(heads, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "held_out", "h", *names])
-                owner, count = pa.array(row[~hit]), int((~hit).sum())
-                if count:
+                zeros = np.zeros(size)
+                heads = [np.bincount(row, minlength=size), sums[0].astype(np.int64), sums[1], sums[2], zeros, zeros]
+                none = [pa.nulls(size, k) for k in (pa.float64(), pa.float64(), pa.int64())]
+                columns = [*(part.column(c) for c in ("row", "id", "held_out", "row", "row")), *map(pa.array, heads), part.column("row"), part.column("row"), *none]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "held_out", "u", "w", *names, *look])
+                rest = ~hit
+                if count := int(rest.sum()):
+                    u, w, of = before[rest], hashes[rest], part.column("row").take(pa.array(row[rest]))
                     none, zeros = [pa.nulls(count, part.column(c).type) for c in ("id", "held_out")], np.zeros(count)
-                    rest = [zeros.astype(np.int64), zeros.astype(np.int64), zeros, zeros, own[~hit], free[~hit]]
-                    columns = [part.column("row").take(owner), *none, pa.array(hashes[~hit].view(np.int64)), *(pa.array(c, k) for c, k in zip(rest, kinds, strict=True))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "held_out", "h", *names])
+                    (u_at, u_hot), (w_at, w_hot) = place(known, u), place(known, w)
+                    number = of.to_numpy()  # what is known here needs no join: its key is the row number
+                    seen = [np.where(u_hot, number, u.view(np.int64)), np.where(w_hot, number, w.view(np.int64))]
+                    values = [pa.array(x[i] if len(x) else np.zeros(count, x.dtype), mask=~h) for x, i, h in ((back, u_at, u_hot), (p, w_at, w_hot), (n, w_at, w_hot))]
+                    sums = [zeros.astype(np.int64), zeros.astype(np.int64), zeros, zeros, own[rest], free[rest]]
+                    columns = [of, *none, *map(pa.array, (u.view(np.int64), w.view(np.int64), *sums, *seen)), *values]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "held_out", "u", "w", *names, *look])
 
     kind = docs.schema["id"].dataType.simpleString()
-    rows = docs.select("row", "id", "held_out", "text").mapInArrow(
-        run, f"row bigint, id {kind}, held_out boolean, h bigint, n_tokens bigint, n_known bigint, base_score double, score double, own double, open double"
-    )
-    rest = scores.select("h", F.col("n").alias("_n"), F.col("base").alias("_base"), F.col("score").alias("_score"))
-    joined = rows.join(rest, "h", "left")
-    word = F.col("open") > 0
-    return joined.groupBy("row").agg(
-        F.max("id").alias("id"),
-        F.max("held_out").alias("held_out"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(word & (F.col("_n") > 0), 1).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base_score") + F.when(word, F.col("_base")).otherwise(0.0)).alias("base_score"),
-        F.sum(F.col("score") + F.when(word, F.log10(F.col("own") + F.col("open") * F.pow(F.lit(10.0), F.col("_score")))).otherwise(0.0)).alias("score"),
+    schema = (
+        f"row bigint, id {kind}, held_out boolean, u bigint, w bigint, n_tokens bigint, n_known bigint, base_score double, score double, own double, open double,"
+        " uk bigint, wk bigint, back double, p double, n bigint"
     )
+    scored = pairs.select("u", "w", F.col("p").alias("_pair_p"), F.col("n").alias("_pair_n"))
+
+    def summed(rows: DataFrame, p: Column, n: Column) -> DataFrame:
+        word = F.col("open") > 0
+        return rows.groupBy("row").agg(
+            F.max("id").alias("id"),
+            F.max("held_out").alias("held_out"),
+            F.sum("n_tokens").alias("n_tokens"),
+            F.sum(F.col("n_known") + F.when(word & (n > 0), 1).otherwise(0)).alias("n_known"),
+            F.sum(F.col("base_score") + F.when(word, base(n)).otherwise(0.0)).alias("base_score"),
+            F.sum(F.col("score") + F.when(word, F.log10(F.col("own") + F.col("open") * p)).otherwise(0.0)).alias("score"),
+        )
+
+    made = lambda which: docs.where(which).select("row", "id", "held_out", "text").mapInArrow(run, schema)
+    # every pair of a training text is known; only those of held-out texts may go back to the word
+    trained = summed(made("NOT held_out").drop(*look).join(scored, ["u", "w"], "left"), F.col("_pair_p"), F.col("_pair_n"))
+    backs = scores.select(F.col("h").alias("uk"), F.col("back").alias("_back"))
+    singles = scores.select(F.col("h").alias("wk"), F.col("p").alias("_p"), F.col("n").alias("_n"))
+    held = made("held_out").join(scored, ["u", "w"], "left").join(singles, "wk", "left").join(backs, "uk", "left")
+    lower = F.coalesce("back", "_back", F.lit(1.0)) * F.coalesce("p", "_p")
+    return trained.unionByName(summed(held, F.coalesce(F.col("_pair_p"), lower), F.coalesce("_pair_n", "n", "_n")))
 
 
 def text_restaurants(row: np.ndarray, hashes: np.ndarray, n_rows: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -353,6 +470,7 @@ def score_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     types = stored(word_counts(rows.select("text", (~F.col("held_out")).alias("train"))), "lm-types")
     total = types.agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("n") > 0, 1)).alias("distinct")).first()
     tokens, distinct = total["tokens"] or 0, total["distinct"] or 0
-    scores = word_scores(types, tokens, settings)
-    found = text_scores(rows, scores, tokens, distinct, settings)
+    pairs = stored(pair_counts(rows.where("NOT held_out").select("text")), "lm-pairs")
+    scores, pairs = pair_scores(types, pairs, settings)
+    found = text_scores(rows, scores, pairs, tokens, distinct, settings)
     return found.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -406,6 +406,35 @@ def test_word_probabilities_sum_to_one(spark):
     assert all((r["base_score"], r["train_tokens"]) == (0.0, 0) and -0.02 < r["score"] <= 0 for r in none.collect())
 
 
+def test_training_word_order_counts(spark):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2]
+    run = [f"w{k}" for k in range(40)]
+
+    def score(order):
+        docs = spark.createDataFrame([(held, " ".join(run))] + [(i, " ".join(order)) for i in train], "doc_id int, text string")
+        found = {r["doc_id"]: r for r in pitman_yor.score_report(docs).collect()}
+        few = {r["doc_id"]: r for r in pitman_yor.score_report(docs, settings=pitman_yor.Settings(hot_words=0, hot_pairs=0)).collect()}
+        assert all(found[i]["score"] == pytest.approx(few[i]["score"]) and found[i]["n_known"] == few[i]["n_known"] for i in found)
+        return found[held]["score"], found[held]["base_score"]
+
+    same, turned = score(run), score(run[::-1])
+    assert same[1] == pytest.approx(turned[1]) and same[0] > turned[0] + 40  # a factor of ten a word at least
+
+
+def test_pair_probabilities_sum_to_one(spark):
+    docs = spark.createDataFrame([(" ".join(f"w{i * i % k}" for i in range(300)), True) for k in (3, 17, 101)] + [("never seen", False)], "text string, train boolean")
+    scores, pairs = pitman_yor.pair_scores(pitman_yor.word_counts(docs), pitman_yor.pair_counts(docs.where("train").select("text")), pitman_yor.SETTINGS)
+    singles = {r["h"]: r for r in scores.collect()}
+    after = defaultdict(dict)
+    for r in pairs.collect():
+        after[r["u"]][r["w"]] = r["p"]
+    unknown = next(r["p"] for r in singles.values() if r["n"] == 0)
+    for u, seen in after.items():
+        rest = sum(r["p"] for h, r in singles.items() if r["n"] > 0 and h not in seen) + unknown
+        assert sum(seen.values()) + singles[u]["back"] * rest == pytest.approx(1.0)
+
+
 def test_spelling_is_a_distribution():
     import numpy as np
 
