@@ -27,11 +27,11 @@ SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 @dataclass(frozen=True)
 class RepetitionRules:
     """Limits of the rules. ``coverage``: for a length n, the largest share of a text's word characters in n-grams that the
-    text has twice or more (first included)."""
+    text has twice or more (first included). These words also lie in repeated 3-grams, so limits near the base rule's 50 % never fire."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    coverage: tuple[tuple[int, float], ...] = ((5, 0.50), (7, 0.47), (10, 0.45))
+    coverage: tuple[tuple[int, float], ...] = ((5, 0.30), (7, 0.27), (10, 0.25))
     max_dup_line_share: float = 0.50
     max_dup_line_chars: float = 0.40
 

@@ -86,6 +86,16 @@ def test_quality_coverage(spark):
     assert got[3]["dup_line_char_share"] == pytest.approx(2 * chars(block) / (3 * chars(block) + chars(tail))) and not got[3]["kept"]
 
 
+def test_quality_rejects_what_the_base_rule_passes(spark):
+    """A block of b words that comes twice in a text of 200: 2 b / 200 of the words, all equally long."""
+    text = lambda b: " ".join([f"a{i:03}" for i in range(b)] + [f"b{i:03}" for i in range(200 - 2 * b)] + [f"a{i:03}" for i in range(b)])
+    docs = spark.createDataFrame([(b, text(b)) for b in (0, 10, 20, 24, 26, 32, 40, 48)], "doc_id int, text string")
+    got = {r["doc_id"]: r for r in quality.repetition_report(docs).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert {b for b, r in got.items() if r["kept"]} == {0, 10, 20, 24}
+    assert {r["doc_id"] for r in quality.drop_repetitive(docs).collect()} == {0, 10, 20, 24}
+
+
 # ------------------------------------------------------------------------------------------------ op2
 
 
