@@ -2,7 +2,9 @@
 
 Every page is parsed into a tree, and each block element that has text gets a hash of its subtree. Spark counts on how many
 different pages of a host each hash occurs; subtrees that recur on many of them are the site's template and are deleted. Pages
-whose article is the same count as one, so that copies of an article do not make it a template. Before that, elements
+whose article is the same count as one, so that copies of an article do not make it a template. Inside a main article only what
+most articles of the host carry is deleted; there, articles with the same longest block count as one, so that near copies do
+not delete what they share. Before that, elements
 whose tag, role or class says that they are no content go (navigation, adverts, forms, comments and so on).
 
 Defined cases: a null page has no text; broken markup is read as far as it goes (open elements end with the page, stray end tags
@@ -58,13 +60,16 @@ NAME_PART = re.compile(r"[a-z0-9]+")
 
 @dataclass(frozen=True)
 class Template:
-    """A subtree is a template from so many different pages, and so large a share, of a host on."""
+    """A subtree is a template from so many different pages, and so large a share, of a host on; ``main``: inside main articles."""
 
     min_pages: int = 5
     min_share: float = 0.2
+    main_pages: int = 10
+    main_share: float = 0.6
 
 
 TEMPLATE = Template()
+MAIN = ("article", "main")
 #: rows of the largest table of templates that is broadcast; parts of a host's pages beyond
 BROADCAST_ROWS, PARTS = 300_000, 16
 
@@ -173,7 +178,7 @@ def inside(node: Node) -> Iterator[Node]:
 
 def main_nodes(root: Node) -> list[Node]:
     """The outermost articles, else main elements, else all."""
-    for tag in ("article", "main"):
+    for tag in MAIN:
         found, stack = [], [root]
         while stack:
             node = stack.pop()
@@ -217,8 +222,28 @@ def block_texts(node: Node, templates: frozenset[int]) -> list[str]:
     return out
 
 
-def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
-    return "\n\n".join(t for node in main_nodes(parse(page)) for t in block_texts(node, templates))
+def main_text(page: str, templates: frozenset[int] = frozenset(), main_templates: frozenset[int] = frozenset()) -> str:
+    """``templates`` go from a page without a main article, ``main_templates`` from main articles."""
+    nodes = main_nodes(parse(page))
+    return "\n\n".join(t for node in nodes for t in block_texts(node, main_templates if node.tag in MAIN else templates))
+
+
+def longest_block(nodes: list[Node]) -> int:
+    """The mark of the block with most text of its own, the smallest mark of equal ones."""
+    best, stack = (0, 0), [(n, None) for n in nodes]
+    sizes: dict[int, int] = {}
+    while stack:
+        node, block = stack.pop()
+        if node.dropped:
+            continue
+        block = node.mark if node.tag in BLOCKS or block is None else block
+        for child in node.children:
+            if isinstance(child, str):
+                sizes[block] = sizes.get(block, 0) + len(child.strip())
+            else:
+                stack.append((child, block))
+    best = min(((-n, mark) for mark, n in sizes.items()), default=best)
+    return best[1]
 
 
 def host_of(url: str | None) -> str:
@@ -229,28 +254,36 @@ def host_of(url: str | None) -> str:
 
 
 def subtree_rows(pages: DataFrame) -> DataFrame:
-    """host, mark, article: the hash of each block with text of a page, and of its article, once a page."""
+    """host, mark, article, main: the hash of each block with text of a page, and of its article, once a page; and with ``main``
+    the same of the blocks inside the main article, and of the article's longest block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 128):
-                rows: list[tuple[str, int, int]] = []
+                rows: list[tuple[str, int, int, bool]] = []
                 for url, page in zip(*(c.to_pylist() for c in whole.slice(start, 128).columns), strict=True):
                     root, host = parse(page or ""), host_of(url)
-                    article = xxhash.xxh3_64_intdigest(",".join(str(n.mark) for n in main_nodes(root))) - (1 << 63)
-                    rows += {(host, n.mark, article) for n in inside(root) if n.has_text and n.tag in BLOCKS} | {(host, None, article)}
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "mark", "article"])
+                    nodes = main_nodes(root)
+                    article = xxhash.xxh3_64_intdigest(",".join(str(n.mark) for n in nodes)) - (1 << 63)
+                    rows += {(host, n.mark, article, False) for n in inside(root) if n.has_text and n.tag in BLOCKS} | {(host, None, article, False)}
+                    if nodes[0].tag in MAIN:
+                        longest = longest_block(nodes)
+                        rows += {(host, n.mark, longest, True) for node in nodes for n in inside(node) if n.has_text and n.tag in BLOCKS} | {(host, None, longest, True)}
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["host", "mark", "article", "main"])
 
-    return pages.mapInArrow(run, "host string, mark bigint, article bigint")
+    return pages.mapInArrow(run, "host string, mark bigint, article bigint, main boolean")
 
 
 def site_templates(pages: DataFrame, template: Template = TEMPLATE) -> DataFrame:
-    """host, marks: subtrees that recur across the host's pages. At most (blocks a page / min_share) marks a host."""
-    counts = subtree_rows(pages).distinct().groupBy("host", "mark").agg(F.count("*").alias("n"))
-    counts = stored(counts.where(F.col("mark").isNull() | (F.col("n") >= template.min_pages)), "html-counts")
-    sizes = counts.where("mark IS NULL").select("host", F.col("n").alias("pages"))
-    often = counts.where("mark IS NOT NULL").join(sizes, "host").where(F.col("n") >= template.min_share * F.col("pages"))
-    return stored(often.groupBy("host").agg(F.collect_list("mark").alias("marks")), "html-templates")
+    """host, marks, main_marks: subtrees that recur across the host's pages, and across its main articles. At most (blocks a page /
+    min_share) marks a host."""
+    counts = subtree_rows(pages).distinct().groupBy("host", "mark", "main").agg(F.count("*").alias("n"))
+    either = lambda low, main: F.when(F.col("main"), F.lit(main)).otherwise(F.lit(low))
+    counts = stored(counts.where(F.col("mark").isNull() | (F.col("n") >= either(template.min_pages, template.main_pages))), "html-counts")
+    sizes = counts.where("mark IS NULL").select("host", "main", F.col("n").alias("pages"))
+    often = counts.where("mark IS NOT NULL").join(sizes, ["host", "main"]).where(F.col("n") >= either(template.min_share, template.main_share) * F.col("pages"))
+    listed = lambda main: F.collect_list(F.when(F.col("main") == main, F.col("mark")))
+    return stored(often.groupBy("host").agg(listed(False).alias("marks"), listed(True).alias("main_marks")), "html-templates")
 
 
 def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", template: Template = TEMPLATE) -> DataFrame:
@@ -259,7 +292,7 @@ def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     templates = site_templates(slim.select("url", "html"), template)
     host = F.udf(host_of, "string", useArrow=True)(F.col("url"))
     named = slim.withColumn("host", host)
-    if (templates.agg(F.sum(F.size("marks"))).first()[0] or 0) <= BROADCAST_ROWS:
+    if (templates.agg(F.sum(F.size("marks") + F.size("main_marks"))).first()[0] or 0) <= BROADCAST_ROWS:
         joined = named.join(F.broadcast(templates), "host", "left")
     else:  # a host's pages are spread over parts, and its templates repeated for each
         parts = templates.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
@@ -269,9 +302,10 @@ def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         for whole in batches:
             for start in range(0, whole.num_rows, 128):
                 batch = whole.slice(start, 128)
-                texts = [main_text(page or "", frozenset(marks or ())) for page, marks in zip(batch.column("html").to_pylist(), batch.column("marks").to_pylist(), strict=True)]
+                columns = (batch.column(c).to_pylist() for c in ("html", "marks", "main_marks"))
+                texts = [main_text(page or "", frozenset(marks or ()), frozenset(main or ())) for page, marks, main in zip(*columns, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     kind = slim.schema["id"].dataType.simpleString()
-    out = joined.select("id", "url", "html", "marks").mapInArrow(run, f"id {kind}, url string, text string, n_chars bigint")
+    out = joined.select("id", "url", "html", "marks", "main_marks").mapInArrow(run, f"id {kind}, url string, text string, n_chars bigint")
     return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

@@ -15,6 +15,7 @@ from fieldtally.llm.queries import QUERIES
 from fieldtally.llm.tables import table
 
 SF = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.1"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN = re.compile("[0-9a-z\u0080-\U0010ffff]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -287,6 +288,26 @@ def test_templates(spark):
     assert html_text.page_texts(pages.where("false")).count() == 0
 
 
+def test_paragraphs_of_articles_stay(spark):
+    page = "<html><body><article><h1>T%d</h1><p>%s</p><p>%s</p></article></body></html>"
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(12))
+    rows = [(i, "http://small.example/", page % (i, own(i), "Said by five." if i < 5 else f"last {i}")) for i in range(24)]
+    # near copies of an article beside other ones: they share what they share
+    rows += [(100 + i, "http://near.example/", page % (i, own(0), "Shared by copies.")) for i in range(30)]
+    rows += [(200 + i, "http://near.example/", page % (i, own(i), f"last {i}")) for i in range(1, 6)]
+    got = {r["page_id"]: r["text"] for r in html_text.page_texts(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert all(got[i].endswith("Said by five.") for i in range(5)) and all(got[i].endswith(f"last {i}") for i in range(5, 24))
+    assert all(got[100 + i] == f"T{i}\n\n{own(0)}\n\nShared by copies." for i in range(30))
+
+
+def test_pages_at_a_larger_scale(spark):
+    pages = {r["page_id"]: r["html"] for r in table(spark, LARGER, "pages").collect()}
+    for r in QUERIES["op6_site_templates"](spark, LARGER).collect():
+        article = re.search(r"<article>(.*?)(</article>|$)", pages[r["page_id"]], re.S)[1]
+        blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article))
+        assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
 # ------------------------------------------------------------------------------------------------ op7
 
 ASSIGN = re.compile(
