@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import chat, decontam, divergence, hard_negatives, html_text, langid, mixing, near_dup, pitman_yor, quality, secret_scan, sharding
+from fieldtally.llm import chat, decontam, divergence, hard_negatives, html_text, langid, mixing, near_dup, pitman_yor, quality, secret_scan, sharding, toxicity
 from fieldtally.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +204,8 @@ FROM r QUALIFY part = 'pair' OR rank <= 10
 @query("op12_source_divergence", OP12)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op11_noisy_channel")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
