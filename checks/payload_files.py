@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.base import Frames
 from fieldtally.session import scratch_dir
+from fieldtally.sources.storage import children, set_times
 
 
 def _envelope(kind: str, message) -> F.Column:
@@ -70,24 +71,44 @@ def placed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("place", F.col("arrival") / top)
 
 
+def spoiled_lines(f: Frames) -> DataFrame:
+    """For each family messages that fail one of its checks."""
+    nation = f.table("nation").withColumn("arrival", F.col("n_nationkey").cast("bigint"))
+    key = F.col("n_nationkey")
+    bad = {
+        "pokemon": F.struct((key + 1).alias("pokemon_id"), F.lit(1.5).alias("latitude"), F.lit(2.5).alias("longitude"), F.lit("xyz").alias("spawnpoint_id")),
+        "raid": F.struct(F.lit("gym_1").alias("gym_id"), F.lit(0).alias("pokemon_id"), F.lit(1.5).alias("latitude"), F.lit(2.5).alias("longitude")),
+        "quest": F.struct(F.lit("stop_1").alias("pokestop_id"), F.lit(1.5).alias("latitude"), F.lit(2.5).alias("longitude"), F.array().cast("array<struct<type:int>>").alias("rewards")),
+        "invasion": F.struct(F.lit("stop_1").alias("pokestop_id"), F.lit(" ").alias("start"), F.lit(1.5).alias("latitude"), F.lit(2.5).alias("longitude")),
+    }
+    return reduce(DataFrame.unionByName, [nation.select(_envelope(kind, message).alias("value"), "arrival") for kind, message in bad.items()])
+
+
 def payload_lines(f: Frames) -> DataFrame:
-    """All four families in order of arrival, plus messages of a type nobody handles."""
+    """All four families in order of arrival, plus messages of a type nobody handles and some that fail their checks."""
     quests, invasions = quest_lines(f.raw("quests")), invasion_lines(f.raw("invasions"))
     pairs = quests.join(invasions.withColumnRenamed("value", "other"), "arrival")
     arrays = pairs.select(F.concat(F.lit("["), "value", F.lit(","), "other", F.lit("]")).alias("value"), "arrival")
     unknown = f.table("nation").select(
         _envelope("weather", F.struct("n_name")).alias("value"), F.col("n_nationkey").cast("bigint").alias("arrival")
     )
-    parts = [sighting_lines(f.raw("sightings")), raid_lines(f.raw("raids")), arrays, unknown]
+    parts = [sighting_lines(f.raw("sightings")), raid_lines(f.raw("raids")), arrays, unknown, spoiled_lines(f)]
     return reduce(DataFrame.unionByName, [placed(lines) for lines in parts])
 
 
+#: files of a delivery, written side by side
+FILES = 3
+
+
 def write_payloads(f: Frames, files: int = 4) -> str:
-    """Files of JSON lines in order of arrival, written one after the other: file times decide what is "last"."""
+    """Deliveries of JSON lines in order of arrival, each several files. File times decide what is "last", so they are set
+    in the order of the files' names; within a file lines are in order."""
     lines, path = scratch_dir(f.spark, "lines"), scratch_dir(f.spark, "payloads")
     payload_lines(f).withColumn("part", F.floor(F.col("place") * files)).write.partitionBy("part").parquet(lines)
+    written: list[str] = []
     for part in range(files):
         rows = f.spark.read.parquet(lines).where(F.col("part") == part)
-        # one file per delivery, as a collector would write it; only a test feeds the stream this way
-        rows.repartition(1).sortWithinPartitions("place").select("value").write.mode("append").text(path)
+        rows.repartitionByRange(FILES, "place").sortWithinPartitions("place").select("value").write.mode("append").text(path)
+        written += [name for name in children(f.spark, path) if name.startswith("part-") and name not in written]
+    set_times(f.spark, [f"{path}/{name}" for name in written])
     return path

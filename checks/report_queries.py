@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.base import NOW, Frames, first_by, query
 from checks.fact_queries import _INVASION, _RAID, AREA, FROM, TO, heatmap_sql, named_map_sql, shiny_sql
-from checks.payload_files import write_payloads
+from checks.payload_files import FILES, write_payloads
 from checks.rollup_queries import CNT, HOUR, W
 from checks.scalars_joins import _CLASS, _named_species
+from fieldtally import schemas as M
 from fieldtally.operators import derive as D
 from fieldtally.operators import merge as G
 from fieldtally.operators import retention as RT
@@ -409,7 +411,7 @@ def j7_series(f: Frames) -> DataFrame:
 
 def _streamed(f: Frames, job) -> str:
     path, mark = scratch_dir(f.spark, "live"), scratch_dir(f.spark, "mark")
-    stream = stream_payloads(f.spark, write_payloads(f), max_files=2)
+    stream = stream_payloads(f.spark, write_payloads(f), max_files=2 * FILES)
     job(stream, f.areas, path, mark).awaitTermination()
     return path
 
@@ -419,44 +421,69 @@ _STREAMED = [(family, grain) for family, spec in ROLLUPS.items() for grain in sp
 _BATCHED = """(SELECT *, floor(floor(arrival / (SELECT max(arrival) + 1 FROM sightings) * 4) / 2) AS batch FROM sighting_rows)"""
 
 
-@query(
-    "K1_stream_rollups",
-    " UNION ALL ".join(
-        f"SELECT '{fam}' AS family, '{g}' AS grain, area, bucket, metric, {CNT} FROM r_{fam}_{g} GROUP BY ALL" for fam, g in _STREAMED
-    ),
+def values_sql(columns) -> str:
+    """All given columns of a row as one text."""
+    return "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in columns) + ")"
+
+
+def values_of(columns) -> F.Column:
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
+
+
+ALL_ROLLUPS_SQL = " UNION ALL ".join(
+    f"SELECT '{fam}' AS family, '{g}' AS grain, area, bucket, {values_sql(ROLLUPS[fam].dims_at(g))} AS dims, metric, cnt FROM r_{fam}_{g}" for fam, g in _STREAMED
 )
+
+
+def all_rollups(read) -> DataFrame:
+    """Every rollup with all its dimensions; ``read`` takes family and grain."""
+    parts = [
+        read(family, grain).select(F.lit(family).alias("family"), F.lit(grain).alias("grain"), "area", "bucket", values_of(ROLLUPS[family].dims_at(grain)).alias("dims"), "metric", "cnt")
+        for family, grain in _STREAMED
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("K1_stream_rollups", ALL_ROLLUPS_SQL)
 def k1(f: Frames) -> DataFrame:
-    """Every rollup, from a folded first batch and the delta of the second."""
-    path, out, folded = _streamed(f, K.stream_rollups), None, scratch_dir(f.spark, "folded")
+    """Every rollup, from a folded first batch, to which the marker points, and the delta of the second."""
+    path, folded = _streamed(f, K.stream_rollups), scratch_dir(f.spark, "folded")
     for family, grain in _STREAMED:
-        K.fold_rollup(f.spark, path, folded, family, grain, last=0)
-        rows = K.read_rollup(f.spark, path, family, grain, folded, upto=0).groupBy("area", "bucket", "metric").agg(F.sum("cnt").alias("cnt"))
-        rows = rows.select(F.lit(family).alias("family"), F.lit(grain).alias("grain"), *rows.columns)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        K.advance(f.spark, path, folded, f"{family}/{grain}", last=0)
+        K.drop_folded(f.spark, path, f"{family}/{grain}")
+    return all_rollups(lambda family, grain: K.read_rollup(f.spark, path, family, grain))
 
 
-@query(
-    "K2_stream_facts",
-    f"""SELECT 'raid' AS kind, day_date, gym AS point, seen_at, boss AS a, level AS b FROM raid_facts
-       UNION ALL SELECT 'sighting', day_date, CAST(spawnpoint AS VARCHAR), seen_at, species, iv
-       FROM ({first_by(_BATCHED, 'day_date, spawnpoint, seen_at', '*', 'batch, lat, lon, species, form, iv, level, area_id')})
-       UNION ALL SELECT 'invasion', day_date, pokestop, seen_at, display_type, character_id FROM invasion_facts
-       UNION ALL SELECT 'item', day_date, pokestop, seen_at, task_type, item_id FROM quest_item_facts
-       UNION ALL SELECT 'creature', day_date, pokestop, seen_at, task_type, poke_id FROM quest_creature_facts""",
-)
+_FACT_VALUES = {name: [c for c in (field.split()[0] for field in schema.split(",")) if c not in M.FACT_KEYS[name]] for name, schema in M.FACT_SCHEMAS.items()}
+_FIRST_SIGHTINGS = f"({first_by(_BATCHED, 'day_date, spawnpoint, seen_at', '*', 'batch, lat, lon, species, form, iv, level, area_id')})"
+
+
+def all_facts_sql(sightings: str = "sighting_facts") -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS name, {values_sql(M.FACT_KEYS[name])} AS fact, {values_sql(values)} AS held FROM {sightings if name == 'sighting_facts' else name}" for name, values in _FACT_VALUES.items()
+    )
+
+
+def all_facts(read) -> DataFrame:
+    """Every fact table with all its columns; ``read`` takes the name."""
+    return reduce(DataFrame.unionByName, [read(name).select(F.lit(name).alias("name"), values_of(M.FACT_KEYS[name]).alias("fact"), values_of(values).alias("held")) for name, values in _FACT_VALUES.items()])
+
+
+@query("K2_stream_facts", all_facts_sql(_FIRST_SIGHTINGS))
 def k2(f: Frames) -> DataFrame:
-    path, out = _streamed(f, K.stream_facts), None
-    for kind, name, point, a, b in (
-        ("raid", "raid_facts", "gym", "boss", "level"), ("sighting", "sighting_facts", "spawnpoint", "species", "iv"), ("invasion", "invasion_facts", "pokestop", "display_type", "character_id"),
-        ("item", "quest_item_facts", "pokestop", "task_type", "item_id"),
-        ("creature", "quest_creature_facts", "pokestop", "task_type", "poke_id"),
-    ):
-        rows = K.read_facts(f.spark, path, name).select(
-            F.lit(kind).alias("kind"), "day_date", F.col(point).cast("string").alias("point"), "seen_at", F.col(a).alias("a"), F.col(b).alias("b")
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    path = _streamed(f, K.stream_facts)
+    return all_facts(lambda name: K.read_facts(f.spark, path, name))
+
+
+@query("K2_fold_marker", all_facts_sql(_FIRST_SIGHTINGS))
+def k2_marker(f: Frames) -> DataFrame:
+    """Folded in two steps with the deltas deleted; readers find the folded root by its marker."""
+    path, folded = _streamed(f, K.stream_facts), scratch_dir(f.spark, "folded")
+    for name in M.FACT_KEYS:
+        K.advance(f.spark, path, folded, name, last=0)
+        K.advance(f.spark, path, folded, name)
+        K.drop_folded(f.spark, path, name)
+    return all_facts(lambda name: K.read_facts(f.spark, path, name))
 
 
 @query("K2_stream_shiny_months", "SELECT * FROM shiny_months")

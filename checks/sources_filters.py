@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.base import END, NOW, START, Frames, query, window
-from checks.payload_files import write_payloads
+from checks.payload_files import FILES, write_payloads
 from fieldtally import schemas as M
 from fieldtally.functions import predicates as P
 from fieldtally.operators import merge as G
@@ -23,11 +23,12 @@ from fieldtally.sources.payloads import read_payloads, routed_raw, stream_payloa
 # --- A: sources and sinks --------------------------------------------------------------------------------
 
 _TYPE_COUNTS = """
-SELECT 'pokemon' AS type, CAST(count(*) AS BIGINT) AS n FROM lineitem
+SELECT type, CAST(sum(n) AS BIGINT) AS n FROM (
+SELECT 'pokemon' AS type, count(*) AS n FROM lineitem
 UNION ALL SELECT 'raid', count(*) FROM orders
 UNION ALL SELECT 'quest', count(*) FROM events
 UNION ALL SELECT 'invasion', count(*) FROM events
-UNION ALL SELECT 'weather', count(*) FROM nation
+UNION ALL SELECT kind, count(*) FROM nation, (VALUES ('pokemon'), ('raid'), ('quest'), ('invasion'), ('weather')) k(kind) GROUP BY kind) GROUP BY type
 """
 
 
@@ -39,7 +40,7 @@ def a1(f: Frames) -> DataFrame:
 @query("A2_stream_payloads", _TYPE_COUNTS)
 def a2(f: Frames) -> DataFrame:
     out, mark = scratch_dir(f.spark, "arrived"), scratch_dir(f.spark, "mark")
-    stream = stream_payloads(f.spark, write_payloads(f), max_files=2).select("type", "message")
+    stream = stream_payloads(f.spark, write_payloads(f), max_files=2 * FILES).select("type", "message")
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(
         availableNow=True
     ).start().awaitTermination()

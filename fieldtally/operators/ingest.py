@@ -24,8 +24,7 @@ def _local(name: str, epoch: str, sender_offset: int) -> dict[str, Column]:
     }
 
 
-def ingest_sightings(raw: DataFrame, areas: Areas, sender_offset: int = 0) -> DataFrame:
-    rows = assign_area(raw, areas)
+def localise_sightings(rows: DataFrame, sender_offset: int = 0) -> DataFrame:
     return rows.withColumns(
         {
             "iv": S.iv_pct(F.col("atk"), F.col("dfn"), F.col("sta")),
@@ -35,8 +34,7 @@ def ingest_sightings(raw: DataFrame, areas: Areas, sender_offset: int = 0) -> Da
     )
 
 
-def ingest_raids(raw: DataFrame, areas: Areas, sender_offset: int = 0) -> DataFrame:
-    rows = assign_area(raw, areas)
+def localise_raids(rows: DataFrame, sender_offset: int = 0) -> DataFrame:
     return rows.withColumns(
         {
             **_local("seen", "spawn", sender_offset),
@@ -46,25 +44,26 @@ def ingest_raids(raw: DataFrame, areas: Areas, sender_offset: int = 0) -> DataFr
     )
 
 
-def ingest_quests(raw: DataFrame, areas: Areas, sender_offset: int = 0) -> DataFrame:
+def localise_quests(rows: DataFrame, sender_offset: int = 0) -> DataFrame:
     """Takes flat quests (first reward already picked, see :mod:`fieldtally.operators.derive`)."""
-    rows = assign_area(raw, areas).withColumns(_local("seen", "updated", sender_offset))
+    rows = rows.withColumns(_local("seen", "updated", sender_offset))
     if "mode" not in rows.columns:
         rows = rows.withColumn("mode", F.when(F.col("with_ar"), "ar").otherwise("normal"))
     return rows
 
 
-def ingest_invasions(raw: DataFrame, areas: Areas, sender_offset: int = 0) -> DataFrame:
-    return assign_area(raw, areas).withColumns(_local("start", "start_ts", sender_offset))
+def localise_invasions(rows: DataFrame, sender_offset: int = 0) -> DataFrame:
+    return rows.withColumns(_local("start", "start_ts", sender_offset))
 
 
-INGEST = {
-    "sightings": ingest_sightings,
-    "raids": ingest_raids,
-    "quests": ingest_quests,
-    "invasions": ingest_invasions,
+#: what is derived from rows that have their area
+LOCALISE = {
+    "sightings": localise_sightings,
+    "raids": localise_raids,
+    "quests": localise_quests,
+    "invasions": localise_invasions,
 }
 
 
 def ingest(raw: DataFrame, family: str, areas: Areas, sender_offset: int = 0) -> DataFrame:
-    return INGEST[family](raw, areas, sender_offset)
+    return LOCALISE[family](assign_area(raw, areas), sender_offset)

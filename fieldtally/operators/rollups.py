@@ -108,6 +108,64 @@ def rollup(events: DataFrame, family: str, grain: str) -> DataFrame:
     return _to_rows(counted.withColumn("bucket", S.epoch_to_ntz(F.col("_start"))), dims, metrics)
 
 
+#: source family -> (rollup, grain) counted from events; all other grains are folded from the finest of these with their dimensions
+FINEST = {
+    "sightings": (("sightings", "minute"), ("tth", "minute"), ("weather_iv", "month")),
+    "raids": (("raids", "minute"), ("raids", "hour")),
+    "quests": (("quests", "minute"),),
+    "invasions": (("invasions", "minute"), ("invasions", "hour")),
+}
+#: rollup and grain -> the grain it is folded from
+FOLDED_FROM = {"hour": "minute", "day": "hour", "week": "hour"}
+
+
+def finest_counts(events: DataFrame, source: str) -> DataFrame:
+    """All counts of ``FINEST`` for one source family in one pass: one read, one partial aggregation, one shuffle.
+
+    Grouping sets count every event once per rollup; ``family`` and ``grain`` tell the rows apart, and dimensions that a
+    rollup doesn't have are null in its rows.
+    """
+    targets = FINEST[source]
+    shaped = events
+    if source == "sightings":
+        shaped = shaped.withColumns({
+            "tth_bucket": F.when(F.col("verified"), S.tth_bucket(F.col("despawn_s"))),
+            "weather_flag": S.flag(F.col("weather")), "iv_bucket": S.iv_bucket(F.col("iv")),
+        })
+    else:
+        shaped = _shaped(shaped, source)
+    time = ROLLUPS[targets[0][0]].time
+    starts = {grain: f"_{grain}" for _, grain in targets}
+    shaped = shaped.withColumns({name: S.bucket_epoch(F.col(time), grain) for grain, name in starts.items()})
+    sets = [["area", starts[grain], *ROLLUPS[family].dims_at(grain)] for family, grain in targets]
+    keys = list(dict.fromkeys(c for columns in sets for c in columns))
+    flags = {"sightings": sighting_flags, "raids": raid_flags}.get(source, lambda: {"total": F.lit(True)})()
+    counted = shaped.groupingSets(sets, *keys).agg(
+        F.grouping_id(*keys).alias("_set"), *[(F.count("*") if m == "total" else F.count_if(test)).alias(f"n_{m}") for m, test in flags.items()]
+    )
+    number = [sum(1 << (len(keys) - 1 - i) for i, key in enumerate(keys) if key not in columns) for columns in sets]
+
+    def told(part: int) -> Column:
+        return F.coalesce(*[F.when(F.col("_set") == n, target[part]) for n, target in zip(number, targets, strict=True)])
+
+    dims = [key for key in keys if key not in starts.values()]
+    named = counted.select(told(0).alias("family"), told(1).alias("grain"), F.coalesce(*starts.values()).alias("_start"), *dims, *[f"n_{m}" for m in flags])
+    for family, needed in (("tth", "tth_bucket"), ("weather_iv", "iv_bucket")):
+        if needed in dims:
+            named = named.where((F.col("family") != family) | F.col(needed).isNotNull())
+    return named
+
+
+def finest_rollup(counts: DataFrame, family: str, grain: str) -> DataFrame:
+    """One rollup out of :func:`finest_counts`."""
+    spec = ROLLUPS[family]
+    dims, metrics = spec.dims_at(grain), spec.metrics_at(grain)
+    rows = counts.where((F.col("family") == family) & (F.col("grain") == grain)).select(
+        "area", S.epoch_to_ntz(F.col("_start")).alias("bucket"), *dims, *[F.col(f"n_{m}").alias(m) for m in metrics]
+    )
+    return _to_rows(rows, dims, metrics)
+
+
 def _to_rows(counted: DataFrame, dims: tuple[str, ...], metrics: tuple[str, ...]) -> DataFrame:
     keys = ["area", "bucket", *dims]
     if metrics == ("total",):

@@ -58,8 +58,12 @@ def route(payloads: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
+#: columns that rows may already carry beside their message
+_CARRIED = ("arrival", "area_id", "area", "offset_hours")
+
+
 def _extra(parsed: DataFrame) -> list[str]:
-    return [c for c in ("keys", "arrival") if c in parsed.columns]
+    return [c for c in ("keys", *_CARRIED) if c in parsed.columns]
 
 
 def _flag(name: str) -> Column:
@@ -122,15 +126,41 @@ _FLAT_QUEST = (
 def flat_quests(quests: DataFrame) -> DataFrame:
     """Valid quests with their first reward in plain columns, ready for ingestion."""
     flat = quest_labels(first_reward(valid_quests(quests)))
-    return flat.select(*_FLAT_QUEST, *[c for c in ("arrival",) if c in flat.columns])
+    return flat.select(*_FLAT_QUEST, *[c for c in _CARRIED if c in flat.columns])
+
+
+def wide_payloads(payloads: DataFrame) -> DataFrame:
+    """All families in one frame, each message parsed once, with its family and coordinates.
+
+    The message stands in the column of its family (``m_<family>``). Unknown types and unreadable messages are dropped,
+    as are messages without coordinates, which no family accepts.
+    """
+    kind = F.col("type")
+    parsed = payloads.where(kind.isin(*M.MESSAGES)).select(
+        F.coalesce(*[F.when(kind == k, F.lit(family)) for k, (family, _) in M.MESSAGES.items()]).alias("family"),
+        *[F.from_json(F.when(kind == k, F.col("message")), schema).alias(f"m_{family}") for k, (family, schema) in M.MESSAGES.items()],
+        F.when(kind == "quest", F.json_object_keys("message")).alias("keys"), "arrival",
+    )
+
+    def place(name: str) -> Column:
+        return F.coalesce(*[S.strip(F.col(f"m_{family}.{name}").cast("string")).try_cast("double") if "latitude string" in schema else F.col(f"m_{family}.{name}") for family, schema in M.MESSAGES.values()])
+
+    return parsed.withColumns({"lat": place("latitude"), "lon": place("longitude")}).where("lat IS NOT NULL AND lon IS NOT NULL")
+
+
+def raw_of(wide: DataFrame, family: str) -> DataFrame:
+    """One family out of :func:`wide_payloads` (or a table of it), valid and in the shape the ingest step takes; columns of an
+    area that is already known come along."""
+    shape = {"sightings": _sightings, "raids": _raids, "quests": _quests, "invasions": _invasions}[family]
+    rows = wide.where(F.col("family") == family).select(
+        F.col(f"m_{family}").alias("m"), *(["keys"] if family == "quests" else []), *[c for c in _CARRIED if c in wide.columns]
+    )
+    return _VALID[family](shape(rows))
+
+
+_VALID = {"sightings": valid_sightings, "raids": valid_raids, "quests": flat_quests, "invasions": valid_invasions}
 
 
 def routed_raw(payloads: DataFrame) -> dict[str, DataFrame]:
     """Routed, valid frames in the shape the ingest step takes."""
-    frames = route(payloads)
-    return {
-        "sightings": valid_sightings(frames["sightings"]),
-        "raids": valid_raids(frames["raids"]),
-        "quests": flat_quests(frames["quests"]),
-        "invasions": valid_invasions(frames["invasions"]),
-    }
+    return {family: _VALID[family](rows) for family, rows in route(payloads).items()}

@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 
 from checks.base import Frames
-from checks.payload_files import write_payloads
+from checks.payload_files import FILES, write_payloads
 from fieldtally import schemas as M
 from fieldtally.operators.ingest import ingest
 from fieldtally.operators.merge import shiny_counts
@@ -34,7 +34,7 @@ def payloads(frames):
 @pytest.fixture(scope="module")
 def rollup_store(spark, frames, payloads):
     path = scratch_dir(spark, "live")
-    K.stream_rollups(stream_payloads(spark, payloads, max_files=2), frames.areas, path, scratch_dir(spark, "mark")).awaitTermination()
+    K.stream_rollups(stream_payloads(spark, payloads, max_files=2 * FILES), frames.areas, path, scratch_dir(spark, "mark")).awaitTermination()
     return path
 
 
@@ -104,7 +104,7 @@ def fact_store(spark, frames, payloads):
         os.makedirs(folder)
         with open(f"{folder}/part-0.parquet", "w") as file:
             file.write("not a table")
-    K.stream_facts(stream_payloads(spark, payloads, max_files=1), frames.areas, path, scratch_dir(spark, "mark")).awaitTermination()
+    K.stream_facts(stream_payloads(spark, payloads, max_files=FILES), frames.areas, path, scratch_dir(spark, "mark")).awaitTermination()
     for folder in broken:
         os.remove(f"{folder}/part-0.parquet")
     return path
