@@ -14,7 +14,8 @@ the sorted turns of a conversation with running digests, so memory does not grow
 
 Defined cases: a null text or role reads as empty; turns with equal numbers follow role, then text; a null turn number is first,
 a null conversation id is a conversation of its own; repeated rows are repeated turns; a record whose fingerprint no mapping
-has, or that is no JSON object, gives one row with a null turn and its fingerprint; an empty table gives an empty result.
+has, that is no JSON object, is nested too deeply for the parser, or has an element that is no object where turns should be, gives
+one row with a null turn and its fingerprint, if it has one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -67,13 +68,24 @@ MAPPINGS = (
 )
 
 
-def field_paths(value: Any, at: str = "") -> set[str]:
-    """Paths of all leaves; an empty array or object is a leaf."""
-    if isinstance(value, dict) and value:
-        return set().union(*(field_paths(v, f"{at}.{k}" if at else k) for k, v in value.items()))
-    if isinstance(value, list) and value:
-        return set().union(*(field_paths(v, f"{at}[]") for v in value))
-    return {at}
+def beginnings(known: set[str]) -> set[str]:
+    return {p[:i] for p in known for i in range(len(p) + 1)}
+
+
+def known_paths(value: Any, known: set[str], begins: set[str]) -> set[str]:
+    """Those of the leaves' paths that are in ``known`` (an empty array or object is a leaf). What no known path begins with
+    is not walked into, and what is open waits in a list, so that depth is no matter."""
+    out, waiting = set(), [("", value)]
+    while waiting:
+        at, value = waiting.pop()
+        if isinstance(value, dict) and value:
+            waiting += [(path, v) for k, v in value.items() if (path := f"{at}.{k}" if at else k) in begins]
+        elif isinstance(value, list) and value:
+            if f"{at}[]" in begins:
+                waiting += [(f"{at}[]", v) for v in value]
+        elif at in known:
+            out.add(at)
+    return out
 
 
 def fingerprint(paths: set[str]) -> str:
@@ -92,15 +104,22 @@ def by_fingerprint(mappings: tuple[Mapping, ...]) -> tuple[set[str], dict[str, M
     return known, table
 
 
+LONE_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
 def text_of(value: Any) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    """A text as it is, anything else as JSON; halves of surrogate pairs, which no text can hold, become U+FFFD."""
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return LONE_SURROGATE.sub("\ufffd", text)
 
 
 def turns_of(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
-    """Canonical turns of a record."""
+    """Canonical turns of a record; none if one of its elements is no object, as half a conversation teaches nothing."""
     elements = [record]
     if mapping.each:
         elements = record.get(mapping.each) or []
+    if not isinstance(elements, list) or not all(isinstance(x, dict) for x in elements):
+        return []
     out = []
     for element in elements:
         for role, text in mapping.turns:
@@ -114,6 +133,7 @@ def turns_of(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
 def canonical_turns(records: DataFrame, keys: list[str], json_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """keys, fingerprint, layout, part (number of the turn in its record), role, text."""
     known, table = by_fingerprint(mappings)
+    begins = beginnings(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -121,13 +141,16 @@ def canonical_turns(records: DataFrame, keys: list[str], json_col: str = "record
                 batch = whole.slice(start, 512)
                 at, rows = [], []
                 for i, raw in enumerate(batch.column(len(keys)).to_pylist()):
+                    mark, found = None, []
                     try:
                         record = json.loads(raw) if raw else None
-                    except ValueError:
-                        record = None
-                    mark = fingerprint(field_paths(record) & known) if isinstance(record, dict) else None
-                    mapping = table.get(mark)
-                    found = [(mark, mapping.name, k, *turn) for k, turn in enumerate(turns_of(record, mapping))] if mapping else [(mark, None, None, None, None)]
+                        if isinstance(record, dict):
+                            mark = fingerprint(known_paths(record, known, begins))
+                            if mapping := table.get(mark):
+                                found = [(mark, mapping.name, k, *turn) for k, turn in enumerate(turns_of(record, mapping))]
+                    except (ValueError, RecursionError):  # no JSON, or nested too deeply for the parser
+                        found = []
+                    found = found or [(mark, None, None, None, None)]
                     rows += found
                     at += [i] * len(found)
                 columns = list(zip(*rows, strict=True)) or [[]] * 5

@@ -295,12 +295,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: Sketch = SKETCH) -> DataFrame:
-    """The documents with the smallest id of their class, with all columns; one of rows that share that id."""
-    report = stored(near_duplicates(docs, id_col, text_col, sketch), "near-report")
-    kept = report.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"))
-    kept = stored(kept, "near-kept")
-    out = docs.join(kept.select("_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    if kept.where("_n > 1 AND _id IS NOT NULL").limit(1).count():
-        single = out.where(F.col(id_col).isNull())
-        out = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(single)
-    return out
+    """One document of each class, with all its columns: the one with the smallest id, of equal ids that with the smallest
+    hash of its text; ids come before nulls. Rows with equal id and text are one. Every row with a null text stays.
+
+    A row goes by its id and text, so texts that share an id, or have none, are kept apart.
+    """
+    text = F.col(text_col).cast("string")
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("key"), text.alias("text"))
+    report = stored(near_duplicates(packed, "key", "text", sketch), "near-report")
+    kept = stored(report.where(F.col("key").eqNullSafe(F.col("class_id"))).groupBy(F.col("key").alias("chosen")).agg(F.count("*").alias("n")), "near-kept")
+    out = packed.join(kept.select("chosen"), F.col("key").eqNullSafe(F.col("chosen")), "left_semi")
+    if not kept.where("n > 1").isEmpty():
+        out = out.where("text IS NULL").unionByName(out.where("text IS NOT NULL").dropDuplicates(["key"]))
+    return out.select("doc.*")

@@ -90,8 +90,12 @@ def with_slots(placed: DataFrame, key: str, text: str = "text", rows_a_bucket: i
 
 
 def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", tree: tuple[Leaf, ...] = TREE) -> DataFrame:
-    """The documents with ``shard`` and ``slot``. Columns of these names in the input are replaced."""
-    return with_slots(with_shard(docs.drop("shard", "slot"), key, tree), key, text)
+    """The documents with ``shard`` and ``slot``. Columns of these names in the input are replaced; all others come through,
+    whatever they are called, as they travel in a struct."""
+    plain = docs.drop("shard", "slot")
+    whole = F.col(text) if text in plain.columns else F.lit(None)
+    packed = plain.select(F.struct(*[F.col(f"`{c}`") for c in plain.columns]).alias("doc"), F.col(key).alias("key"), whole.cast("string").alias("text"))
+    return with_slots(with_shard(packed, "key", tree), "key").select("doc.*", "shard", "slot")
 
 
 def shard_report(docs: DataFrame, key: str = "doc_id", text: str = "text", tree: tuple[Leaf, ...] = TREE) -> DataFrame:
