@@ -24,8 +24,8 @@ BROADCAST_BYTES = 128 << 20
 _SPREAD_ABOVE = 50_000
 _EDGE_BYTES = 48
 _CELL_BYTES = 160
-#: edges that a band of a cell aims at, bands of a cell at most, and how often bands may repeat a cell's edges in the mean
-BAND_EDGES, MAX_BANDS, BAND_REPEATS = 32, 512, 4
+#: edges that a band of a cell aims at, how often a cell is halved at most, and how often bands may repeat its edges in the mean
+BAND_EDGES, MAX_HALVINGS, BAND_REPEATS = 32, 12, 4
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,8 @@ class AreaIndex:
             return AreaIndex(None, 1.0, True)
         step = max(math.sqrt(totals["extent"] / (cells_per_area * totals["n"])), totals["longest"] / 4096, 1e-6)
         tasks = min(16 * totals["n"], 512) if totals["n"] * totals["edges"] > _SPREAD_ABOVE else None
-        cells = _cells(shaped, step, tasks)
+        halvings = math.ceil(math.log2(totals["longest"] / step + 2))
+        cells = _cells(shaped, step, tasks, halvings)
         bound = totals["extent"] / step**2 + 2 * totals["reach"] / step + 4 * totals["n"]
         fits = bound * (_CELL_BYTES + totals["edges"] * BAND_REPEATS * _EDGE_BYTES) <= broadcast_bytes
         if not fits:
@@ -108,21 +109,53 @@ def _band_of(bands: Column, y: Column, step: float) -> Column:
 
 
 def _bands(edges: Column, y0: Column, step: float, slack: float) -> Column:
-    """A cell's edges by horizontal bands of equal height. Edges longer than a band stand in several; where that would
-    repeat them too often, the cell is one band."""
-    n = F.least(F.greatest(F.ceil(F.size(edges) / F.lit(BAND_EDGES)).cast("int"), F.lit(1)), F.lit(MAX_BANDS))
-    height = F.lit(step) / n
+    """A cell's edges by horizontal bands of equal height, found by halving: a half is only filled from its parent's edges. Edges
+    longer than a band stand in several; where that would repeat them too often, the cell is one band."""
+    halvings = F.least(F.ceil(F.log2(F.greatest(F.size(edges) / F.lit(float(BAND_EDGES)), F.lit(1.0)))).cast("int"), F.lit(MAX_HALVINGS))
 
-    def band(i: Column) -> Column:
-        low, high = y0 + i * height - slack, y0 + (i + 1) * height + slack
-        return F.filter(edges, lambda e: (F.greatest(e["y1"], e["y2"]) >= low) & (F.least(e["y1"], e["y2"]) <= high))
+    def between(band: Column, low: Column, height: float) -> Column:
+        return F.filter(band, lambda e: (F.greatest(e["y1"], e["y2"]) >= low - slack) & (F.least(e["y1"], e["y2"]) <= low + height + slack))
 
-    cut = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 1), band)).otherwise(F.array(edges))
-    held = F.aggregate(cut, F.lit(0), lambda s, b: s + F.size(b))
-    return F.when(held <= F.size(edges) * BAND_REPEATS, cut).otherwise(F.array(edges))
+    def halved(done: int):
+        height = step / 2 ** (done + 1)
+        return lambda band, i: F.when(
+            halvings > done, F.array(between(band, y0 + 2 * i * height, height), between(band, y0 + (2 * i + 1) * height, height))
+        ).otherwise(F.array(band))
 
+    cut = F.array(edges)
+    for done in range(MAX_HALVINGS):
+        cut = F.flatten(F.transform(cut, halved(done)))
+    return F.element_at(F.transform(F.array(F.struct(cut.alias("cut"))), lambda x: F.when(_held(x["cut"]) <= F.size(edges) * BAND_REPEATS, x["cut"]).otherwise(F.array(edges))), 1)
 
-def _cells(shaped: DataFrame, step: float, tasks: int | None) -> DataFrame:
+
+def _held(bands: Column) -> Column:
+    return F.aggregate(bands, F.lit(0), lambda s, b: s + F.size(b))
+
+
+def _grid_rows(shaped: DataFrame, step: float, slack: float, tasks: int | None, halvings: int) -> DataFrame:
+    """One row per area and row of the grid (``_cy``) with the edges that reach into it, found by halving the area's range of rows:
+    each half is only given edges of the range it came from, so that an edge is tested as often as the range can be halved."""
+
+    def reach(low: Column, high: Column) -> Column:
+        y0, y1 = low * F.lit(step) - slack, (high + 1) * F.lit(step) + slack
+        return F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= y0) & (F.least(e["y1"], e["y2"]) <= y1))
+
+    rows = shaped.withColumns({"_low": _cell(F.col("lat_min"), step), "_high": _cell(F.col("lat_max"), step)})
+    for done in range(halvings):
+        low, high, middle = F.col("_low"), F.col("_high"), F.floor((F.col("_low") + F.col("_high")) / 2).cast("int")
+
+        def part(low: Column, high: Column, edges: Column) -> Column:
+            return F.struct(low.alias("low"), high.alias("high"), edges.alias("edges"))
+
+        both = F.array(part(low, middle, reach(low, middle)), part(middle + 1, high, reach(middle + 1, high)))
+        rows = rows.withColumn("_part", F.explode(F.when(low < high, both).otherwise(F.array(part(low, high, F.col("edges"))))))
+        rows = rows.withColumns({"_low": F.col("_part.low"), "_high": F.col("_part.high"), "edges": F.col("_part.edges")}).drop("_part")
+        if tasks and done == min(3, halvings - 1):  # enough parts to spread, few copies of edges yet
+            rows = rows.repartition(tasks, "area_id", "_low")
+    return rows.withColumnRenamed("_low", "_cy").drop("_high")
+
+
+def _cells(shaped: DataFrame, step: float, tasks: int | None, halvings: int) -> DataFrame:
     """The cells of each row of the grid are made from the edges that reach into the row; rows are spread over ``tasks``."""
     slack = step * 1e-6  # rounding of floor(x / step) cannot move a point out of the widened box
     x0, y0 = F.col("_cx") * step - slack, F.col("_cy") * step - slack
@@ -131,10 +164,8 @@ def _cells(shaped: DataFrame, step: float, tasks: int | None) -> DataFrame:
         F.exists("edges", lambda e: meets_box(e, x0, y0, x1, y1)).alias("on_border"),
         strictly_inside(F.col("edges"), (x0 + x1) / 2, (y0 + y1) / 2).alias("centre_in"),
     )
-    in_row = F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= y0) & (F.least(e["y1"], e["y2"]) <= y1))
-    rows = shaped.withColumn("_cy", F.explode(F.sequence(_cell(F.col("lat_min"), step), _cell(F.col("lat_max"), step)))).withColumn("edges", in_row)
     per_area = (
-        (rows.repartition(tasks, "area_id", "_cy") if tasks else rows)
+        _grid_rows(shaped, step, slack, tasks, halvings)
         .withColumn("_cx", F.explode(F.sequence(_cell(F.col("lon_min"), step), _cell(F.col("lon_max"), step))))
         .withColumn("cell", F.explode(F.filter(F.array(tested), lambda c: c["on_border"] | c["centre_in"])))
     )

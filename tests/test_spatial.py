@@ -111,3 +111,35 @@ def test_detailed_coast(spark):
         if (x < (x2[over] - x1[over]) * (y - y1[over]) / (y2[over] - y1[over]) + x1[over]).sum() % 2:
             want.add(i)
     assert got == want and 0 < len(want) < 400
+
+
+def test_very_detailed_coast(spark):
+    """A ring of 100,000 vertices: built in bounded time, few edges a band, and the same answers as every edge tried."""
+    import time
+
+    import numpy as np
+
+    n = 100_000
+    turn = F.lit(2 * math.pi / n)
+    point = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((F.cos(i * turn) * (10 + F.sin(i * turn * 40))).alias("lon"), (F.sin(i * turn) * (10 + F.cos(i * turn * 25))).alias("lat")))
+    areas = spark.range(1).select(F.lit(1).alias("area_id"), F.lit("A").alias("area"), F.lit(0).alias("offset_hours"), point.alias("ring"))
+    ring = np.array([(p["lon"], p["lat"]) for p in areas.first()["ring"]])
+    begin = time.perf_counter()
+    index = AreaIndex.build(areas)
+    most = index.cells.select(F.explode("_areas").alias("a")).select(F.max(F.array_max(F.transform("a.bands", lambda b: F.size(b))))).first()[0]
+    assert time.perf_counter() - begin < 40 and most <= 400  # seconds on a shared machine; some five on eight cores
+
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.uniform(-12, 12, size=(1_500, 2)), ring[:: n // 200]])  # vertices are on the border, so outside
+    frame = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)], "id int, lon double, lat double")
+    got = {r["id"] for r in assign_area(frame, index).collect()}
+    x1, y1 = ring.T
+    x2, y2 = np.roll(x1, -1), np.roll(y1, -1)
+
+    def inside(x, y):
+        up = (y1 > y) != (y2 > y)
+        cross = x1[up] + (y - y1[up]) / (y2[up] - y1[up]) * (x2[up] - x1[up])
+        return (cross > x).sum() % 2 == 1
+
+    want = {i for i, (x, y) in enumerate(points[:1_500]) if inside(x, y)}
+    assert {i for i in got if i < 1_500} == want and not [i for i in got if i >= 1_500]
