@@ -7,11 +7,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.base import Frames, first_by, query
+from checks.base import NOW, Frames, first_by, query
 from fieldtally import schemas as M
 from fieldtally.operators import merge as G
 from fieldtally.plans import maps as PM
 from fieldtally.plans import shiny as PH
+from fieldtally.plans.selection import FactSelection, map_report, rate_report
+from fieldtally.session import scratch_dir
+from fieldtally.sources import tables as ST
 
 # --- G: maintenance. The stored half is the rows with an even arrival, the batch the others ---------------
 
@@ -243,3 +246,35 @@ def h6_filtered(f: Frames) -> DataFrame:
 @query("H6_shiny_rates_limited", shiny_sql("month_year BETWEEN 2312 AND 2402", tail="ORDER BY species, form, shiny_pct_macro DESC LIMIT 40"))
 def h6_limited(f: Frames) -> DataFrame:
     return PH.shiny_rates(G.shiny_counts(f.events("sightings")), 2312, 2402, limit=40)
+
+
+# --- windows as texts ------------------------------------------------------------------------------------
+
+
+def _stored_facts(f: Frames, name: str) -> DataFrame:
+    path = scratch_dir(f.spark, name)
+    ST.write_facts(f.facts(name), path)
+    return ST.read_facts(f.spark, path, name)
+
+
+def _asked(f: Frames, start: str, end: str, **filters) -> FactSelection:
+    return FactSelection(f.areas, "NATION_24", start, end, NOW, filters)
+
+
+_WINDOWS = {
+    "H1_window_month_to_yesterday": ("202401", "yesterday", "2024-01-01 00:00:00", "2024-02-19 00:00:00"),
+    "H1_window_days_to_today": ("30 days", "today", "2024-01-21 12:00:00", "2024-02-20 00:00:00"),
+}
+for _id, (_start, _end, _low, _high) in _WINDOWS.items():
+
+    @query(_id, heatmap_sql().replace(SEEN, f"area_id = {AREA} AND seen_at BETWEEN TIMESTAMP '{_low}' AND TIMESTAMP '{_high}'"))
+    def window_heatmap(f: Frames, start: str = _start, end: str = _end) -> DataFrame:
+        return map_report(PM.sighting_heatmap, _stored_facts(f, "sighting_facts"), f.points("spawnpoints"), _asked(f, start, end))
+
+
+@query("H6_window_months", shiny_sql("month_year BETWEEN 2401 AND 2402"))
+def window_rates(f: Frames) -> DataFrame:
+    path = scratch_dir(f.spark, "months")
+    ST.write_months(G.shiny_counts(f.events("sightings")), path)
+    months = ST.read_table(f.spark, path, M.SHINY_MONTHS)
+    return rate_report(PH.shiny_rates, months, FactSelection(f.areas, "global", "2024-01", "today", NOW))

@@ -13,6 +13,7 @@ from fieldtally import schemas as M
 from fieldtally.functions import scalars as S
 from fieldtally.functions.predicates import valid_coords
 from fieldtally.operators.derive import quest_kind
+from fieldtally.session import scratch_dir
 
 
 def sighting_fact_rows(events: DataFrame) -> DataFrame:
@@ -155,16 +156,28 @@ def accumulate_shiny(existing: DataFrame, events: DataFrame) -> DataFrame:
     return sum_shiny(existing.select(*M.SHINY_KEY, "total_count").unionByName(shiny_counts(events)))
 
 
+def numbered(rows: DataFrame, order: str, into: str) -> DataFrame:
+    """Adds the place of each row, from 1, by a column of different values. Rows are dealt by ranges and counted per range; only
+    these counts meet in one place, and each range is numbered for itself."""
+    spark, path = rows.sparkSession, scratch_dir(rows.sparkSession, "numbered")
+    dealt = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    dealt.write.parquet(path)  # ranges are drawn once
+    kept = spark.read.schema(dealt.schema).parquet(path)
+    sizes = kept.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()  # one row a range
+    before = [(r["_part"], sum(x["n"] for x in sizes[:i])) for i, r in enumerate(sizes)]
+    starts = spark.createDataFrame(before, "_part int, _before bigint")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order)) + F.col("_before")
+    return kept.join(F.broadcast(starts), "_part").withColumn(into, place).drop("_part", "_before")
+
+
 def register_areas(existing: DataFrame, names: DataFrame) -> DataFrame:
     """Keep known areas, give unseen names the next ids in name order. Inner white space is collapsed.
 
-    Names are compared without regard to case. The list of unseen names is configuration, a few
-    hundred rows at most, which is what makes the single ordered numbering acceptable.
+    Names are compared without regard to case.
     """
     tidy = names.select(S.strip(F.regexp_replace("area", r"\s+", " ")).alias("area")).where("area <> ''")
     unique = tidy.groupBy(F.lower("area").alias("_low")).agg(F.min("area").alias("area"))
     unseen = unique.join(existing.select(F.lower("area").alias("_low")), "_low", "left_anti")
     top = F.coalesce(existing.agg(F.max("area_id")).scalar(), F.lit(0))
-    number = F.row_number().over(Window.orderBy("area"))
-    added = unseen.select((number + top).cast("int").alias("area_id"), "area")
+    added = numbered(unseen.select("area"), "area", "_place").select((F.col("_place") + top).cast("int").alias("area_id"), "area")
     return existing.select("area_id", "area").unionByName(added)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.functions.predicates import parse_csv, where_buckets, where_days, where_in
-from fieldtally.functions.timewindow import rollup_point
+from fieldtally.functions.timewindow import fact_time, month_start, months_between, rollup_point
+from fieldtally.operators.joins import area_id
 
 
 @dataclass(frozen=True)
@@ -68,3 +69,51 @@ def select_rows(rollup: DataFrame, sel: Selection) -> DataFrame:
     for col, csv in sel.filters.items():
         rows = where_in(rows, col, csv)
     return rows
+
+
+@dataclass(frozen=True)
+class FactSelection:
+    """What a report on facts is asked for: one area by name, window texts in UTC, and filters.
+
+    Beside what rollup windows take, a text may be ``today``, ``yesterday``, a day (YYYYMMDD) or a month (YYYYMM, YYYY-MM), which
+    stand for their first instant. ``now`` is given by the caller.
+    """
+
+    areas: DataFrame
+    area: str
+    start: str
+    end: str
+    now: datetime
+    filters: dict = field(default_factory=dict)
+
+    def window(self) -> tuple[datetime, datetime]:
+        start, end = fact_time(self.start, self.now), fact_time(self.end, self.now)
+        if end < start:
+            raise ValueError(f"the window ends before it starts: {self.start!r} to {self.end!r}")
+        return start, end
+
+    def months(self) -> list[int]:
+        """YYMM of the months that the window touches."""
+
+        def first(text: str) -> date:
+            try:
+                return month_start(text)
+            except ValueError:
+                value = fact_time(text, self.now)
+                return date(value.year, value.month, 1)
+
+        return months_between(first(self.start), first(self.end))
+
+
+def map_report(report: Callable[..., DataFrame], facts: DataFrame, points: DataFrame, sel: FactSelection, limit_per_day: int = 0) -> DataFrame:
+    """A map report (see :mod:`fieldtally.plans.maps`) for a selection. Its window becomes literal days, which prune partitions."""
+    return report(facts, points, area_id(sel.areas, sel.area), *sel.window(), sel.filters, limit_per_day)
+
+
+def rate_report(report: Callable[..., DataFrame], months: DataFrame, sel: FactSelection, **options) -> DataFrame:
+    """The rate report for a selection; ``global`` and ``all`` stand for every area."""
+    asked = sel.months()
+    if not asked:
+        raise ValueError(f"the window ends before it starts: {sel.start!r} to {sel.end!r}")
+    area = None if sel.area.strip().lower() in ("global", "all") else area_id(sel.areas, sel.area)
+    return report(months, asked[0], asked[-1], area, **{**sel.filters, **options})

@@ -100,3 +100,34 @@ def test_quest_mode_arms(spark, rows):
     assert rows(P.where_quest_items(df, ar_task_types="5")) == [(1, 5, 9)]
     assert rows(P.where_quest_items(df, ar_task_types="5", normal_item_ids="8")) == [(0, 5, 8), (1, 5, 9)]
     assert P.where_quest_items(df) is df
+
+
+def test_fact_selection(spark, tmp_path, rows):
+    import re
+
+    import pytest
+
+    from fieldtally.plans.maps import sighting_heatmap
+    from fieldtally.plans.selection import FactSelection, map_report, rate_report
+    from fieldtally.plans.shiny import shiny_rates
+    from fieldtally.sources import tables as ST
+
+    now = datetime(2024, 3, 31, 12)
+    areas = spark.createDataFrame([(3, "Here", 2)], "area_id int, area string, offset_hours int")
+    sel = lambda start, end, area="here": FactSelection(areas, area, start, end, now)
+    assert sel("yesterday", "today").window() == (datetime(2024, 3, 30), datetime(2024, 3, 31))
+    assert sel("202403", "now").window() == (datetime(2024, 3, 1), now) and sel("20240305", "2 days").window() == (datetime(2024, 3, 5), datetime(2024, 3, 29, 12))
+    assert sel("2023-11", "2024-02").months() == [2311, 2312, 2401, 2402] and sel("2 months", "today").months() == [2401, 2402, 2403]
+    for bad in (lambda: sel("now", "yesterday").window(), lambda: sel("some day", "now").window(), lambda: sel("some day", "now").months(), lambda: rate_report(shiny_rates, None, sel("2024-02", "2024-01"))):
+        with pytest.raises(ValueError):
+            bad()
+    facts = spark.sql(
+        "SELECT date_add(DATE'2024-03-01', CAST(id AS INT)) AS day_date, id AS spawnpoint, CAST(date_add(DATE'2024-03-01', CAST(id AS INT)) AS TIMESTAMP_NTZ) AS seen_at, "
+        "1 AS species, '0' AS form, 1 AS iv, 1 AS level, 3 AS area_id FROM range(31)"
+    )
+    ST.write_facts(facts, str(tmp_path / "facts"))
+    points = spark.sql("SELECT id AS spawnpoint, 1.0D AS lat, 2.0D AS lon FROM range(31)")
+    found = map_report(sighting_heatmap, ST.read_facts(spark, str(tmp_path / "facts"), "sighting_facts"), points, sel("3 days", "yesterday"))
+    assert [r[0] for r in rows(found, "spawnpoint")] == [28, 29]  # 12:00 on the 28th to the start of the 30th
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*day_date[^\]]*2024-03-28[^\]]*2024-03-30", plan)

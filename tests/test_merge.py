@@ -68,3 +68,11 @@ def test_area_registry(spark, rows):
     known = spark.createDataFrame([(7, "Old Town")], "area_id int, area string")
     names = spark.createDataFrame([(" old   town ",), ("North  Side",), ("north side",), ("East",)], "area string")
     assert rows(G.register_areas(known, names)) == [(7, "Old Town"), (8, "East"), (9, "North Side")]
+
+
+def test_areas_are_numbered_by_ranges(spark, rows):
+    known = spark.createDataFrame([(4, "Old Town")], "area_id int, area string")
+    names = spark.createDataFrame([(f"Area {i % 500:03d}",) for i in range(1_500)] + [("old  town",), (" ",), (None,)], "area string")
+    got = G.register_areas(known, names)
+    assert rows(got) == sorted([(4, "Old Town")] + [(5 + i, f"Area {i:03d}") for i in range(500)], key=repr)
+    assert rows(G.register_areas(known, names.limit(0))) == [(4, "Old Town")]
