@@ -1,9 +1,10 @@
 """Language identification, words first: a known word is scored by its log frequency in each language; an unseen word by the
 longest character n-grams (five down to one) of which any is known.
 
-The classifier is fitted on a bounded sample: ``sample_docs`` labelled documents a language, chosen by a hash of the id, and the
-``max_words`` words and ``max_grams`` n-grams most often seen in them. The model is a small table that Spark counts; it is
-sent to all tasks. Prediction is a map over all rows without a shuffle.
+The classifier is fitted on a bounded sample: ``sample_docs`` labelled documents a language, chosen by a hash of the id. Of the
+words and n-grams in them it keeps, for each language, the ``words`` and ``grams`` most often seen in that language, with their
+counts in all languages; so a language of few documents keeps its own words beside any other. The model is a table that Spark
+counts, of a size bounded by the number of languages; it is sent to all tasks. Prediction is a map over all rows without a shuffle.
 
 Defined cases: ``und`` with score 0 if the text is null or has no letter, or nothing could be learned; a text with letters but
 nothing known gets the language with most documents; equal scores go to the smaller language name; repeated rows are predicted
@@ -22,17 +23,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
 class Bounds:
-    """What the model may hold, and the longest n-gram."""
+    """What the model may hold of each language: documents, words, n-grams; and the longest n-gram."""
 
     sample_docs: int = 4_000
-    max_words: int = 150_000
-    max_grams: int = 150_000
+    words: int = 40_000
+    grams: int = 40_000
     longest: int = 5
 
 
@@ -76,10 +78,11 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def log_table(counts: DataFrame, languages: list[str], most: int) -> tuple[dict[str, int], np.ndarray]:
-    """Rows of the ``most`` frequent entries of (item, lang, n), and smoothed log frequencies. The frame has at most
-    ``most`` rows once grouped by item."""
-    top = counts.groupBy("item").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"n{i}") for i, name in enumerate(languages)])
-    rows = top.orderBy(F.desc("all"), "item").limit(most).toArrow()
+    """Rows of the ``most`` frequent entries of each language among (item, lang, n), and their smoothed log frequencies in all."""
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item"))
+    chosen = counts.withColumn("place", place).where(F.col("place") <= most).select("item").distinct()
+    of_lang = [F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"n{i}") for i, name in enumerate(languages)]
+    rows = counts.join(chosen, "item", "left_semi").groupBy("item").agg(*of_lang).orderBy("item").toArrow()
     seen = np.stack([rows[f"n{i}"].to_numpy().astype(np.float64) for i in range(len(languages))], axis=1) if rows.num_rows else np.zeros((0, len(languages)))
     items = rows["item"].to_pylist()
     kinds = np.array([len(x) for x in items]) if counts.columns[-1] == "size" else np.zeros(len(items), dtype=int)
@@ -109,15 +112,18 @@ def fit(labelled: DataFrame, bounds: Bounds = BOUNDS) -> Model:
             yield pa.RecordBatch.from_pydict({"item": [k[0] for k in seen], "lang": [k[1] for k in seen], "n": pa.array(list(seen.values()), pa.int64())})
 
     counts = sample.select("text", "lang").mapInArrow(count, "item string, lang string, n bigint").groupBy("item", "lang").agg(F.sum("n").alias("n"))
-    words, word_scores = log_table(counts, languages, bounds.max_words)
+    words, word_scores = log_table(counts, languages, bounds.words)
     framed = F.concat(F.lit("^"), F.col("item"), F.lit("$"))
-    parts = [
-        F.transform(F.sequence(F.lit(1), F.length(framed) - size + 1), lambda at, size=size: F.substring(framed, at, F.lit(size))) if size > 1 else F.split(framed, "")
-        for size in range(1, bounds.longest + 1)
-    ]
+
+    def of_size(size: int) -> Column:
+        if size == 1:
+            return F.split(framed, "")
+        return F.transform(F.sequence(F.lit(1), F.length(framed) - size + 1), lambda at: F.substring(framed, at, F.lit(size)))
+
+    parts = [of_size(size) for size in range(1, bounds.longest + 1)]
     parts = [F.when(F.length(framed) >= size, part).otherwise(F.array().cast("array<string>")) for size, part in enumerate(parts, 1)]
     grams = counts.select(F.explode(F.concat(*parts)).alias("item"), "lang", "n").where("item <> ''").groupBy("item", "lang").agg(F.sum("n").alias("n"))
-    grams, gram_scores = log_table(grams.withColumn("size", F.length("item")), languages, bounds.max_grams)
+    grams, gram_scores = log_table(grams.withColumn("size", F.length("item")), languages, bounds.grams)
     prior = np.log(np.array([sizes[name] for name in languages], dtype=np.float64) / sum(sizes.values()))
     return Model(languages, prior, words, word_scores, grams, gram_scores, bounds.longest)
 
