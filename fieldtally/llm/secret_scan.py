@@ -72,9 +72,13 @@ def scanned(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     span = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32()), ("rule", pa.string()), ("kind", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # rows with equal id and text meet in one task, as they were dealt by both
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
+                blobs = batch.column("blob").to_pylist()
+                fresh = [i for i, b in enumerate(blobs) if b not in seen and not seen.add(b)]
+                batch = batch.take(pa.array(fresh, pa.int32()))
                 found = [findings(t or "", [ranked[n] for n in names]) for t, names in zip(batch.column("text").to_pylist(), batch.column("rules").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("blob"), batch.column("rules"), pa.array(found, pa.list_(span))], names=["blob", "rules", "found"])
 
