@@ -25,6 +25,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ NO_SEPARATOR, SEPARATOR = -0.2, -3.0
 INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
 TOKEN = re.compile(r"[\w@$!|+*]+")
 SPACED = re.compile(r"(?<![\w@$!|+*])[\w@$!|+](?:[ .\-*~/]{1,2}[\w@$!|+]){2,}(?![\w@$!|+*])")
-DOUBLE = re.compile(r"(.)\1")
+DOUBLE, TRIPLE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 RUN = re.compile(r"(.)\1*", re.DOTALL)
 #: 26 letters, and 37 classes of all others
 CODES = 64
@@ -73,6 +74,7 @@ class Bounds:
 BOUNDS = Bounds()
 
 
+@lru_cache(maxsize=1 << 16)
 def code(char: str) -> int:
     """0 for what is no letter, 1 to 26 for a to z, up to 63 for the classes of other letters."""
     if not char.isalpha() or ord(char) > 0xFFFF:
@@ -192,6 +194,22 @@ def decode(units: list[Unit], model: list[float]) -> str:
     return "".join(reversed(parts))
 
 
+def single(word: str, model: list[float]) -> str:
+    """What :func:`decode` finds for a word of letters in which at most two in a row are equal.
+
+    One or two of a letter c between x and y leave the same last two letters (c, y) behind, so each pair is a choice of its own.
+    """
+    out, at = [], 0
+    for match in DOUBLE.finditer(word):
+        i = match.start()
+        x, c, y = code(word[i - 1]) if i else 0, code(word[i]), code(word[i + 2]) if i + 2 < len(word) else 0
+        twice = model[(x * CODES + c) * CODES + c] + model[(c * CODES + c) * CODES + y]
+        if PAIR_FOR_ONE + model[(x * CODES + c) * CODES + y] > twice:
+            out.append(word[at : i + 1])
+            at = i + 2
+    return "".join(out) + word[at:] if out else word
+
+
 @dataclass
 class Restorer:
     """Restores the words of texts, and remembers short ones."""
@@ -203,8 +221,8 @@ class Restorer:
         found = self.known.get(token)
         if found is None:
             core = token.strip("!|+*")
-            if core.isalpha() and not DOUBLE.search(core) and (core.isascii() or not any(c in SAME_SHAPE for c in core)):
-                found = [core]
+            if core.isalpha() and not TRIPLE.search(core) and (core.isascii() or not any(c in SAME_SHAPE for c in core)):
+                found = [single(core, self.model)]
             elif any(c.isalpha() for c in core):
                 found = decode(readings(core), self.model).split()
             else:
@@ -248,8 +266,16 @@ class Classifier:
     base: float
     index: dict[str, int]
     weights: np.ndarray
+    heads: set[str] = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.heads = {part[:4] for part in self.index}
 
     def signs(self, word: str) -> list[int]:
+        """Features of a word; parts are only looked up if any feature begins like one of them."""
+        framed = f"^{word}$"
+        if self.heads.isdisjoint({framed[i : i + 4] for i in range(max(1, len(framed) - 3))}):
+            return []
         return [at for part in parts_of(word) if (at := self.index.get(part)) is not None]
 
 
@@ -356,20 +382,27 @@ def predict(docs: DataFrame, model: list[float], classifier: Classifier, folds:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, classifier = sent.value
-        restorer, signs = Restorer(model), {}
+        restorer = Restorer(model)
+        plain: set[str] = set()  # tokens without a sign, and the signs of others
+        marked: dict[str, list[int]] = {}
         for batch in batches:
             scores = []
             for text in batch.column("text").to_pylist():
                 found: set[int] = set()
-                for token in set(restorer.tokens(text)):
-                    at = signs.get(token)
-                    if at is None:
-                        at = [s for w in restorer.token(token) for s in classifier.signs(w)]
-                        if len(token) <= SHORT:
-                            if len(signs) >= REMEMBERED:
-                                signs.clear()
-                            signs[token] = at
+                tokens = set(restorer.tokens(text))
+                if len(plain) + len(marked) > REMEMBERED:
+                    plain, marked = set(), {}
+                fresh = tokens - plain - marked.keys()
+                for token in tokens & marked.keys():
+                    found.update(marked[token])
+                for token in fresh:
+                    at = [s for w in restorer.token(token) for s in classifier.signs(w)]
                     found.update(at)
+                    if len(token) <= SHORT:
+                        if at:
+                            marked[token] = at
+                        else:
+                            plain.add(token)
                 total = classifier.base + float(classifier.weights[sorted(found)].sum())
                 scores.append(1 / (1 + math.exp(-max(-700.0, min(700.0, total)))))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(scores, pa.float64())], names=["id", "held_out", "score"])

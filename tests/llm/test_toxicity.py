@@ -50,6 +50,14 @@ def test_viterbi_finds_the_best_of_all_paths(model):
         assert reached and math.isclose(max(all_paths([[step] for step in p], model) for p in reached), all_paths(units, model)), stretch
 
 
+def test_pairs_of_letters_are_choices_of_their_own(spark, model):
+    rng = random.Random(8)
+    words = {"".join(c * rng.choice((1, 1, 2)) for c in rng.choices("abdeilnorstué", k=rng.randint(1, 9))) for _ in range(800)} | {"ii", "oo", "aabb"}
+    words = [w for w in words if not tx.TRIPLE.search(w)]
+    assert [tx.single(w, model) for w in words] == [tx.decode(tx.readings(w), model) for w in words]
+    assert any(tx.single(w, model) != w for w in words) and any(tx.single(w, model) == w for w in words if tx.DOUBLE.search(w))
+
+
 def test_letter_counts(spark, model):
     texts = ["Ab, abé x", None, "", "12 ab", "y" * (tx.SLICE + 5)]
     counts = tx.letter_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
