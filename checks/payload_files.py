@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.base import Frames
+from fieldtally import schemas as M
 from fieldtally.session import scratch_dir
 from fieldtally.sources.storage import children, set_times
 
@@ -96,6 +97,20 @@ def payload_lines(f: Frames) -> DataFrame:
     return reduce(DataFrame.unionByName, [placed(lines) for lines in parts])
 
 
+def audit_payloads(f: Frames) -> DataFrame:
+    """Payloads of all families, and for each kind of reject as many rows as a table has."""
+    sightings, raids = f.raw("sightings"), f.raw("raids")
+    lines = [sighting_lines(sightings), raid_lines(raids), quest_lines(f.raw("quests")), invasion_lines(f.raw("invasions")), spoiled_lines(f)]
+    lines.append(sighting_lines(sightings.withColumn("spawnpoint_hex", F.concat(F.lit("1"), F.lpad("spawnpoint_hex", 16, "0")))))
+    lines.append(raid_lines(raids.withColumn("lat", F.lit(0.0))))
+    whole = [x.select(F.from_json("value", M.ENVELOPE).alias("p")).select("p.*") for x in lines]
+    cut = whole[0].withColumn("message", F.substring("message", 1, 20))
+    nation = f.table("nation")
+    other = nation.select(F.lit("weather").alias("type"), F.lit("{}").alias("message"))
+    none = nation.select(F.lit("raid").alias("type"), F.lit(None).cast("string").alias("message"))
+    return reduce(DataFrame.unionByName, [*whole, cut, other, none])
+
+
 #: files of a delivery, written side by side
 FILES = 3
 

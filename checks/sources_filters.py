@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.base import END, NOW, START, Frames, query, window
-from checks.payload_files import FILES, write_payloads
+from checks.payload_files import FILES, audit_payloads, write_payloads
 from fieldtally import schemas as M
 from fieldtally.functions import predicates as P
+from fieldtally.operators import audit as A
 from fieldtally.operators import merge as G
 from fieldtally.plans.selection import area_windows, where_areas
 from fieldtally.session import scratch_dir
@@ -76,6 +77,45 @@ def a3(f: Frames) -> DataFrame:
     return out
 
 
+_STRICT = "lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND lat <> 0 AND lon <> 0"
+_FACT_REASON = {
+    "sightings": "CAST(NULL AS VARCHAR)",
+    "raids": f"CASE WHEN NOT ({_STRICT}) THEN 'strict_coordinates' END",
+    "quests": f"""CASE WHEN NOT coalesce(task_type > 0, false) THEN 'no_task'
+        WHEN NOT (coalesce(creature_id > 0, false) OR coalesce(item_id > 0, false)) THEN 'no_target'
+        WHEN NOT ({_STRICT}) THEN 'strict_coordinates' END""",
+    "invasions": f"CASE WHEN NOT ({_STRICT}) THEN 'strict_coordinates' END",
+}
+_AUDIT = " UNION ALL ".join(
+    [f"SELECT '{fam}' AS family, CASE WHEN {r} IS NOT NULL THEN 'fact' END AS level, {r} AS reason FROM {fam}" for fam, r in _FACT_REASON.items()]
+    + ["SELECT 'sightings', 'fact', 'spawnpoint_over_64_bits' FROM sightings", "SELECT 'raids', 'fact', 'strict_coordinates' FROM raids",
+       "SELECT 'sightings', 'message', 'unreadable' FROM sightings", "SELECT NULL, 'message', 'unknown_type' FROM nation",
+       "SELECT 'raids', 'message', 'no_message' FROM nation"]
+    + [f"SELECT '{fam}', 'message', '{r}' FROM nation" for fam, r in
+       (("sightings", "missing:atk"), ("raids", "missing:ex_eligible"), ("quests", "missing:type"), ("invasions", "missing:display_type"))]
+)
+
+
+@query("A3_rejects", f"SELECT family, level, reason, CAST(count(*) AS BIGINT) AS n FROM ({_AUDIT}) GROUP BY ALL")
+def a3_rejects(f: Frames) -> DataFrame:
+    """What becomes of every payload; beside the valid ones ids above 64 bits, places at zero, cut and missing messages."""
+    return A.reject_counts(A.audited(audit_payloads(f)))
+
+
+@query(
+    "A3_write_rejects",
+    f"""SELECT family, level, reason, CAST(count(*) AS BIGINT) AS n FROM ({_AUDIT}) WHERE reason IS NOT NULL GROUP BY ALL
+        UNION ALL SELECT family, 'taken', NULL, CAST(count(*) AS BIGINT) FROM ({_AUDIT}) WHERE reason IS NULL GROUP BY ALL""",
+)
+def a3_write_rejects(f: Frames) -> DataFrame:
+    """The stored rejects, and the counts of taken payloads that were observed while they were written."""
+    path = f"{scratch_dir(f.spark, 'rejects')}/rows"
+    seen = A.write_rejects(audit_payloads(f), path)
+    taken = [(family, "taken", None, seen[f"{family}_taken"]) for family in A.FAMILIES]
+    stored = A.reject_counts(f.spark.read.schema("type string, message string, reason string, family string, level string").parquet(path))
+    return stored.unionByName(f.spark.createDataFrame(taken, "family string, level string, reason string, n bigint"))
+
+
 @query(
     "A4_load_areas",
     """SELECT area_id, area, offset_hours, CAST(5 AS INT) AS corners, lon0 + 4 AS top_lon, lat0 + 8 AS top_lat FROM areas""",

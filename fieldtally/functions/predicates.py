@@ -135,64 +135,96 @@ def valid_coords(lat: Column, lon: Column, strict: bool = False) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def _filled(*cols: str) -> list[Column]:
-    return [F.col(c).isNotNull() for c in cols]
+Checks = dict[str, Column]
 
 
-def _not_blank(df: DataFrame, *cols: str) -> list[Column]:
+def _filled(*cols: str) -> Checks:
+    return {f"missing:{c}": F.col(c).isNotNull() for c in cols}
+
+
+def _not_blank(df: DataFrame, *cols: str) -> Checks:
     """Only text columns can be blank; numbers need no rendering."""
-    return [strip(F.col(c)) != "" for c in cols if isinstance(df.schema[c].dataType, T.StringType)]
+    return {f"blank:{c}": strip(F.col(c)) != "" for c in cols if isinstance(df.schema[c].dataType, T.StringType)}
 
 
-def valid_sightings(df: DataFrame) -> DataFrame:
+def _sighting_checks(df: DataFrame) -> Checks:
     required = (
         "species", "lat", "lon", "atk", "dfn", "sta", "disappear_time", "first_seen", "spawnpoint_hex", "verified",
     )
-    return df.where(
-        all_of(_filled(*required))
-        & valid_spawnpoint(F.col("spawnpoint_hex"))
-        & valid_coords(F.col("lat"), F.col("lon"))
-    )
-
+    return {
+        **_filled(*required),
+        "spawnpoint": valid_spawnpoint(F.col("spawnpoint_hex")),
+        "coordinates": valid_coords(F.col("lat"), F.col("lon")),
+    }
 
-def valid_quests(df: DataFrame) -> DataFrame:
-    """Keys present, and every reward carries a type and either a creature id or an amount.
 
-    ``keys`` (the message's own key list) tells an absent key from a null value; frames without
-    that column treat null as absent.
-    """
-    needed = ("type", "with_ar", "latitude", "longitude")
+def _quest_checks(df: DataFrame) -> Checks:
+    """``keys`` (the message's own key list) tells an absent key from a null value; frames without that column treat null
+    as absent."""
     if "keys" in df.columns:
-        present = [F.array_contains("keys", k) for k in needed]
+        present = {f"missing:{k}": F.array_contains("keys", k) for k in ("type", "with_ar", "latitude", "longitude")}
     else:
-        present = _filled("type", "with_ar", "lat", "lon")
+        present = _filled("type", "with_ar")
     reward_ok = F.forall(
         "rewards",
         lambda r: r["type"].isNotNull()
         & r["info"].isNotNull()
         & (F.map_contains_key(r["info"], "pokemon_id") | F.map_contains_key(r["info"], "amount")),
     )
-    return df.where(
-        all_of(present)
-        & F.col("lat").isNotNull()
-        & F.col("lon").isNotNull()
-        & (F.size("rewards") > 0)
-        & F.coalesce(reward_ok, F.lit(False))
-    )
+    return {
+        **present, **_filled("lat", "lon"),
+        "no_reward": F.size("rewards") > 0, "reward": F.coalesce(reward_ok, F.lit(False)),
+    }
 
 
-def valid_raids(df: DataFrame) -> DataFrame:
-    required = ("gym", "ex_eligible", "exclusive", "lvl", "boss", "form", "costume", "lat", "lon")
+def _raid_checks(df: DataFrame) -> Checks:
     not_blank = ("gym", "lvl", "lat", "lon", "spawn", "start_ts", "end_ts")
-    tests = _filled(*required, *not_blank) + _not_blank(df, *not_blank)
+    checks = {
+        **_filled("gym", "ex_eligible", "exclusive", "lvl", "boss", "form", "costume", *not_blank),
+        **_not_blank(df, *not_blank),
+    }
     if "rsvps" in df.columns:
-        tests.append(F.col("rsvps").isNull() | F.col("rsvps").isin("", "null", "NULL"))
-    return df.where(all_of(tests) & (F.col("boss") != 0))
+        checks["rsvps"] = F.col("rsvps").isNull() | F.col("rsvps").isin("", "null", "NULL")
+    return {**checks, "no_boss": F.col("boss") != 0}
 
 
-def valid_invasions(df: DataFrame) -> DataFrame:
+def _invasion_checks(df: DataFrame) -> Checks:
     required = ("display_type", "character_id", "confirmed", "pokestop", "start_ts", "lat", "lon")
-    return df.where(all_of(_filled(*required) + _not_blank(df, "pokestop", "start_ts", "lat", "lon")))
+    return {**_filled(*required), **_not_blank(df, "pokestop", "start_ts", "lat", "lon")}
+
+
+_CHECKS = {"sightings": _sighting_checks, "quests": _quest_checks, "raids": _raid_checks, "invasions": _invasion_checks}
+
+
+def message_checks(df: DataFrame, family: str) -> Checks:
+    """The checks of a family by the reason that a row is refused for, in the order in which they are told."""
+    return _CHECKS[family](df)
+
+
+def first_failed(checks: Checks) -> Column:
+    """The reason of the first check that a row fails (an unknown outcome fails); null if it passes all."""
+    return F.coalesce(*[F.when(~F.coalesce(test, F.lit(False)), reason) for reason, test in checks.items()])
+
+
+def _valid(df: DataFrame, family: str) -> DataFrame:
+    return df.where(all_of(message_checks(df, family).values()))
+
+
+def valid_sightings(df: DataFrame) -> DataFrame:
+    return _valid(df, "sightings")
+
+
+def valid_quests(df: DataFrame) -> DataFrame:
+    """Keys present, and every reward carries a type and either a creature id or an amount."""
+    return _valid(df, "quests")
+
+
+def valid_raids(df: DataFrame) -> DataFrame:
+    return _valid(df, "raids")
+
+
+def valid_invasions(df: DataFrame) -> DataFrame:
+    return _valid(df, "invasions")
 
 
 def _quest_arms(df: DataFrame, arms: list[tuple[int, dict]]) -> DataFrame:

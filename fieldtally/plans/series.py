@@ -88,25 +88,22 @@ def _quest_sum(rows: DataFrame, sel: Selection) -> DataFrame:
 
 
 def _quest_overview(rows: DataFrame, stops: DataFrame) -> DataFrame:
-    by_mode = total(rows, "mode")
-    areas = by_mode.groupBy("area").agg(F.sum("cnt").alias("cnt"))
-    per_area = areas.join(stops.select("area", "stops"), "area", "left").select(
-        F.lit("area").alias("section"), F.col("area").alias("key"), "cnt", F.coalesce("stops", F.lit(0)).alias("stops")
-    )
-    modes = [F.coalesce(F.sum(F.when(F.col("mode") == m, F.col("cnt"))), F.lit(0)).alias(m) for m in ("ar", "normal")]
-    totals = by_mode.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("grand_total"), *modes)
+    """Sums per area, per mode and over all come from the counts per area and mode by one aggregation with grouping sets.
+
+    A row of each mode with 0 makes modes without quests, and the total without any, appear.
+    """
+    none = rows.sparkSession.createDataFrame([(None, "ar", 0), (None, "normal", 0)], "area string, mode string, cnt bigint")
+    by_mode = total(rows, "mode").select("area", "mode", "cnt").unionByName(none)
+    sums = by_mode.groupingSets([["area"], ["mode"], []], "area", "mode").agg(F.sum("cnt").alias("cnt"), F.grouping_id().alias("set"))
+    per_area, per_mode, all_of_it = 1, 2, 3  # bits of the columns that are summed over
+    named = sums.where(
+        ((F.col("set") == per_area) & F.col("area").isNotNull()) | ((F.col("set") == per_mode) & F.col("mode").isin("ar", "normal"))
+        | (F.col("set") == all_of_it)
+    ).join(stops.select("area", F.col("stops").alias("own")), "area", "left")
     all_stops = F.coalesce(stops.agg(F.sum("stops")).scalar(), F.lit(0))
-    overall = totals.select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("total").alias("section"), F.lit("grand_total").alias("key"), F.col("grand_total")
-                         .alias("cnt"), all_stops.alias("stops")),
-                *[
-                    F.struct(F.lit("mode").alias("section"), F.lit(m).alias("key"), F.col(m).alias("cnt"),
-                             F.lit(None).cast("bigint").alias("stops"))
-                    for m in ("ar", "normal")
-                ],
-            )
-        )
+    return named.select(
+        F.when(F.col("set") == per_area, "area").when(F.col("set") == per_mode, "mode").otherwise("total").alias("section"),
+        F.when(F.col("set") == per_area, F.col("area")).when(F.col("set") == per_mode, F.col("mode")).otherwise("grand_total").alias("key"),
+        "cnt",
+        F.when(F.col("set") == per_area, F.coalesce("own", F.lit(0))).when(F.col("set") == all_of_it, all_stops).alias("stops"),
     )
-    return per_area.unionByName(overall)

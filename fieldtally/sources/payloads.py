@@ -46,7 +46,6 @@ def stream_payloads(spark: SparkSession, path: str, max_files: int = 1000, max_b
 
 def route(payloads: DataFrame) -> dict[str, DataFrame]:
     """One typed frame per family. Unknown types and unreadable messages are dropped."""
-    shape = {"sightings": _sightings, "raids": _raids, "quests": _quests, "invasions": _invasions}
     out = {}
     for kind, (family, schema) in M.MESSAGES.items():
         parsed = payloads.where(F.col("type") == kind).select(
@@ -54,12 +53,12 @@ def route(payloads: DataFrame) -> dict[str, DataFrame]:
             *([F.json_object_keys("message").alias("keys")] if family == "quests" else []),
             *([F.col("arrival")] if "arrival" in payloads.columns else []),
         )
-        out[family] = shape[family](parsed.where(F.col("m").isNotNull()))
+        out[family] = SHAPES[family](parsed.where(F.col("m").isNotNull()))
     return out
 
 
 #: columns that rows may already carry beside their message
-_CARRIED = ("arrival", "area_id", "area", "offset_hours")
+_CARRIED = ("arrival", "area_id", "area", "offset_hours", "audit_row")
 
 
 def _extra(parsed: DataFrame) -> list[str]:
@@ -117,6 +116,9 @@ def _invasions(parsed: DataFrame) -> DataFrame:
     )
 
 
+#: family -> from its message in column ``m`` to its typed columns
+SHAPES = {"sightings": _sightings, "raids": _raids, "quests": _quests, "invasions": _invasions}
+
 _FLAT_QUEST = (
     "pokestop", "pokestop_name", "lat", "lon", "mode", "task_type", "reward_type", "item_id", "amount",
     "creature_id", "creature_form", "updated",
@@ -129,6 +131,16 @@ def flat_quests(quests: DataFrame) -> DataFrame:
     return flat.select(*_FLAT_QUEST, *[c for c in _CARRIED if c in flat.columns])
 
 
+def family_of(kind: Column) -> Column:
+    """The family of a payload's type; null for types that nobody handles."""
+    return F.coalesce(*[F.when(kind == k, F.lit(family)) for k, (family, _) in M.MESSAGES.items()])
+
+
+def messages(kind: Column) -> list[Column]:
+    """``m_<family>`` for each family: the parsed message in the column of its own, null in the others."""
+    return [F.from_json(F.when(kind == k, F.col("message")), schema).alias(f"m_{family}") for k, (family, schema) in M.MESSAGES.items()]
+
+
 def wide_payloads(payloads: DataFrame) -> DataFrame:
     """All families in one frame, each message parsed once, with its family and coordinates.
 
@@ -137,8 +149,7 @@ def wide_payloads(payloads: DataFrame) -> DataFrame:
     """
     kind = F.col("type")
     parsed = payloads.where(kind.isin(*M.MESSAGES)).select(
-        F.coalesce(*[F.when(kind == k, F.lit(family)) for k, (family, _) in M.MESSAGES.items()]).alias("family"),
-        *[F.from_json(F.when(kind == k, F.col("message")), schema).alias(f"m_{family}") for k, (family, schema) in M.MESSAGES.items()],
+        family_of(kind).alias("family"), *messages(kind),
         F.when(kind == "quest", F.json_object_keys("message")).alias("keys"), "arrival",
     )
 
@@ -151,11 +162,10 @@ def wide_payloads(payloads: DataFrame) -> DataFrame:
 def raw_of(wide: DataFrame, family: str) -> DataFrame:
     """One family out of :func:`wide_payloads` (or a table of it), valid and in the shape the ingest step takes; columns of an
     area that is already known come along."""
-    shape = {"sightings": _sightings, "raids": _raids, "quests": _quests, "invasions": _invasions}[family]
     rows = wide.where(F.col("family") == family).select(
         F.col(f"m_{family}").alias("m"), *(["keys"] if family == "quests" else []), *[c for c in _CARRIED if c in wide.columns]
     )
-    return _VALID[family](shape(rows))
+    return _VALID[family](SHAPES[family](rows))
 
 
 _VALID = {"sightings": valid_sightings, "raids": valid_raids, "quests": flat_quests, "invasions": valid_invasions}
