@@ -50,6 +50,8 @@ BROADCAST_ROWS = 1_000_000
 FEW = 16
 #: mean members outside the largest component from which on another round of centres is tried, and sizes of blocks
 MINOR, BLOCK, PROBES = 1024, 256, 2048
+#: mean shingles of a block of either kind, and numbers in a table of a block's shares
+BLOCK_SHINGLES, PROBE_SHINGLES, CELLS = 1 << 19, 1 << 21, 1 << 22
 
 
 def shingles(piece, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -223,13 +225,48 @@ def links(docs: DataFrame, sketches: DataFrame, sketch: Sketch) -> DataFrame:
         rest = stored(rest.select("key", "node"), "near-rest")
 
 
-def block_links(members: DataFrame, rows: DataFrame, sketch: Sketch) -> DataFrame:
+def overlaps(held: list[tuple[np.ndarray, np.ndarray]], probes: list[tuple[np.ndarray, np.ndarray]], cells: int = CELLS) -> np.ndarray:
+    """Overlap of the shares of every probe (row) with those of every held text (column), each given as ids and weights.
+
+    The ids are taken in ranges, for which the held texts' shares fit a table of ``cells`` numbers.
+    """
+    out = np.zeros((len(probes), len(held)))
+    if not len(held) or not len(probes):
+        return out
+    owner = np.repeat(np.arange(len(held)), [len(ids) for ids, _ in held])
+    known, at = np.unique(np.concatenate([ids for ids, _ in held]), return_inverse=True)
+    share = np.concatenate([weights / max(weights.sum(), 1) for _, weights in held])
+    width = max(1, cells // len(held))
+    for start in range(0, len(known), width):
+        part = known[start : start + width]
+        inside = (at >= start) & (at < start + len(part))
+        table = np.zeros((len(held), len(part)))
+        table[owner[inside], at[inside] - start] = share[inside]
+        for n, (ids, weights) in enumerate(probes):
+            place = np.minimum(np.searchsorted(part, ids), len(part) - 1)
+            hit = part[place] == ids
+            if hit.any():
+                out[n] += np.minimum(table[:, place[hit]], weights[hit] / weights.sum()).sum(axis=1)
+    return out
+
+
+def block_links(
+    members: DataFrame, rows: DataFrame, sketch: Sketch, block: tuple[int, int] = (BLOCK, BLOCK_SHINGLES), probe: tuple[int, int] = (PROBES, PROBE_SHINGLES), cells: int = CELLS
+) -> DataFrame:
     """Links a, b between members of different components in a bucket. ``members``: key, node, root, all, minor, major.
 
-    The members outside the largest component are cut into blocks of about BLOCK, all members into blocks of about
-    PROBES; a task holds one of either, so memory is bounded and no row is made for a pair without a link.
+    The members outside the largest component are cut into blocks, all members into probes, of about so many texts
+    and shingles as ``block`` and ``probe`` say; a task holds one of either, so that memory is bounded but for single texts
+    that are longer, and no row is made for a pair without a link.
     """
-    blocks, probes = F.ceil(F.col("minor") / BLOCK).cast("int"), F.ceil(F.col("all") / PROBES).cast("int")
+    weighed = members.join(rows.select("node", F.size("ids").alias("size")), "node")
+    sizes = weighed.groupBy("key").agg(F.sum("size").alias("all_size"), F.sum(F.when(F.col("root") != F.col("major"), F.col("size"))).alias("minor_size"))
+    members = members.join(sizes, "key")
+
+    def parts(count: str, size: str, limit: tuple[int, int]):
+        return F.ceil(F.greatest(F.col(count) / limit[0], F.col(size) / limit[1])).cast("int")
+
+    blocks, probes = parts("minor", "minor_size", block), parts("all", "all_size", probe)
     of_block, of_probe = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int"), F.pmod(F.xxhash64("node", F.lit("probe")), probes).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     builds = members.where("root <> major").select("key", of_block.alias("block"), every(probes).alias("probe"), F.lit(True).alias("build"), "node", "root")
@@ -237,30 +274,23 @@ def block_links(members: DataFrame, rows: DataFrame, sketch: Sketch) -> DataFram
     held = builds.union(others).join(rows, "node")
 
     def run(table: pa.Table) -> pa.Table:
-        lists = {}
+        lists = []
         for name in ("ids", "weights"):
             column = table.column(name).combine_chunks()
             values, offsets = np.asarray(column.values), np.asarray(column.offsets)
-            lists[name] = [values[offsets[i] : offsets[i + 1]] for i in range(len(column))]
+            lists.append([values[offsets[i] : offsets[i + 1]] for i in range(len(column))])
+        texts = list(zip(*lists, strict=True))
         nodes, roots, build = (table.column(c).to_pylist() for c in ("node", "root", "build"))
-        left = [i for i, x in enumerate(build) if x]
-        known, at = np.unique(np.concatenate([lists["ids"][i] for i in left]) if left else np.zeros(0, np.int64), return_inverse=True)
-        shares = np.zeros((len(left), len(known)))
-        owner = np.repeat(np.arange(len(left)), [len(lists["ids"][i]) for i in left])
-        shares[owner, at] = np.concatenate([lists["weights"][i] / lists["weights"][i].sum() for i in left]) if left else 0.0
+        left, right = [i for i, x in enumerate(build) if x], [i for i, x in enumerate(build) if not x]
+        # the overlap of the two distributions is an upper bound of the similarity
+        bounds = overlaps([texts[i] for i in left], [texts[j] for j in right], cells)
         found: set[tuple[int, bytes]] = set()
         links: list[tuple[bytes, bytes]] = []
-        for j in (i for i, x in enumerate(build) if not x):
-            ids, weights = lists["ids"][j], lists["weights"][j]
-            place = np.minimum(np.searchsorted(known, ids), max(len(known) - 1, 0))
-            hit = known[place] == ids if len(known) else np.zeros(len(ids), bool)
-            # the overlap of the two distributions is an upper bound of the similarity
-            overlap = np.minimum(shares[:, place[hit]], (weights / weights.sum())[hit]).sum(axis=1)
-            for k in np.flatnonzero(overlap >= sketch.least - 1e-9):
-                i = left[k]
-                if roots[i] != roots[j] and (i, roots[j]) not in found and probability_jaccard(lists["ids"][i], lists["weights"][i], ids, weights) >= sketch.least:
-                    found.add((i, roots[j]))
-                    links.append((nodes[i], nodes[j]))
+        for n, k in np.argwhere(bounds >= sketch.least - 1e-9):
+            i, j = left[k], right[n]
+            if roots[i] != roots[j] and (i, roots[j]) not in found and probability_jaccard(*texts[i], *texts[j]) >= sketch.least:
+                found.add((i, roots[j]))
+                links.append((nodes[i], nodes[j]))
         return pa.table({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary())})
 
     return held.groupBy("key", "block", "probe").applyInArrow(run, "a binary, b binary")
