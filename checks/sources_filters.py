@@ -19,7 +19,7 @@ from fieldtally.session import scratch_dir
 from fieldtally.sources import areas as SA
 from fieldtally.sources import lookups as SL
 from fieldtally.sources import tables as ST
-from fieldtally.sources.payloads import read_payloads, routed_raw, stream_payloads
+from fieldtally.sources.payloads import buffer_rows, read_payloads, routed_raw, stream_buffered, stream_payloads
 
 # --- A: sources and sinks --------------------------------------------------------------------------------
 
@@ -48,6 +48,17 @@ def a2(f: Frames) -> DataFrame:
     return f.spark.read.parquet(out).groupBy("type").agg(F.count("*").alias("n"))
 
 
+@query("K2_flush_by_rows", _TYPE_COUNTS)
+def k2_flush_by_rows(f: Frames) -> DataFrame:
+    """A stream whose micro-batches hold at most so many payloads; ``stream_facts`` takes it as it takes the other."""
+    buffer, out = scratch_dir(f.spark, "buffer"), scratch_dir(f.spark, "by-rows")
+    arriving = stream_payloads(f.spark, write_payloads(f), max_files=2 * FILES)
+    buffer_rows(arriving, buffer, scratch_dir(f.spark, "buffer-mark"), 25_000).awaitTermination()
+    flushed = stream_buffered(f.spark, buffer).select("type", "message").writeStream.format("parquet").option("path", out)
+    flushed.option("checkpointLocation", scratch_dir(f.spark, "by-rows-mark")).trigger(availableNow=True).start().awaitTermination()
+    return f.spark.read.parquet(out).groupBy("type").agg(F.count("*").alias("n"))
+
+
 _ROUTED = {
     "sightings": ("spawnpoint_hex", "species", "lvl", "first_seen"),
     "raids": ("gym", "boss", "lvl", "spawn"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from fieldtally import schemas as M
 from fieldtally.functions import scalars as S
@@ -44,6 +45,29 @@ def stream_payloads(spark: SparkSession, path: str, max_files: int = 1000, max_b
     return reader.json(path).select("type", "message", _file_info())
 
 
+#: what :func:`stream_payloads` gives and :func:`buffer_rows` holds
+BUFFERED = "type string, message string, source struct<at: timestamp, file: string, block: bigint>"
+
+
+def buffer_rows(stream: DataFrame, path: str, checkpoint: str, rows: int, every: str | None = None) -> StreamingQuery:
+    """Copy a payload stream into files of at most ``rows`` payloads each, so that another stream can flush by rows.
+
+    The file sink logs each micro-batch when it is whole: a restart from the checkpoint loses and repeats nothing.
+    """
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    writer = writer.option("maxRecordsPerFile", rows)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def stream_buffered(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+    """The payloads of :func:`buffer_rows`; a micro-batch has at most ``max_files`` times the rows of a file.
+
+    Files come in the order in which they were written. Those that tasks write side by side have no order among each other, so
+    which row of a key is first depends on it, as on any other chunking.
+    """
+    return spark.readStream.schema(BUFFERED).option("maxFilesPerTrigger", max_files).parquet(path)
+
+
 def route(payloads: DataFrame) -> dict[str, DataFrame]:
     """One typed frame per family. Unknown types and unreadable messages are dropped."""
     out = {}
