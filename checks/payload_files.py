@@ -2,68 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from checks.base import Frames
-from fieldtally import schemas as M
 from fieldtally.session import scratch_dir
 from fieldtally.sources.storage import children, set_times
 
 
-def _envelope(kind: str, message) -> F.Column:
+Field = Callable[[str], Column]
+
+
+def _envelope(kind: str, message: Column) -> Column:
     return F.to_json(F.struct(F.lit(kind).alias("type"), message.alias("message")))
 
 
-def _ranks(flag: str):
-    return F.when(F.col(flag), F.array(F.struct(F.lit(3).alias("rank")), F.struct(F.lit(1).alias("rank")))).otherwise(
+def _ranks(flag: Column) -> Column:
+    return F.when(flag, F.array(F.struct(F.lit(3).alias("rank")), F.struct(F.lit(1).alias("rank")))).otherwise(
         F.array(F.struct(F.lit(2).alias("rank")))
     )
 
 
-def sighting_lines(raw: DataFrame) -> DataFrame:
-    message = F.struct(
-        F.col("species").alias("pokemon_id"), "form", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"),
-        F.col("atk").alias("individual_attack"), F.col("dfn").alias("individual_defense"),
-        F.col("sta").alias("individual_stamina"), F.col("lvl").alias("pokemon_level"),
-        "disappear_time", "first_seen", F.col("spawnpoint_hex").alias("spawnpoint_id"),
-        F.col("verified").alias("disappear_time_verified"), "shiny", "username", "weather",
-        F.struct(*[_ranks(f"rank1_{x}").alias(x) for x in ("great", "little", "ultra")]).alias("pvp"),
-    )
-    return raw.select(_envelope("pokemon", message).alias("value"), F.col("arrival").cast("bigint").alias("arrival"))
+def _named(col: Field, *same: str, **renamed: str) -> list[Column]:
+    return [col(c).alias(c) for c in same] + [col(c).alias(name) for name, c in renamed.items()]
 
 
-def raid_lines(raw: DataFrame) -> DataFrame:
-    message = F.struct(
-        F.col("gym").alias("gym_id"), "gym_name", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"),
-        F.col("boss").alias("pokemon_id"), F.col("lvl").alias("level"), "form", "costume", F.col("team").alias("team_id"),
-        (F.col("exclusive") == 1).alias("is_exclusive"), F.col("ex_eligible").alias("ex_raid_eligible"),
-        "spawn", F.col("start_ts").alias("start"), F.col("end_ts").alias("end"),
+def sighting_message(col: Field = F.col) -> Column:
+    return F.struct(
+        *_named(col, pokemon_id="species", form="form", latitude="lat", longitude="lon", individual_attack="atk"),
+        *_named(col, individual_defense="dfn", individual_stamina="sta", pokemon_level="lvl", disappear_time="disappear_time"),
+        *_named(col, first_seen="first_seen", spawnpoint_id="spawnpoint_hex", disappear_time_verified="verified"),
+        *_named(col, "shiny", "username", "weather"),
+        F.struct(*[_ranks(col(f"rank1_{x}")).alias(x) for x in ("great", "little", "ultra")]).alias("pvp"),
     )
-    return raw.select(_envelope("raid", message).alias("value"), "arrival")
 
 
-def quest_lines(raw: DataFrame) -> DataFrame:
-    info = F.struct(
-        F.col("creature_id").alias("pokemon_id"), F.col("creature_form").alias("form_id"), "item_id", "amount"
+def raid_message(col: Field = F.col) -> Column:
+    return F.struct(
+        *_named(col, gym_id="gym", gym_name="gym_name", latitude="lat", longitude="lon", pokemon_id="boss", level="lvl"),
+        *_named(col, form="form", costume="costume", team_id="team"),
+        (col("exclusive") == 1).alias("is_exclusive"),
+        *_named(col, ex_raid_eligible="ex_eligible", spawn="spawn", start="start_ts", end="end_ts"),
     )
-    message = F.struct(
-        "pokestop_name", F.col("pokestop").alias("pokestop_id"), F.col("lat").alias("latitude"),
-        F.col("lon").alias("longitude"), F.col("task_type").alias("type"), "with_ar", "updated",
-        F.array(F.struct(F.col("reward_type").alias("type"), info.alias("info"))).alias("rewards"),
+
+
+def quest_message(col: Field = F.col) -> Column:
+    info = F.struct(*_named(col, pokemon_id="creature_id", form_id="creature_form", item_id="item_id", amount="amount"))
+    return F.struct(
+        *_named(col, pokestop_name="pokestop_name", pokestop_id="pokestop", latitude="lat", longitude="lon", type="task_type"),
+        *_named(col, "with_ar", "updated"),
+        F.array(F.struct(*_named(col, type="reward_type"), info.alias("info"))).alias("rewards"),
     )
-    return raw.select(_envelope("quest", message).alias("value"), "arrival")
 
 
-def invasion_lines(raw: DataFrame) -> DataFrame:
-    message = F.struct(
-        F.col("pokestop").alias("pokestop_id"), "pokestop_name", F.col("lat").alias("latitude"),
-        F.col("lon").alias("longitude"), "display_type", F.col("character_id").alias("character"),
-        F.col("grunt").alias("grunt_type"), (F.col("confirmed") == 1).alias("confirmed"), F.col("start_ts").alias("start"),
+def invasion_message(col: Field = F.col) -> Column:
+    return F.struct(
+        *_named(col, pokestop_id="pokestop", pokestop_name="pokestop_name", latitude="lat", longitude="lon"),
+        *_named(col, display_type="display_type", character="character_id", grunt_type="grunt"),
+        (col("confirmed") == 1).alias("confirmed"), *_named(col, start="start_ts"),
     )
-    return raw.select(_envelope("invasion", message).alias("value"), "arrival")
+
+
+#: family -> (type of its payloads, its message from the columns of a raw row)
+MESSAGE = {
+    "sightings": ("pokemon", sighting_message), "raids": ("raid", raid_message),
+    "quests": ("quest", quest_message), "invasions": ("invasion", invasion_message),
+}
 
 
 def placed(lines: DataFrame) -> DataFrame:
@@ -72,8 +79,8 @@ def placed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("place", F.col("arrival") / top)
 
 
-def spoiled_lines(f: Frames) -> DataFrame:
-    """For each family messages that fail one of its checks."""
+def spoiled_messages(f: Frames) -> dict[str, DataFrame]:
+    """For each type of payload messages that fail one of its family's checks."""
     nation = f.table("nation").withColumn("arrival", F.col("n_nationkey").cast("bigint"))
     key = F.col("n_nationkey")
     bad = {
@@ -82,48 +89,79 @@ def spoiled_lines(f: Frames) -> DataFrame:
         "quest": F.struct(F.lit("stop_1").alias("pokestop_id"), F.lit(1.5).alias("latitude"), F.lit(2.5).alias("longitude"), F.array().cast("array<struct<type:int>>").alias("rewards")),
         "invasion": F.struct(F.lit("stop_1").alias("pokestop_id"), F.lit(" ").alias("start"), F.lit(1.5).alias("latitude"), F.lit(2.5).alias("longitude")),
     }
-    return reduce(DataFrame.unionByName, [nation.select(_envelope(kind, message).alias("value"), "arrival") for kind, message in bad.items()])
+    return {kind: nation.select(message.alias("message"), "arrival") for kind, message in bad.items()}
+
+
+def payload_rows(f: Frames) -> DataFrame:
+    """What :func:`line` makes lines of: all four families in order of arrival, plus messages of a type nobody handles and some
+    that fail their checks. Rows stay in columns until their file is written, so that no text is sorted and shuffled."""
 
+    def raw(family: str) -> DataFrame:
+        rows = f.raw(family)
+        return rows.select(F.struct(*[c for c in rows.columns if c != "arrival"]).alias(family), F.col("arrival").cast("bigint").alias("arrival"))
 
-def payload_lines(f: Frames) -> DataFrame:
-    """All four families in order of arrival, plus messages of a type nobody handles and some that fail their checks."""
-    quests, invasions = quest_lines(f.raw("quests")), invasion_lines(f.raw("invasions"))
-    pairs = quests.join(invasions.withColumnRenamed("value", "other"), "arrival")
-    arrays = pairs.select(F.concat(F.lit("["), "value", F.lit(","), "other", F.lit("]")).alias("value"), "arrival")
     unknown = f.table("nation").select(
-        _envelope("weather", F.struct("n_name")).alias("value"), F.col("n_nationkey").cast("bigint").alias("arrival")
+        _envelope("weather", F.struct("n_name")).alias("other"), F.col("n_nationkey").cast("bigint").alias("arrival")
     )
-    parts = [sighting_lines(f.raw("sightings")), raid_lines(f.raw("raids")), arrays, unknown, spoiled_lines(f)]
-    return reduce(DataFrame.unionByName, [placed(lines) for lines in parts])
+    spoiled = [rows.select(_envelope(kind, F.col("message")).alias("other"), "arrival") for kind, rows in spoiled_messages(f).items()]
+    parts = [raw("sightings"), raw("raids"), raw("quests").join(raw("invasions"), "arrival"), unknown, reduce(DataFrame.unionByName, spoiled)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [placed(rows) for rows in parts])
+
+
+def line() -> Column:
+    """The line of a row: one payload, or an array of a quest and an invasion."""
+
+    def envelope(family: str) -> Column:
+        kind, message = MESSAGE[family]
+        return _envelope(kind, message(lambda name: F.col(f"{family}.{name}")))
+
+    pair = F.concat(F.lit("["), envelope("quests"), F.lit(","), envelope("invasions"), F.lit("]"))
+    out = F.when(F.col("sightings").isNotNull(), envelope("sightings")).when(F.col("raids").isNotNull(), envelope("raids"))
+    return out.when(F.col("quests").isNotNull(), pair).otherwise(F.col("other")).alias("value")
 
 
 def audit_payloads(f: Frames) -> DataFrame:
     """Payloads of all families, and for each kind of reject as many rows as a table has."""
+
+    def payloads(kind: str, rows: DataFrame, message: Column, text: Callable[[Column], Column] = lambda x: x) -> DataFrame:
+        return rows.select(F.lit(kind).alias("type"), text(F.to_json(message)).alias("message"))
+
     sightings, raids = f.raw("sightings"), f.raw("raids")
-    lines = [sighting_lines(sightings), raid_lines(raids), quest_lines(f.raw("quests")), invasion_lines(f.raw("invasions")), spoiled_lines(f)]
-    lines.append(sighting_lines(sightings.withColumn("spawnpoint_hex", F.concat(F.lit("1"), F.lpad("spawnpoint_hex", 16, "0")))))
-    lines.append(raid_lines(raids.withColumn("lat", F.lit(0.0))))
-    whole = [x.select(F.from_json("value", M.ENVELOPE).alias("p")).select("p.*") for x in lines]
-    cut = whole[0].withColumn("message", F.substring("message", 1, 20))
+    lines = [payloads(kind, f.raw(family), message()) for family, (kind, message) in MESSAGE.items()]
+    lines += [payloads(kind, rows, F.col("message")) for kind, rows in spoiled_messages(f).items()]
+    long_ids = sightings.withColumn("spawnpoint_hex", F.concat(F.lit("1"), F.lpad("spawnpoint_hex", 16, "0")))
+    lines.append(payloads("pokemon", long_ids, sighting_message()))
+    lines.append(payloads("raid", raids.withColumn("lat", F.lit(0.0)), raid_message()))
+    lines.append(payloads("pokemon", sightings, sighting_message(), lambda x: F.substring(x, 1, 20)))
     nation = f.table("nation")
-    other = nation.select(F.lit("weather").alias("type"), F.lit("{}").alias("message"))
-    none = nation.select(F.lit("raid").alias("type"), F.lit(None).cast("string").alias("message"))
-    return reduce(DataFrame.unionByName, [*whole, cut, other, none])
+    lines.append(nation.select(F.lit("weather").alias("type"), F.lit("{}").alias("message")))
+    lines.append(nation.select(F.lit("raid").alias("type"), F.lit(None).cast("string").alias("message")))
+    return reduce(DataFrame.unionByName, lines)
 
 
-#: files of a delivery, written side by side
+#: files of a delivery, written side by side, and the lines of a file from which on there are more of them
 FILES = 3
+LINES = 250_000
 
 
 def write_payloads(f: Frames, files: int = 4) -> str:
-    """Deliveries of JSON lines in order of arrival, each several files. File times decide what is "last", so they are set
-    in the order of the files' names; within a file lines are in order."""
-    lines, path = scratch_dir(f.spark, "lines"), scratch_dir(f.spark, "payloads")
-    payload_lines(f).withColumn("part", F.floor(F.col("place") * files)).write.partitionBy("part").parquet(lines)
+    """Deliveries of JSON lines in order of arrival, each equally many compressed files, the more the longer the largest is. File
+    times decide what is "last", so they are set in the order of the files' names; within a file lines are in order."""
+    staged, path = scratch_dir(f.spark, "lines"), scratch_dir(f.spark, "payloads")
+    rows = payload_rows(f).drop("arrival").withColumn("part", F.floor(F.col("place") * files).cast("int"))
+    rows.write.partitionBy("part").parquet(staged)
+    rows = f.spark.read.schema(rows.schema).parquet(staged)
+    longest = rows.groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     written: list[str] = []
     for part in range(files):
-        rows = f.spark.read.parquet(lines).where(F.col("part") == part)
-        rows.repartitionByRange(FILES, "place").sortWithinPartitions("place").select("value").write.mode("append").text(path)
-        written += [name for name in children(f.spark, path) if name.startswith("part-") and name not in written]
+        dealt = rows.where(F.col("part") == part).drop("part").repartitionByRange(max(FILES, -(-longest // LINES)), "place")
+        dealt.sortWithinPartitions("place").select(line()).write.mode("append").option("compression", "gzip").text(path)
+        known = set(written)
+        written += [name for name in children(f.spark, path) if name.startswith("part-") and name not in known]
     set_times(f.spark, [f"{path}/{name}" for name in written])
     return path
+
+
+def half_of(f: Frames, path: str) -> int:
+    """Files of half the deliveries of :func:`write_payloads`."""
+    return -(-sum(name.startswith("part-") for name in children(f.spark, path)) // 2)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from checks.base import NOW, Frames, first_by, query
 from checks.fact_queries import _INVASION, _RAID, AREA, FROM, TO, heatmap_sql, named_map_sql, shiny_sql
-from checks.payload_files import FILES, write_payloads
+from checks.payload_files import half_of, write_payloads
 from checks.rollup_queries import CNT, HOUR, W
 from checks.scalars_joins import _CLASS, _named_species
 from fieldtally import schemas as M
@@ -411,13 +411,14 @@ def j7_series(f: Frames) -> DataFrame:
 
 def _streamed(f: Frames, job) -> str:
     path, mark = scratch_dir(f.spark, "live"), scratch_dir(f.spark, "mark")
-    stream = stream_payloads(f.spark, write_payloads(f), max_files=2 * FILES)
+    payloads = write_payloads(f)
+    stream = stream_payloads(f.spark, payloads, max_files=half_of(f, payloads))
     job(stream, f.areas, path, mark).awaitTermination()
     return path
 
 
 _STREAMED = [(family, grain) for family, spec in ROLLUPS.items() for grain in spec.grains]
-# the payload writer makes four files by arrival, of which a micro-batch takes two
+# the payload writer makes four deliveries by arrival, of which a micro-batch takes two
 _BATCHED = """(SELECT *, floor(floor(arrival / (SELECT max(arrival) + 1 FROM sightings) * 4) / 2) AS batch FROM sighting_rows)"""
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.base import END, NOW, START, Frames, query, window
-from checks.payload_files import FILES, audit_payloads, write_payloads
+from checks.payload_files import audit_payloads, half_of, write_payloads
 from fieldtally import schemas as M
 from fieldtally.functions import predicates as P
 from fieldtally.operators import audit as A
@@ -41,7 +41,8 @@ def a1(f: Frames) -> DataFrame:
 @query("A2_stream_payloads", _TYPE_COUNTS)
 def a2(f: Frames) -> DataFrame:
     out, mark = scratch_dir(f.spark, "arrived"), scratch_dir(f.spark, "mark")
-    stream = stream_payloads(f.spark, write_payloads(f), max_files=2 * FILES).select("type", "message")
+    payloads = write_payloads(f)
+    stream = stream_payloads(f.spark, payloads, max_files=half_of(f, payloads)).select("type", "message")
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(
         availableNow=True
     ).start().awaitTermination()
@@ -52,7 +53,8 @@ def a2(f: Frames) -> DataFrame:
 def k2_flush_by_rows(f: Frames) -> DataFrame:
     """A stream whose micro-batches hold at most so many payloads; ``stream_facts`` takes it as it takes the other."""
     buffer, out = scratch_dir(f.spark, "buffer"), scratch_dir(f.spark, "by-rows")
-    arriving = stream_payloads(f.spark, write_payloads(f), max_files=2 * FILES)
+    payloads = write_payloads(f)
+    arriving = stream_payloads(f.spark, payloads, max_files=half_of(f, payloads))
     buffer_rows(arriving, buffer, scratch_dir(f.spark, "buffer-mark"), 25_000).awaitTermination()
     flushed = stream_buffered(f.spark, buffer).select("type", "message").writeStream.format("parquet").option("path", out)
     flushed.option("checkpointLocation", scratch_dir(f.spark, "by-rows-mark")).trigger(availableNow=True).start().awaitTermination()
@@ -76,7 +78,7 @@ _ROUTED = {
     ),
 )
 def a3(f: Frames) -> DataFrame:
-    frames = routed_raw(read_payloads(f.spark, write_payloads(f)))
+    frames = routed_raw(read_payloads(f.spark, write_payloads(f)), staged=True)
     out = None
     for family, (point, a, b, t) in _ROUTED.items():
         rows = frames[family].select(

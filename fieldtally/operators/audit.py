@@ -13,7 +13,7 @@ from fieldtally import schemas as M
 from fieldtally.functions import scalars as S
 from fieldtally.functions.predicates import Checks, first_failed, message_checks, valid_coords
 from fieldtally.operators.derive import first_reward, quest_labels
-from fieldtally.sources.payloads import SHAPES, family_of, messages
+from fieldtally.sources.payloads import SHAPES, family_of, messages, parsed_once
 
 FAMILIES = tuple(family for family, _ in M.MESSAGES.values())
 
@@ -54,13 +54,13 @@ def audited(payloads: DataFrame) -> DataFrame:
     JSON object).
     """
     kind = F.col("type")
-    rows = payloads.select(*payloads.columns, family_of(kind).alias("family"), *messages(kind), F.json_object_keys("message").alias("keys"))
+    rows = parsed_once(payloads.withColumn("family", family_of(kind)), **messages(kind), keys=F.when(kind == "quest", F.json_object_keys("message")))
     for family in FAMILIES:
         rows = _told(rows, family)
     told = F.coalesce(*[F.col(f"r_{family}") for family in FAMILIES])
     refused = (
         F.when(F.col("family").isNull(), "unknown_type").when(F.col("message").isNull(), "no_message")
-        .when(told["message"].isNotNull() & F.col("keys").isNull(), "unreadable").otherwise(told["message"])
+        .when(told["message"].isNotNull() & F.json_object_keys("message").isNull(), "unreadable").otherwise(told["message"])
     )
     rows = rows.select(*payloads.columns, "family", refused.alias("refused"), told["fact"].alias("fact"))
     return rows.select(

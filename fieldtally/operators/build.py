@@ -21,7 +21,7 @@ from fieldtally.operators.ingest import LOCALISE, Areas, ingest
 from fieldtally.operators.rollups import FINEST, FOLDED_FROM, ROLLUPS, coarsen, finest_counts, finest_rollup
 from fieldtally.operators.spatial import AreaIndex, assign_area
 from fieldtally.session import scratch_dir
-from fieldtally.sources.payloads import raw_of, wide_payloads
+from fieldtally.sources.payloads import raw_of, staged_by_family, wide_payloads
 from fieldtally.sources.tables import read_rollup, write_facts, write_months, write_rollup
 
 #: fact tables in which the last row of a key wins; in the others it is the first
@@ -44,10 +44,7 @@ def with_areas(payloads: DataFrame, areas: Areas) -> DataFrame:
 
 def staged_payloads(payloads: DataFrame, areas: Areas, sender_offset: int = 0) -> Events:
     """Localised events of each family, read from a table that one pass over the payloads writes."""
-    path = scratch_dir(payloads.sparkSession, "events")
-    wide = with_areas(payloads, areas)
-    wide.write.partitionBy("family").parquet(path)
-    staged = payloads.sparkSession.read.schema(wide.schema).parquet(path)
+    staged = staged_by_family(with_areas(payloads, areas))
     return {family: LOCALISE[family](raw_of(staged, family), sender_offset) for family in LOCALISE}
 
 

@@ -10,6 +10,7 @@ from fieldtally import schemas as M
 from fieldtally.functions import scalars as S
 from fieldtally.functions.predicates import valid_invasions, valid_quests, valid_raids, valid_sightings
 from fieldtally.operators.derive import first_reward, quest_labels
+from fieldtally.session import scratch_dir
 
 
 def _file_info() -> Column:
@@ -68,15 +69,19 @@ def stream_buffered(spark: SparkSession, path: str, max_files: int = 1) -> DataF
     return spark.readStream.schema(BUFFERED).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
+def parsed_once(payloads: DataFrame, **parsed: Column) -> DataFrame:
+    """Adds columns that are costly to parse. As rows of a generator they are parsed once: filters on a plain column are moved
+    below it, where each check would parse the text again."""
+    one = F.array(F.struct(*[value.alias(name) for name, value in parsed.items()]))
+    return payloads.select(*payloads.columns, F.inline(one))
+
+
 def route(payloads: DataFrame) -> dict[str, DataFrame]:
     """One typed frame per family. Unknown types and unreadable messages are dropped."""
     out = {}
     for kind, (family, schema) in M.MESSAGES.items():
-        parsed = payloads.where(F.col("type") == kind).select(
-            F.from_json("message", schema).alias("m"),
-            *([F.json_object_keys("message").alias("keys")] if family == "quests" else []),
-            *([F.col("arrival")] if "arrival" in payloads.columns else []),
-        )
+        keys = {"keys": F.json_object_keys("message")} if family == "quests" else {}
+        parsed = parsed_once(payloads.where(F.col("type") == kind), m=F.from_json("message", schema), **keys)
         out[family] = SHAPES[family](parsed.where(F.col("m").isNotNull()))
     return out
 
@@ -160,9 +165,9 @@ def family_of(kind: Column) -> Column:
     return F.coalesce(*[F.when(kind == k, F.lit(family)) for k, (family, _) in M.MESSAGES.items()])
 
 
-def messages(kind: Column) -> list[Column]:
+def messages(kind: Column) -> dict[str, Column]:
     """``m_<family>`` for each family: the parsed message in the column of its own, null in the others."""
-    return [F.from_json(F.when(kind == k, F.col("message")), schema).alias(f"m_{family}") for k, (family, schema) in M.MESSAGES.items()]
+    return {f"m_{family}": F.from_json(F.when(kind == k, F.col("message")), schema) for k, (family, schema) in M.MESSAGES.items()}
 
 
 def wide_payloads(payloads: DataFrame) -> DataFrame:
@@ -172,10 +177,9 @@ def wide_payloads(payloads: DataFrame) -> DataFrame:
     as are messages without coordinates, which no family accepts.
     """
     kind = F.col("type")
-    parsed = payloads.where(kind.isin(*M.MESSAGES)).select(
-        family_of(kind).alias("family"), *messages(kind),
-        F.when(kind == "quest", F.json_object_keys("message")).alias("keys"), "arrival",
-    )
+    rows = payloads.where(kind.isin(*M.MESSAGES)).select(family_of(kind).alias("family"), "type", "message", "arrival")
+    keys = F.when(kind == "quest", F.json_object_keys("message"))
+    parsed = parsed_once(rows, **messages(kind), keys=keys).drop("type", "message")
 
     def place(name: str) -> Column:
         return F.coalesce(*[S.strip(F.col(f"m_{family}.{name}").cast("string")).try_cast("double") if "latitude string" in schema else F.col(f"m_{family}.{name}") for family, schema in M.MESSAGES.values()])
@@ -195,6 +199,20 @@ def raw_of(wide: DataFrame, family: str) -> DataFrame:
 _VALID = {"sightings": valid_sightings, "raids": valid_raids, "quests": flat_quests, "invasions": valid_invasions}
 
 
-def routed_raw(payloads: DataFrame) -> dict[str, DataFrame]:
-    """Routed, valid frames in the shape the ingest step takes."""
+def staged_by_family(wide: DataFrame) -> DataFrame:
+    """A table of :func:`wide_payloads`, written in one pass, of which each family reads only its own part."""
+    path = scratch_dir(wide.sparkSession, "wide")
+    wide.write.partitionBy("family").parquet(path)
+    return wide.sparkSession.read.schema(wide.schema).parquet(path)
+
+
+def routed_raw(payloads: DataFrame, staged: bool = False) -> dict[str, DataFrame]:
+    """Routed, valid frames in the shape the ingest step takes.
+
+    Each frame reads all payloads; for those with ``arrival`` of which several families are used, ``staged`` reads and parses
+    them once, into a table by family below the scratch root.
+    """
+    if staged:
+        wide = staged_by_family(wide_payloads(payloads))
+        return {family: raw_of(wide, family) for family, _ in M.MESSAGES.values()}
     return {family: _VALID[family](rows) for family, rows in route(payloads).items()}
