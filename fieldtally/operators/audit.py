@@ -57,7 +57,8 @@ def audited(payloads: DataFrame) -> DataFrame:
     rows = parsed_once(payloads.withColumn("family", family_of(kind)), **messages(kind), keys=F.when(kind == "quest", F.json_object_keys("message")))
     for family in FAMILIES:
         rows = _told(rows, family)
-    told = F.coalesce(*[F.col(f"r_{family}") for family in FAMILIES])
+    rows = parsed_once(rows.drop("keys", *[f"m_{family}" for family in FAMILIES]), told=F.coalesce(*[F.col(f"r_{family}") for family in FAMILIES]))
+    told = F.col("told")
     refused = (
         F.when(F.col("family").isNull(), "unknown_type").when(F.col("message").isNull(), "no_message")
         .when(told["message"].isNotNull() & F.json_object_keys("message").isNull(), "unreadable").otherwise(told["message"])
