@@ -9,7 +9,11 @@ import pytest
 
 from checks import payload_files as P
 from checks.base import Frames
-from fieldtally.sources.payloads import read_payloads, routed_raw, wide_payloads
+from fieldtally import schemas as M
+from fieldtally.operators import audit as A
+from fieldtally.session import scratch_root
+from fieldtally.sources.payloads import _file_info, read_payloads, routed_raw, wide_payloads
+from fieldtally.streaming.jobs import _localised
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +73,26 @@ def test_staged_routing_gives_the_same_rows(spark, frames, rows):
     for family, frame in plain.items():
         columns = [c for c in frame.columns if c != "arrival"]
         assert rows(frame, *columns) == rows(staged[family], *columns) and frame.columns == staged[family].columns, family
+
+
+def test_a_micro_batch_is_staged_once_and_leaves_nothing(spark, frames):
+    batch = spark.read.schema(M.ENVELOPE).json(P.write_payloads(frames)).select("type", "message", _file_info())
+    before = set(os.listdir(scratch_root(spark)))
+    with _localised(batch, frames.index, 0) as events:
+        for family, rows in events.items():
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "FileScan json" not in plan and "FileScan parquet" in plan, family
+        assert events["raids"].count() == frames.events("raids").count() > 0
+        assert len(set(os.listdir(scratch_root(spark))) - before) == 1
+    assert set(os.listdir(scratch_root(spark))) == before
+
+
+def test_outcomes_are_told_once(spark):
+    """Level and reason read the outcome of the checks from one column."""
+    payloads = spark.createDataFrame([("raid", "{}"), ("raid", None), ("x", "{}"), ("pokemon", "cut")], "type string, message string")
+    rows = A.audited(payloads)
+    assert [tuple(r) for r in rows.select("family", "reason").collect()] == [
+        ("raids", "missing:gym"), ("raids", "no_message"), (None, "unknown_type"), ("sightings", "unreadable"),
+    ]
+    text = A.rejects(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"ELSE missing:ex_eligible|THEN missing:ex_eligible", text)) == 1
