@@ -17,11 +17,13 @@ from fieldtally.schemas import SHINY_MONTHS
 from fieldtally.session import scratch_dir
 from fieldtally.sources import tables as ST
 from fieldtally.sources.payloads import read_payloads
+from fieldtally.sources.storage import remove
 
 
 def built(f: Frames) -> str:
-    path = scratch_dir(f.spark, "built")
-    BD.build_all(read_payloads(f.spark, write_payloads(f)), f.areas, path)
+    path, payloads = scratch_dir(f.spark, "built"), write_payloads(f)
+    BD.build_all(read_payloads(f.spark, payloads), f.areas, path)
+    remove(f.spark, [payloads])
     return path
 
 

@@ -22,6 +22,7 @@ from fieldtally.operators.rollups import FINEST, FOLDED_FROM, ROLLUPS, coarsen,
 from fieldtally.operators.spatial import AreaIndex, assign_area
 from fieldtally.session import scratch_dir
 from fieldtally.sources.payloads import raw_of, staged_by_family, wide_payloads
+from fieldtally.sources.storage import remove
 from fieldtally.sources.tables import read_rollup, write_facts, write_months, write_rollup
 
 #: fact tables in which the last row of a key wins; in the others it is the first
@@ -96,13 +97,14 @@ def build_rollups(events: Events, path: str) -> list[Callable[[], None]]:
     def source(name: str) -> None:
         spark, counts = events[name].sparkSession, scratch_dir(events[name].sparkSession, f"counts-{name}")
         frame = finest_counts(events[name], name)
-        frame.write.partitionBy("family", "grain").parquet(counts)
+        frame.write.partitionBy("family", "grain").option("compression", "zstd").parquet(counts)
         counted = spark.read.schema(frame.schema).parquet(counts)
         shape = {}
         for family, grain in FINEST[name]:
             rolled = finest_rollup(counted, family, grain)
             write_rollup(rolled, f"{path}/{family}/{grain}")
             shape[family] = rolled.schema  # the last one has the dimensions of the coarser grains
+        remove(spark, [counts])
         for family in dict.fromkeys(family for family, _ in FINEST[name]):
             for grain in ROLLUPS[family].grains:
                 if (family, grain) not in FINEST[name]:
@@ -129,4 +131,9 @@ def build_tables(events: Events, path: str, at_once: int = 4) -> None:
 
 
 def build_all(payloads: DataFrame, areas: DataFrame, path: str, sender_offset: int = 0, at_once: int = 4) -> None:
-    build_tables(staged_payloads(payloads, AreaIndex.build(areas), sender_offset), path, at_once)
+    """All tables below the new folder ``path``; what was staged for them is deleted when they are written."""
+    staged = scratch_dir(payloads.sparkSession, "wide")
+    try:
+        build_tables(staged_payloads(payloads, AreaIndex.build(areas), sender_offset, staged), path, at_once)
+    finally:
+        remove(payloads.sparkSession, [staged])

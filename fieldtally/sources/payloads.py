@@ -202,7 +202,7 @@ _VALID = {"sightings": valid_sightings, "raids": valid_raids, "quests": flat_que
 def staged_by_family(wide: DataFrame, path: str | None = None) -> DataFrame:
     """A table of :func:`wide_payloads`, written in one pass, of which each family reads only its own part."""
     path = path or scratch_dir(wide.sparkSession, "wide")
-    wide.write.partitionBy("family").parquet(path)
+    wide.write.partitionBy("family").option("compression", "zstd").parquet(path)
     return wide.sparkSession.read.schema(wide.schema).parquet(path)
 
 

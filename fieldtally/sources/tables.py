@@ -21,7 +21,7 @@ def partitioned(df: DataFrame, by: str, sort: list[str]):
     light ones; sorting within tasks gives useful row-group statistics.
     """
     placed = df.hint("rebalance", F.col(by)).sortWithinPartitions(by, *sort)
-    return placed.write.partitionBy(by).option("partitionOverwriteMode", "dynamic")
+    return placed.write.partitionBy(by).option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
 
 
 def write_facts(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -52,7 +52,8 @@ def read_facts(spark: SparkSession, path: str, name: str) -> DataFrame:
 def write_rollup(rollup: DataFrame, path: str) -> None:
     """A rollup in day partitions, sorted by area and bucket, under a new path. Windows over it prune whole days."""
     rows = rollup.withColumn("day", F.col("bucket").cast("date")).hint("rebalance", F.col("day"))
-    rows.sortWithinPartitions("day", "area", "bucket").write.partitionBy("day").mode("errorifexists").parquet(path)
+    placed = rows.sortWithinPartitions("day", "area", "bucket")
+    placed.write.partitionBy("day").option("compression", "zstd").mode("errorifexists").parquet(path)
 
 
 def read_rollup(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
