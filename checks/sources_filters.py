@@ -20,6 +20,7 @@ from fieldtally.sources import areas as SA
 from fieldtally.sources import lookups as SL
 from fieldtally.sources import tables as ST
 from fieldtally.sources.payloads import buffer_rows, read_payloads, routed_raw, stream_buffered, stream_payloads
+from fieldtally.sources.storage import remove
 
 # --- A: sources and sinks --------------------------------------------------------------------------------
 
@@ -56,8 +57,11 @@ def k2_flush_by_rows(f: Frames) -> DataFrame:
     payloads = write_payloads(f)
     arriving = stream_payloads(f.spark, payloads, max_files=half_of(f, payloads))
     buffer_rows(arriving, buffer, scratch_dir(f.spark, "buffer-mark"), 25_000).awaitTermination()
+    remove(f.spark, [payloads])
     flushed = stream_buffered(f.spark, buffer).select("type", "message").writeStream.format("parquet").option("path", out)
-    flushed.option("checkpointLocation", scratch_dir(f.spark, "by-rows-mark")).trigger(availableNow=True).start().awaitTermination()
+    flushed = flushed.option("compression", "zstd").option("checkpointLocation", scratch_dir(f.spark, "by-rows-mark"))
+    flushed.trigger(availableNow=True).start().awaitTermination()
+    remove(f.spark, [buffer])
     return f.spark.read.parquet(out).groupBy("type").agg(F.count("*").alias("n"))
 
 

@@ -56,7 +56,7 @@ def buffer_rows(stream: DataFrame, path: str, checkpoint: str, rows: int, every:
     The file sink logs each micro-batch when it is whole: a restart from the checkpoint loses and repeats nothing.
     """
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    writer = writer.option("maxRecordsPerFile", rows)
+    writer = writer.option("maxRecordsPerFile", rows).option("compression", "zstd")
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 

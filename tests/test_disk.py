@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from checks import payload_files as P
 from checks.base import Frames
+from checks.sources_filters import k2_flush_by_rows
 from checks.store_queries import build_all_facts
 from fieldtally.session import scratch_dir, scratch_root
 from fieldtally.operators import build as BD
 from fieldtally.sources import bindings as B
-from fieldtally.sources.payloads import read_payloads
+from fieldtally.sources.payloads import buffer_rows, read_payloads, stream_payloads
 
 
 @pytest.fixture(scope="module")
@@ -67,3 +68,14 @@ def test_queries_leave_only_what_they_return(spark, frames):
     before = set(os.listdir(scratch_root(spark)))
     build_all_facts(frames).count()
     assert left(spark, before) == ["built"]
+    before = set(os.listdir(scratch_root(spark)))
+    assert {r["type"]: r["n"] for r in k2_flush_by_rows(frames).collect()}["raid"] == 29 + 25
+    assert left(spark, before) == ["buffer-mark", "by-rows", "by-rows-mark"]
+
+
+def test_buffer_files_are_compressed(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"type": "raid", "message": {"n": 1}}\n' * 5)
+    buffer_rows(stream_payloads(spark, str(tmp_path / "in")), str(tmp_path / "buffer"), str(tmp_path / "m"), 2).awaitTermination()
+    files = [name for name in os.listdir(tmp_path / "buffer") if name.startswith("part-")]
+    assert len(files) == 3 and all(".zstd." in name for name in files)
