@@ -116,20 +116,15 @@ def place(f: Frames, rows: DataFrame) -> Column:
 
 def lines_of(rows: DataFrame) -> DataFrame:
     """The lines of rows: one payload each, or an array of a quest and an invasion."""
-    events = rows.select(*[B.event_of(rows, family).alias(family) for family in MESSAGE], "other")
-    return events.select(line())
-
-
-def line() -> Column:
-    """The line of a row of events."""
 
     def envelope(family: str) -> Column:
         kind, message = MESSAGE[family]
-        return _envelope(kind, message(lambda name: F.col(f"{family}.{name}")))
+        event = B.event_of(rows, family)
+        return _envelope(kind, message(lambda name: event[name]))
 
     pair = F.concat(F.lit("["), envelope("quests"), F.lit(","), envelope("invasions"), F.lit("]"))
     out = F.when(F.col("sightings").isNotNull(), envelope("sightings")).when(F.col("raids").isNotNull(), envelope("raids"))
-    return out.when(F.col("quests").isNotNull(), pair).otherwise(F.col("other")).alias("value")
+    return rows.select(out.when(F.col("quests").isNotNull(), pair).otherwise(F.col("other")).alias("value"))
 
 
 def audit_payloads(f: Frames) -> DataFrame:

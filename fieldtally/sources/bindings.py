@@ -120,10 +120,10 @@ def source_rows(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
 
 
 def event_of(rows: DataFrame, family: str) -> Column:
-    """The columns of :func:`bind` as a struct, made from those of :func:`source_rows`; null where that is null."""
+    """The columns of :func:`bind` as a struct, made from those of :func:`source_rows`. It is never null, so that a field of it needs no others."""
     names = "|".join(rows.schema[family].dataType.names)
     fields = FAMILY_SQL[family].partition("SELECT")[2].rpartition("FROM")[0]
-    return F.when(F.col(family).isNotNull(), F.expr(f"struct({re.sub(rf'\b({names})\b', rf'{family}.\1', fields)})"))
+    return F.expr(f"struct({re.sub(rf'\b({names})\b', rf'{family}.\1', fields)})")
 
 
 def bind_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
