@@ -20,27 +20,32 @@ events: its probability is what the known words leave. A text's own mass for suc
 top of it; the masses of the text's other unknown words are left out, so the probabilities sum to one at most.
 
 Counting covers all training texts. The table of words is distributed and never collected. The spelling table has at
-most 257^3 cells whatever the corpus (some ten thousands in practice); it and the ``hot_words`` most frequent words are sent to
-all tasks, and so are the ``hot_pairs`` most frequent pairs. Other pairs of a text are scored by a join on the pair; a pair that
-training texts do not have goes back to its word, for which a held-out text's other words are joined by their hashes.
+most 257^3 cells whatever the corpus (some ten thousands in practice); it and what was learned of the ``hot_words`` most frequent words
+are sent to all tasks, and so are the ``hot_pairs`` most frequent pairs. Words, pairs and questions are shuffled as packed lists: a list
+holds what one chunk of texts has for one bucket of hashes, and names frequent words by their rank. Pairs that occur once
+are never rows of a table. To be scored, a chunk of texts asks the buckets for its other pairs and words; a pair that training texts do not
+have goes back to its word. The texts are read twice for that, in the same order; if they come in another one, scoring fails.
+
+All draws depend on the seed and on the word or pair alone, so scores don't depend on how rows are dealt out.
 
 Defined cases: a null or empty text is one end token; without training texts every token is the unknown
 word, of probability one; repeated rows are scored each; a null id counts as an empty text in the folds; an empty table gives an empty result.
-Only id and text are read. Words are told apart by a 64-bit hash and, in counting, by their bytes.
+Only id and text are read. Words are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm.tables import stored
-from fieldtally.llm.text import LOWER, Words, mixed, pieces, words
+from fieldtally.llm.tables import dropped, stored
+from fieldtally.llm.text import LOWER, Piece, Words, mixed, pieces, words
 
 EDGE = 256  # a symbol for the start and the end of a word
 SYMBOLS = 257
@@ -64,10 +69,14 @@ class Settings:
 
 
 SETTINGS = Settings()
-#: tokens that a task counts before it passes counts on
+#: words, different within a piece of text, that a task holds before it passes counts on
 COUNT_TOKENS = 4_000_000
-#: pairs, different within a piece of text, that a task holds before it passes counts on
-COUNT_PAIRS = 2_000_000
+#: bytes of text whose pairs a task counts and scores together
+CHUNK_BYTES = 1 << 23
+#: rows that a task holds before it deals them out to buckets
+DEALT_ROWS = 1_000_000
+#: stands before a word in an entry that asks for the word itself; no word has this hash but by chance
+ALONE = np.uint64(1)
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -75,6 +84,33 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers as compressed bytes, the first bytes of all numbers first."""
+    plain = b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes() for x in arrays)
+    return np.array([len(x) for x in arrays], np.int64).tobytes() + (pa.compress(plain, codec="zstd", asbytes=True) if plain else b"")
+
+
+def unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
+    lengths = np.frombuffer(data, np.int64, len(kinds))
+    sizes = [int(n) * np.dtype(k).itemsize for n, k in zip(lengths, kinds, strict=True)]
+    plain = pa.decompress(data[8 * len(kinds) :], sum(sizes), codec="zstd") if sum(sizes) else b""
+    whole, at, found = np.frombuffer(plain, np.uint8), 0, []
+    for n, size, kind in zip(lengths, sizes, kinds, strict=True):
+        found.append(np.ascontiguousarray(whole[at : at + size].reshape(-1, n).T).view(kind).ravel() if n else np.zeros(0, kind))
+        at += size
+    return found
+
+
+def bucket_number(spark: SparkSession, tokens: int = 0) -> int:
+    """Several buckets for each task of a shuffle, and of a bounded size."""
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // 3_000_000)
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Rises with the key."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
 def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The spans of data as an Arrow column of bytes."""
     lengths = ends - starts
@@ -83,44 +119,74 @@ def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
     return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[at]))]).cast(pa.binary())
 
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in order, a place of each, and which of them each key is."""
+    order = np.argsort(keys)
+    there = keys[order]
+    new = np.concatenate([[True], there[1:] != there[:-1]])[: len(there)]
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return there[new], order[new], of
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """h, word, n: how often each word of any text occurs in training texts. ``docs``: text, train."""
+    """h, word, n: how often each word of any text occurs in training texts. ``docs``: text, train. Words are shuffled as packed
+    lists, by buckets of their hashes."""
+    buckets = bucket_number(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         spelled: list[pa.Array] = []
-        held, ends = 0, 0
+        held, ends, rows = 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, ends
-            h = np.concatenate([*hashes, [np.uint64(END)]])
-            n = np.concatenate([*counts, [ends]])
-            spelling = pa.concat_arrays([*spelled, pa.array([b""], pa.binary())])
-            keys, first, of = np.unique(h, return_index=True, return_inverse=True)
-            total = np.bincount(of, weights=n).astype(np.int64)
+            nonlocal held, ends, rows
+            h, n = np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate([*counts, np.zeros(0, np.int64)])
+            keys, first, of = grouped(h)
+            total = np.bincount(of, weights=n, minlength=len(keys)).astype(np.int64)
+            spelling = pa.concat_arrays([*spelled, pa.array([], pa.binary())]).take(pa.array(first))
+            bounds = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
+            full = [k for k in range(buckets) if k == 0 or bounds[k] < bounds[k + 1]]
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), spelling), b" ")
+            lists = [packed(np.frombuffer(joined[k].as_buffer(), np.uint8)) for k in full]
+            numbers = [packed(total[bounds[k] : bounds[k + 1]]) for k in full]
+            end = [ends if k == 0 else 0 for k in full]
             for kept in (hashes, counts, spelled):
                 kept.clear()
-            held, ends = 0, 0
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), spelling.take(pa.array(first)), pa.array(total)], names=["h", "word", "n"])
+            held, ends, rows = 0, 0, 0
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(lists, pa.binary()), pa.array(numbers, pa.binary()), pa.array(end, pa.int64())], names=["bucket", "words", "n", "ends"])
 
         for batch in batches:
             train = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype=bool)
             for piece in pieces(batch.column(0)):
                 found = words(piece, lower=True)
                 used = train[piece.rows]
-                keys, first, of = np.unique(found.hashes, return_index=True, return_inverse=True)
+                keys, first, of = grouped(found.hashes)
                 hashes.append(keys)
                 counts.append(np.bincount(of, weights=used[found.row], minlength=len(keys)).astype(np.int64))
                 spelled.append(gathered(LOWER[piece.data], found.starts[first], found.ends[first]))
                 held += len(keys)
                 ends += int(used.sum())
+                rows += len(piece)
                 if held >= COUNT_TOKENS:
                     yield flush()
-        if held or ends:
+        if rows:
             yield flush()
 
-    return docs.mapInArrow(run, "h bigint, word binary, n bigint").groupBy("h", "word").agg(F.sum("n").alias("n"))
+    def merged(rows: pa.Table) -> pa.Table:
+        data = np.concatenate([np.append(unpacked(x.as_py(), np.uint8)[0], np.uint8(32)) for x in rows["words"]])
+        n = np.concatenate([unpacked(x.as_py(), np.int64)[0] for x in rows["n"]])
+        found = words(Piece(slice(0, 1), data, np.array([0, len(data)])))
+        keys, first, of = grouped(found.hashes)
+        total = np.bincount(of, weights=n, minlength=len(keys)).astype(np.int64)
+        spelling = gathered(data, found.starts[first], found.ends[first])
+        if rows["bucket"][0].as_py() == 0:
+            keys, total = np.append(keys, np.uint64(END)), np.append(total, sum(rows["ends"].to_pylist()))
+            spelling = pa.concat_arrays([spelling, pa.array([b""], pa.binary())])
+        return pa.table({"h": keys.view(np.int64), "word": spelling, "n": total})
+
+    return docs.mapInArrow(run, "bucket int, words binary, n binary, ends bigint").groupBy("bucket").applyInArrow(merged, "h bigint, word binary, n bigint")
 
 
 def in_order(found: Words, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,80 +201,300 @@ def pair_keys(before: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return mixed(hashes + mixed(before))
 
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """u, w, n: how often the word w follows the word u in the training texts. ``texts``: text."""
+class Hot:
+    """The most frequent words: their hashes by rank, and the ranks by hash."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
+        self.rank = np.argsort(hashes).astype(np.int32)
+        self.sorted = hashes[self.rank]
+
+    def coded(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank or -1, and the hash of words without a rank (0 for others)."""
+        if not len(self.sorted):
+            return np.full(len(hashes), -1, np.int32), hashes
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        known = self.sorted[at] == hashes
+        return np.where(known, self.rank[at], -1).astype(np.int32), np.where(known, np.uint64(0), hashes)
+
+    def plain(self, ranks: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        return np.where(ranks >= 0, self.hashes[ranks], rest) if len(self.hashes) else rest
+
+
+@dataclass
+class Entries:
+    """Pairs in the order in which a chunk deals them out: by bucket, then by the ranks of their words."""
+
+    keys: np.ndarray
+    u: tuple[np.ndarray, np.ndarray]
+    w: tuple[np.ndarray, np.ndarray]
+    order: np.ndarray  # of what was given
+    bounds: np.ndarray  # of buckets
+
+    @staticmethod
+    def of(before: np.ndarray, hashes: np.ndarray, keys: np.ndarray, hot: Hot, buckets: int) -> Entries:
+        return Entries.coded(hot.coded(before), hot.coded(hashes), keys, len(hot.hashes), buckets)
+
+    @staticmethod
+    def coded(u: tuple[np.ndarray, np.ndarray], w: tuple[np.ndarray, np.ndarray], keys: np.ndarray, ranks: int, buckets: int) -> Entries:
+        bucket, ranks = bucket_of(keys, buckets), np.uint64(ranks + 1)
+        order = np.argsort((bucket * ranks + (u[0] + 1).astype(np.uint64)) * ranks + (w[0] + 1).astype(np.uint64), kind="stable")
+        return Entries(keys[order], (u[0][order], u[1][order]), (w[0][order], w[1][order]), order, np.searchsorted(bucket[order], np.arange(buckets + 1)))
+
+    def dealt(self, *more: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """Bucket and packed entries with further values, given in this order."""
+        for k in np.flatnonzero(np.diff(self.bounds)):
+            here = slice(self.bounds[k], self.bounds[k + 1])
+            cold = [x[1][here][x[0][here] < 0] for x in (self.u, self.w)]
+            yield int(k), packed(self.u[0][here], self.w[0][here], *cold, *(x[here] for x in more))
+
+
+def undealt(data: bytes, hot: Hot, *kinds: type) -> list[np.ndarray]:
+    """Hashes of both words of packed entries, and the further values."""
+    u, w, u_cold, w_cold, *more = unpacked(data, np.int32, np.int32, np.uint64, np.uint64, *kinds)
+    found = []
+    for ranks, cold in ((u, u_cold), (w, w_cold)):
+        rest = np.zeros(len(ranks), np.uint64)
+        rest[ranks < 0] = cold
+        found.append(hot.plain(ranks, rest))
+    return [*found, *more]
+
+
+@dataclass
+class Tokens:
+    """The tokens of some texts: their rows, the different words (hashes, ranks and, of words without one, hashes), the word of each
+    token, the different pairs as places of their words, their keys, and the pair of each token."""
+
+    row: np.ndarray
+    words: np.ndarray
+    coded: tuple[np.ndarray, np.ndarray]
+    word: np.ndarray
+    u: np.ndarray
+    w: np.ndarray
+    keys: np.ndarray
+    pair: np.ndarray
+
+    @staticmethod
+    def of(texts: pa.ChunkedArray, hot: Hot) -> Tokens:
+        found = [(piece.rows.start, in_order(words(piece, lower=True), len(piece))) for piece in pieces(texts)]
+        row = np.concatenate([row + start for start, (row, _, _) in found])
+        known, _, word = grouped(np.concatenate([hashes for _, (_, hashes, _) in found]))
+        pairs, _, pair = grouped(np.roll(word, 1) * len(known) + word)  # a text's last token is an end, as is what stands before it
+        u, w = pairs // len(known), pairs % len(known)
+        return Tokens(row, known, hot.coded(known), word, u, w, pair_keys(known[u], known[w]), pair)
+
+    def entries(self, some: np.ndarray, alone: np.ndarray, ranks: int, buckets: int) -> Entries:
+        """Some of the pairs, and after them words that stand alone."""
+        (rank, rest), w = self.coded, np.concatenate([self.w[some], alone])
+        u_rank = np.concatenate([rank[self.u[some]], np.full(len(alone), -1, np.int32)])
+        u_rest = np.concatenate([rest[self.u[some]], np.full(len(alone), ALONE)])
+        keys = np.concatenate([self.keys[some], pair_keys(np.full(len(alone), ALONE), self.words[alone])])
+        return Entries.coded((u_rank, u_rest), (rank[w], rest[w]), keys, ranks, buckets)
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Rows in order, by chunks of about CHUNK_BYTES of text, and the chunk's first row number. Columns: row, text and others."""
+    held, size = [], 0
+    for batch in batches:
+        lengths = np.diff(np.frombuffer((text := batch.column("text").cast(pa.large_string())).buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]) if batch.num_rows else np.zeros(0, np.int64)
+        at = 0
+        while at < batch.num_rows:
+            upto = at + min(int(np.searchsorted(np.cumsum(lengths[at:]), CHUNK_BYTES - size)) + 1, batch.num_rows - at)
+            held.append(batch.slice(at, upto - at))
+            size += int(lengths[at:upto].sum())
+            at = upto
+            if size >= CHUNK_BYTES:
+                yield held[0].column("row")[0].as_py(), pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield held[0].column("row")[0].as_py(), pa.Table.from_batches(held)
+
+
+PAIR = "us int, uc bigint, ws int, wc bigint, n bigint"
+
+
+def coded_pairs(u: np.ndarray, w: np.ndarray, hot: Hot) -> list[pa.Array]:
+    """Rank (or -1) and hash (null if there is a rank) of the words of pairs."""
+    return [x for h in (u, w) for ranks, rest in [hot.coded(h)] for x in (pa.array(ranks), pa.array(rest.view(np.int64), mask=ranks >= 0))]
+
+
+def pair_counts(texts: DataFrame, hot: Hot = Hot(np.zeros(0, np.uint64)), tokens: int = 0) -> DataFrame:
+    """us, uc, ws, wc, n: how often the word w follows the word u in the training texts; a word is its rank among ``hot`` or else its
+    hash. ``texts``: text. Pairs are shuffled as packed lists, by buckets of their keys."""
+    buckets = bucket_number(texts.sparkSession, tokens)
+    sent = texts.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        for _, chunk in chunks(batches):
+            tokens = Tokens.of(chunk["text"], sent.value)
+            some = tokens.entries(np.arange(len(tokens.keys)), np.zeros(0, np.int64), len(sent.value.hashes), buckets)
+            dealt = list(some.dealt(np.bincount(tokens.pair)[some.order]))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in dealt], pa.int32()), pa.array([x for _, x in dealt], pa.binary())], names=["bucket", "data"])
 
-        def merged() -> tuple[np.ndarray, ...]:
-            keys, u, w, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            keys, first, of = np.unique(keys, return_index=True, return_inverse=True)
-            return keys, u[first], w[first], np.bincount(of, weights=n).astype(np.int64)
+    def merged(rows: pa.Table) -> pa.Table:
+        u, w, n = (np.concatenate(x) for x in zip(*(undealt(x.as_py(), sent.value, np.int64) for x in rows["data"]), strict=True))
+        _, first, of = grouped(pair_keys(u, w))
+        return pa.Table.from_arrays([*coded_pairs(u[first], w[first], sent.value), pa.array(np.bincount(of, weights=n).astype(np.int64))], names=["us", "uc", "ws", "wc", "n"])
+
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), "text")
+    return rows.mapInArrow(run, "bucket int, data binary").groupBy("bucket").applyInArrow(merged, PAIR)
 
-        def flush() -> pa.RecordBatch:
-            _, u, w, n = merged()
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(w.view(np.int64)), pa.array(n)], names=["u", "w", "n"])
 
+def seated_pairs(rows: DataFrame, hot: Hot, known: tuple[np.ndarray, np.ndarray], discount: float, settings: Settings, seed: int) -> DataFrame:
+    """The pairs with t, their tables. ``rows``: pairs and, for words without a rank, p (the probability of w) and tables (of the context
+    u, last turn); ``known``: both by rank."""
+    sent = rows.sparkSession.sparkContext.broadcast((hot, *known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, *known = sent.value
         for batch in batches:
-            for piece in pieces(batch.column(0)):
-                _, hashes, before = in_order(words(piece, lower=True), len(piece))
-                keys, first, n = np.unique(pair_keys(before, hashes), return_index=True, return_counts=True)
-                held.append((keys, before[first], hashes[first], n))
-                if sum(len(x[0]) for x in held) >= COUNT_PAIRS:
-                    yield flush()
-        if held:
-            yield flush()
+            if batch.num_rows:
+                us, ws, n = (batch.column(c).to_numpy() for c in ("us", "ws", "n"))
+                p, tables = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("p", "tables"))
+                for values, ranks, of in ((p, ws, known[0]), (tables, us, known[1])):
+                    values[ranks >= 0] = of[ranks[ranks >= 0]]
+                u, w = (hot.plain(ranks, batch.column(c).fill_null(0).to_numpy().view(np.uint64)) for ranks, c in ((us, "uc"), (ws, "wc")))
+                t = tables_of(n, (settings.pair_strength + discount * tables) * p, discount, Draws(pair_keys(u, w), seed))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("us", "uc", "ws", "wc", "n")), pa.array(t)], names=["us", "uc", "ws", "wc", "n", "t"])
 
-    return texts.mapInArrow(run, "u bigint, w bigint, n bigint").groupBy("u", "w").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, PAIR + ", t bigint")
 
 
-def seated_pairs(rows: DataFrame, discount: float, settings: Settings, seed: int) -> DataFrame:
-    """u, w, n, t: tables of pairs. ``rows``: u, w, n, p (the word's probability), tables (of the context, last turn)."""
+def ranked(types: DataFrame, hot: Hot) -> DataFrame:
+    """The words with s, their rank or -1, and c, the hash of words without a rank (null for others)."""
+    sent = types.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                u, w, n, p, tables = (batch.column(c).to_numpy() for c in ("u", "w", "n", "p", "tables"))
-                rng = np.random.default_rng([seed, int(u[0]) & 0xFFFFFFFF, int(w[0]) & 0xFFFFFFFF])
-                t = tables_of(n, (settings.pair_strength + discount * tables) * p, discount, rng)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("u", "w", "n")), pa.array(t)], names=["u", "w", "n", "t"])
+            ranks, rest = sent.value.coded(batch.column("h").to_numpy().view(np.uint64))
+            columns = [*batch.columns, pa.array(ranks), pa.array(rest.view(np.int64), mask=ranks >= 0)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "s", "c"])
 
-    return rows.mapInArrow(run, "u bigint, w bigint, n bigint, t bigint")
+    return types.mapInArrow(run, "h bigint, word binary, n bigint, s int, c bigint")
 
 
-def pair_scores(types: DataFrame, pairs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """h, n, p, back of all words (probability; what the word's context passes on to the word restaurant), and u, w, c, p, n of all
-    pairs (how often w follows u; its probability there; how often w occurs)."""
-    kinds = pairs.agg(F.sum(F.when(F.col("n") == 1, 1)).alias("once"), F.sum(F.when(F.col("n") == 2, 1)).alias("twice"), F.count("*").alias("all")).first()
-    once, twice = kinds["once"] or 0, kinds["twice"] or 0
+def hot_words(types: DataFrame, settings: Settings) -> Hot:
+    found = types.orderBy(F.desc("n"), "h").limit(settings.hot_words).select("h").toArrow()  # bounded by the settings
+    return Hot(found["h"].to_numpy().view(np.uint64))
+
+
+def by_rank(words: DataFrame, size: int, *names: str) -> list[np.ndarray]:
+    """Columns of the words that have a rank."""
+    found = words.where("s >= 0").select("s", *names).toArrow()
+    out = []
+    for name in names:
+        values = np.zeros(size, found[name].to_numpy().dtype)
+        values[found["s"].to_numpy()] = found[name].to_numpy()
+        out.append(values)
+    return out
+
+
+def fewer(pairs: DataFrame, saved: Column) -> tuple[DataFrame, DataFrame]:
+    """s, c and the sum of ``saved`` for the words that stand first in pairs (u), and for those that stand second (w)."""
+    return tuple(
+        pairs.groupBy(F.col(f"{x}s").alias("s"), F.coalesce(f"{x}c", F.lit(0)).alias("_c")).agg(F.sum(saved).alias(x)) for x in ("u", "w")
+    )
+
+
+@dataclass
+class Seating:
+    """What the contexts and the word restaurant were learned to be. ``words``: h, s, c, n, p, tables (of the word's context);
+    ``more``: us, uc, ws, wc, n, t of the pairs that occur more than once."""
+
+    words: DataFrame
+    more: DataFrame
+    discount: float
+
+
+def seated_words(types: DataFrame, pairs: DataFrame, hot: Hot, settings: Settings) -> Seating:
+    """Seats the contexts and the word restaurant. A pair that occurs once has one table. So a context, whose customers are all
+    tokens after the word, has as many tables as the word occurs, less n - t for each pair of n > 1; likewise the word restaurant's customers."""
+    seen = Observation()
+    more = stored(pairs.observe(seen, F.sum(F.when(F.col("n") == 1, 1)).alias("once"), F.sum(F.when(F.col("n") == 2, 1)).alias("twice"), F.count(F.lit(1)).alias("all")).where("n > 1"), "lm-pairs")
+    once, twice, every = (seen.get.get(k) or 0 for k in ("once", "twice", "all"))
     discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
-    single = F.sum(F.when(F.col("n") == 1, 1).otherwise(0))
-    contexts = stored(pairs.groupBy("u").agg(F.sum("n").alias("total"), F.count("*").alias("tables"), single.alias("once")), "lm-contexts")
-    followers = stored(pairs.groupBy("w").agg(F.count("*").alias("tables"), single.alias("once")), "lm-followers")
-    more = pairs.where("n > 1")
-    p, tables = followers.select("w", (F.col("tables") / float(max(kinds["all"], 1))).alias("p")), contexts.select("u", "tables")
+    coded = ranked(types, hot).withColumn("_c", F.coalesce("c", F.lit(0)))
+
+    def counted(pairs: DataFrame, words: DataFrame, saved: Column) -> DataFrame:
+        """The words with customers and tables, less what pairs save; ``often``: some pair of the word occurs more than once."""
+        first, second = fewer(pairs, saved)
+        found = words.join(first, ["s", "_c"], "left").join(second, ["s", "_c"], "left")
+        gone = lambda x: F.col("n") - F.coalesce(x, F.lit(0))
+        return found.select("h", "word", "n", "s", "c", gone("w").alias("customers"), gone("u").alias("tables"), (F.col("w").isNotNull() | F.col("u").isNotNull()).alias("often"))
+
+    used = stored(counted(more, coded, F.col("n") - 1), "lm-customers")
+    words = used.select("s", "c", "often", (F.col("customers") / float(max(every, 1))).alias("p"), "tables")
+    seats, scores = None, None
     for turn in range(settings.pair_turns):
-        seated = stored(seated_pairs(more.join(p, "w").join(tables, "u"), discount, settings, 2000 + turn), "lm-pair-seats")
-        t = F.col("once") + F.coalesce("t", F.lit(0))
-        tables = stored(contexts.join(seated.groupBy("u").agg(F.sum("t").alias("t")), "u", "left").select("u", "total", t.alias("tables")), "lm-context-tables")
-        customers = followers.join(seated.groupBy("w").agg(F.sum("t").alias("t")), "w", "left").select(F.col("w").alias("h"), t.alias("customers"))
-        used = stored(types.join(customers, "h", "left").withColumn("customers", F.coalesce("customers", F.lit(0))), "lm-customers")
+        known = by_rank(words, len(hot.hashes), "p", "tables")
+        none = [F.lit(None).cast("double").alias(x) for x in ("p", "tables")]
+        rest = words.where("s < 0 AND often")
+        columns = ["us", "uc", "ws", "wc", "n"]
+        cold = more.where("us < 0 OR ws < 0")
+        # a word with a rank needs no join; its rows are dealt by the pair's other word
+        cold = cold.join(rest.select(F.col("c").alias("_w"), "p"), (F.coalesce("wc", "uc") == F.col("_w")) & (F.col("ws") < 0), "left")
+        cold = cold.join(rest.select(F.col("c").alias("_u"), F.col("tables").cast("double").alias("tables")), (F.coalesce("uc", "wc") == F.col("_u")) & (F.col("us") < 0), "left")
+        rows = more.where("us >= 0 AND ws >= 0").select(*columns, *none).unionByName(cold.select(*columns, "p", "tables"))
+        last, seats = seats, stored(seated_pairs(rows, hot, known, discount, settings, 2000 + turn), "lm-seats")
+        before = [x for x in (last, scores) if x is not None]
+        keep = used.withColumn("_c", F.coalesce("c", F.lit(0)))
+        again = counted(seats, keep.where("often").drop("customers", "tables"), F.col("n") - F.col("t"))
+        old, used = used, stored(keep.where("NOT often").drop("_c").unionByName(again), "lm-customers")
         scores = word_scores(used, used.agg(F.sum("customers")).first()[0] or 0, settings)
-        p = scores.select(F.col("h").alias("w"), F.pow(F.lit(10.0), F.col("score")).alias("p"))
-        tables = tables.select("u", "tables", "total")
-    strength = F.lit(settings.pair_strength)
-    back = (strength + discount * F.col("tables")) / (strength + F.col("total"))
-    known = scores.join(tables.withColumnRenamed("u", "h"), "h", "left")
-    every = stored(known.select("h", "n", F.pow(F.lit(10.0), F.col("score")).alias("p"), F.coalesce(back, F.lit(1.0)).alias("back"), "total"), "lm-words")
-    all_seats = seated.unionByName(pairs.where("n = 1").withColumn("t", F.lit(1).cast("bigint")))
-    after = all_seats.join(every.select(F.col("h").alias("u"), "back", "total"), "u").select("u", "w", F.col("n").alias("c"), "back", ((F.col("n") - discount * F.col("t")) / (strength + F.col("total"))).alias("own"))
-    found = after.join(every.select(F.col("h").alias("w"), "p", "n"), "w").select("u", "w", "c", (F.col("own") + F.col("back") * F.col("p")).alias("p"), "n")
-    return every.drop("total"), stored(found, "lm-pairs-scored")
+        dropped(old, *before)
+        words = scores.select("h", "s", "c", "n", "often", "tables", F.pow(F.lit(10.0), F.col("score")).alias("p"))
+    dropped(used, more)
+    return Seating(words.drop("often"), seats, discount)
 
 
-def tables_of(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+def pair_scores(types: DataFrame, pairs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """h, n, p, back of all words (probability; what the word's context passes on to the word restaurant), and u, w, c, p, n of all
+    pairs (how often w follows u; its probability there; how often w occurs). ``pairs``: without ranks."""
+    seating = seated_words(types, pairs, Hot(np.zeros(0, np.uint64)), settings)
+    strength = F.lit(settings.pair_strength)
+    every = seating.words.select("h", "n", "p", ((strength + seating.discount * F.col("tables")) / (strength + F.col("n"))).alias("back"))
+    seats = seating.more.unionByName(pairs.where("n = 1").withColumn("t", F.lit(1).cast("bigint"))).select(F.col("uc").alias("u"), F.col("wc").alias("w"), F.col("n").alias("c"), "t")
+    after = seats.join(every.select(F.col("h").alias("u"), "back", F.col("n").alias("total")), "u").withColumn("own", (F.col("c") - seating.discount * F.col("t")) / (strength + F.col("total")))
+    return every, after.join(every.select(F.col("h").alias("w"), "p", "n"), "w").select("u", "w", "c", (F.col("own") + F.col("back") * F.col("p")).alias("p"), "n")
+
+
+class Draws:
+    """Random numbers that depend on nothing but the seed and a dish's key: the same however rows are dealt out and ordered."""
+
+    def __init__(self, keys: np.ndarray, seed: int) -> None:
+        self.keys = mixed(keys + mixed(np.array([seed], np.uint64)))
+
+    def drawn(self, at: np.ndarray, seated: np.ndarray, block: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Of each block of customers of the dishes ``at``, those who open a table, each with chance p. Blocks are cut so that few
+        do, and each part is drawn by inversion."""
+        m = block.astype(np.int64)
+        parts = np.minimum(np.ceil(m * p / 20.0).astype(np.int64), m)
+        parts = np.maximum(parts, 1)
+        if parts.max(initial=1) == 1:
+            return self._inverted(self.keys[at], seated, m, p)
+        of = np.repeat(np.arange(len(at)), parts)
+        first = np.cumsum(parts) - parts
+        k = np.arange(len(of)) - first[of]
+        sizes = m[of] // parts[of] + (k < m[of] % parts[of])
+        return np.add.reduceat(self._inverted(self.keys[at][of], seated[of] + k, sizes, p[of]), first)
+
+    @staticmethod
+    def _inverted(keys: np.ndarray, number: np.ndarray, m: np.ndarray, p: np.ndarray) -> np.ndarray:
+        uniform = (mixed(keys + mixed(number.astype(np.uint64))) >> np.uint64(11)) * 2.0**-53
+        chance = np.where(m == 1, 1 - p, np.exp(m * np.log1p(-p)))
+        out = np.zeros(len(m), np.int64)
+        on = np.flatnonzero(uniform >= chance)
+        chance, uniform, m, odds, k = chance[on], uniform[on] - chance[on], m[on], (p / (1 - p))[on], 0
+        while len(on):
+            k += 1
+            out[on] = k
+            chance = chance * odds * (m - k + 1) / k
+            more = (uniform >= chance) & (k < m)
+            on, uniform, chance, m, odds = on[more], uniform[more] - chance[more], chance[more], m[more], odds[more]
+        return out
+
+
+def tables_of(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator | Draws) -> np.ndarray:
     """Tables that each dish ends up with when its customers sit down one after the other. ``pull``: (strength + discount *
     tables of the restaurant) * the parent's probability of the dish, which a new table weighs; i customers at t tables weigh
     i - discount * t."""
@@ -217,7 +503,9 @@ def tables_of(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.
     seated, left, own, t = np.ones(len(at)), customers[at].astype(np.float64) - 1, pull[at], np.ones(len(at), dtype=np.int64)
     while len(at):
         block = np.minimum(np.maximum(1, np.floor(0.02 * (seated + own))), left)
-        t = np.minimum(t + rng.binomial(block.astype(np.int64), own / (own + seated - discount * t)), (seated + block).astype(np.int64))
+        p = own / (own + seated - discount * t)
+        new = rng.drawn(at, seated, block, p) if isinstance(rng, Draws) else rng.binomial(block.astype(np.int64), p)
+        t = np.minimum(t + new, (seated + block).astype(np.int64))
         seated, left = seated + block, left - block
         tables[at] = t
         on = left > 0
@@ -300,37 +588,64 @@ class State:
     spelling: Spelling
 
 
-def seating(batch: pa.RecordBatch, state: State, settings: Settings, discount: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """tables, base probability, cells, their words, customers of the words in a batch."""
-    cells, owner = spelled_cells(batch.column("word"))
-    base = 10.0 ** np.bincount(owner, weights=state.spelling.log10(cells), minlength=batch.num_rows)
-    customers = batch.column("customers").to_numpy()
-    first = int(batch.column("h").to_numpy()[0]) if batch.num_rows else 0
-    rng = np.random.default_rng([seed, first & 0xFFFFFFFF])
-    return tables_of(customers, (settings.strength + discount * state.tables) * base, discount, rng), base, cells, owner, customers
+@dataclass
+class Spelled:
+    """The cells of a batch of words: the different ones, which of them each cell is, and its word."""
+
+    keys: np.ndarray
+    of: np.ndarray
+    owner: np.ndarray
+    rows: int
 
+    @staticmethod
+    def words(batch: pa.RecordBatch) -> Spelled:
+        cells, owner = spelled_cells(batch.column("word"))
+        return Spelled(*np.unique(cells, return_inverse=True), owner, batch.num_rows)
 
-def sweep(types: DataFrame, state: State, settings: Settings, discount: float, seed: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Seats all words; cells and customers of the spelling restaurants, and the number of tables."""
-    sent = types.sparkSession.sparkContext.broadcast(state)
+    def base(self, spelling: Spelling) -> np.ndarray:
+        """Probability of each word's spelling."""
+        return 10.0 ** np.bincount(self.owner, weights=spelling.log10(self.keys)[self.of], minlength=self.rows)
+
+
+def word_tables(batch: pa.RecordBatch, base: np.ndarray, state: State, settings: Settings, discount: float, seed: int) -> np.ndarray:
+    """Tables of the words in a batch."""
+    draws = Draws(batch.column("h").to_numpy().view(np.uint64), seed)
+    return tables_of(batch.column("customers").to_numpy(), (settings.strength + discount * state.tables) * base, discount, draws)
+
+
+def summed_cells(types: DataFrame, tables: Callable[[pa.RecordBatch, Spelled], np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Cells and customers of the spelling restaurants, and the number of tables. ``tables`` gives those of a batch of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 65_536):
-                tables, _, cells, owner, _ = seating(whole.slice(start, 65_536), sent.value, settings, discount, seed)
-                keys, of = np.unique(cells, return_inverse=True)
-                total = np.bincount(of, weights=tables[owner]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, -1)), pa.array(np.append(total, tables.sum()))], names=["cell", "n"])
+                batch = whole.slice(start, 65_536)
+                spelled = Spelled.words(batch)
+                t = tables(batch, spelled)
+                total = np.bincount(spelled.of, weights=t[spelled.owner]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(spelled.keys, -1)), pa.array(np.append(total, t.sum()))], names=["cell", "n"])
 
-    seats = types.where("n > 0").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 0").toArrow()
+    seats = types.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 0").toArrow()
     cells, n = seats["cell"].to_numpy(), seats["n"].to_numpy()
     order = np.argsort(cells)
     cells, n = cells[order], n[order]
     return cells[cells >= 0], n[cells >= 0], int(n[cells < 0].sum())
 
 
+def sweep(types: DataFrame, alone: tuple[np.ndarray, np.ndarray, int], state: State, settings: Settings, discount: float, seed: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Seats all words; cells and customers of the spelling restaurants, and the number of tables. ``alone``: those of the words
+    with one customer, who has one table in every sweep."""
+    sent = types.sparkSession.sparkContext.broadcast(state)
+    cells, n, tables = summed_cells(
+        types.where("customers > 1"),
+        lambda batch, spelled: word_tables(batch, spelled.base(sent.value.spelling), sent.value, settings, discount, seed),
+    )
+    keys, of = np.unique(np.concatenate([cells, alone[0]]), return_inverse=True)
+    return keys, np.bincount(of, weights=np.concatenate([n, alone[1]]), minlength=len(keys)).astype(np.int64), tables + alone[2]
+
+
 def word_scores(types: DataFrame, tokens: int, settings: Settings) -> DataFrame:
-    """h, n, score: log10 of each word's probability, averaged over the sampled seatings. ``types``: h, word, n and, unless they are
+    """h, n, score: log10 of each word's probability, averaged over the sampled seatings, and any further columns. ``types``: h, word, n and, unless they are
     n, customers; ``tokens``: all customers."""
     if "customers" not in types.columns:
         types = types.withColumn("customers", F.col("n"))
@@ -341,108 +656,161 @@ def word_scores(types: DataFrame, tokens: int, settings: Settings) -> DataFrame:
 
 
 def known_scores(types: DataFrame, tokens: int, settings: Settings) -> DataFrame:
-    """h, n, score of the words that training texts have (null for others), and per batch a row without h: the sum of its
+    """h, n, score of the words that training texts have (null for others) and further columns, and per batch a row without h: the sum of its
     probabilities."""
     kinds = types.agg(F.sum(F.when(F.col("customers") == 1, 1)).alias("once"), F.sum(F.when(F.col("customers") == 2, 1)).alias("twice"), F.sum(F.when(F.col("customers") > 0, 1)).alias("all")).first()
     once, twice = kinds["once"] or 0, kinds["twice"] or 0
     discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
     state, states = State(float(kinds["all"] or 0), UNIFORM), []
+    alone = summed_cells(types.where("customers = 1"), lambda batch, _: np.ones(batch.num_rows, np.int64)) if tokens else None
     for turn in range(settings.burn_in + settings.samples if tokens else 0):
-        cells, n, tables = sweep(types, state, settings, discount, turn)
+        cells, n, tables = sweep(types, alone, state, settings, discount, turn)
         state = State(float(tables), seated_spelling(cells, n, state.spelling, settings, turn))
         if turn >= settings.burn_in:
             states.append(state)
     sent = types.sparkSession.sparkContext.broadcast(states or [state])
+    further = [x for x in types.schema.fields if x.name not in ("h", "word", "n", "customers")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "n", "score", *(x.name for x in further)]
         for whole in batches:
             for start in range(0, whole.num_rows, 65_536):
                 batch = whole.slice(start, 65_536)
                 seen = batch.column("n").to_numpy() > 0
+                customers = batch.column("customers").to_numpy()
+                spelled = Spelled.words(batch)
                 mean = np.zeros(batch.num_rows)
                 for k, one in enumerate(sent.value):
-                    tables, base, _, _, customers = seating(batch, one, settings, discount, 1000 + k)
+                    base = spelled.base(one.spelling)
+                    tables = word_tables(batch, base, one, settings, discount, 1000 + k)
                     mean += (customers - discount * tables + (settings.strength + discount * one.tables) * base) / (settings.strength + tokens)
                 mean /= len(sent.value)
                 score = pa.array(np.log10(np.maximum(mean, 1e-300)), mask=~seen)
-                yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), score], names=["h", "n", "score"])
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([mean[seen].sum()])], names=["h", "n", "score"])
+                own = [batch.column(x.name) for x in further]
+                yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), score, *own], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([mean[seen].sum()]), *(pa.nulls(1, x.type) for x in own)], names=names)
 
-    return types.mapInArrow(run, "h bigint, n bigint, score double")
+    return types.mapInArrow(run, "h bigint, n bigint, score double" + "".join(f", {x.name} {x.dataType.simpleString()}" for x in further))
 
 
-def text_scores(docs: DataFrame, scores: DataFrame, pairs: DataFrame, tokens: int, distinct: int, settings: Settings) -> DataFrame:
-    """row, id, held_out and sums over the tokens of each text. ``docs``: row, id, held_out, text."""
-    base = lambda n: F.log10((n + 1) / F.lit(float(tokens + distinct + 1)))
-    hot = scores.orderBy(F.desc("n"), "h").limit(settings.hot_words).toArrow()  # bounded by the settings, as are the pairs
-    order = np.argsort(hot["h"].to_numpy().view(np.uint64))
-    hot_words = [hot["h"].to_numpy().view(np.uint64)[order], *(hot[c].to_numpy()[order] for c in ("n", "p", "back"))]
-    hot = pairs.orderBy(F.desc("c"), "u", "w").limit(settings.hot_pairs).toArrow()
-    keys = pair_keys(hot["u"].to_numpy().view(np.uint64), hot["w"].to_numpy().view(np.uint64))
+def text_scores(docs: DataFrame, seating: Seating, hot: Hot, everything: int, distinct: int, settings: Settings) -> DataFrame:
+    """id, held_out and sums over the tokens of each text. ``docs``: row, id, held_out, text.
+
+    Chunks of texts ask for their pairs and for their words without a rank, by packed lists dealt to buckets; a bucket counts which pairs
+    training texts have once, looks up the others, and answers each list in its order. Then texts and answers meet by chunk.
+    """
+    spark, buckets = docs.sparkSession, bucket_number(docs.sparkSession, everything)
+    size = len(hot.hashes)
+    by_n = seating.more.orderBy(F.desc("n"), "us", "uc", "ws", "wc").limit(settings.hot_pairs).toArrow()  # bounded by the settings
+    plain = [hot.plain(by_n[f"{x}s"].to_numpy(), by_n[f"{x}c"].fill_null(0).to_numpy().view(np.uint64)) for x in ("u", "w")]
+    keys = pair_keys(*plain)
     order = np.argsort(keys)
-    sent = docs.sparkSession.sparkContext.broadcast((hot_words, [keys[order], hot["p"].to_numpy()[order], hot["n"].to_numpy()[order]]))
-    names = ["n_tokens", "n_known", "base_score", "score", "own", "open"]
-    look = ["uk", "wk", "back", "p", "n"]
+    sent = spark.sparkContext.broadcast((hot, by_rank(seating.words, size, "n", "p", "tables"), [keys[order], by_n["n"].to_numpy()[order], by_n["t"].to_numpy()[order]]))
+    d, s = seating.discount, settings.pair_strength
 
     def place(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
         return at, known[at] == keys if len(known) else np.zeros(len(keys), bool)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, n, p, back), (known_pairs, pair_p, pair_n) = sent.value
+    def asked(texts: pa.ChunkedArray) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray, Entries]:
+        """Tokens; which pairs are known here, and where; the words without a rank; the pairs and words to be asked for."""
+        tokens = Tokens.of(texts, sent.value[0])
+        at, here = place(sent.value[2][0], tokens.keys)
+        cold = np.flatnonzero(tokens.coded[0] < 0)
+        return tokens, here, at, cold, tokens.entries(np.flatnonzero(~here), cold, size, buckets)
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, chunk in chunks(batches):
+            held = chunk["held_out"].to_numpy(zero_copy_only=False).astype(bool)
+            tokens, here, _, cold, some = asked(chunk["text"])
+            train = np.bincount(tokens.pair, weights=~held[tokens.row], minlength=len(tokens.keys)) > 0
+            dealt = list(some.dealt(np.concatenate([train[~here], np.zeros(len(cold), bool)])[some.order].astype(np.uint8)))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in dealt], pa.int32()), pa.array([number] * len(dealt), pa.int64()), pa.array([x for _, x in dealt], pa.binary())], names=["bucket", "chunk", "data"])
+
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (us, uc, ws, wc, n, t, p), dealt to buckets."""
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            held.clear()
+            u, w = (sent.value[0].plain(rows[f"{x}s"].to_numpy(), rows[f"{x}c"].fill_null(0).to_numpy().view(np.uint64)) for x in ("u", "w"))
+            some = Entries.of(u, w, pair_keys(u, w), sent.value[0], buckets)
+            dealt = list(some.dealt(*(rows[c].to_numpy()[some.order] for c in ("n", "t", "p"))))
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in dealt], pa.int32()), pa.nulls(len(dealt), pa.int64()), pa.array([x for _, x in dealt], pa.binary())], names=["bucket", "chunk", "data"])
+
         for batch in batches:
-            for piece in pieces(batch.column("text")):
-                part, size = batch.slice(piece.rows.start, len(piece)), len(piece)
-                row, hashes, before = in_order(words(piece, lower=True), size)
-                own, free = text_restaurants(row, hashes, size, settings)
-                at, hit = place(known_pairs, pair_keys(before, hashes))
-                at, here = at[hit], row[hit]
-                logs, bases = np.log10(own[hit] + free[hit] * pair_p[at]), np.log10((pair_n[at] + 1) / (tokens + distinct + 1.0))
-                sums = [np.bincount(here, weights=w, minlength=size).astype(np.float64) for w in (np.ones(len(at)), bases, logs)]
-                # the head of a text goes by the row number, a hash that no word has but by chance; it opens no word (open = 0)
-                zeros = np.zeros(size)
-                heads = [np.bincount(row, minlength=size), sums[0].astype(np.int64), sums[1], sums[2], zeros, zeros]
-                none = [pa.nulls(size, k) for k in (pa.float64(), pa.float64(), pa.int64())]
-                columns = [*(part.column(c) for c in ("row", "id", "held_out", "row", "row")), *map(pa.array, heads), part.column("row"), part.column("row"), *none]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "held_out", "u", "w", *names, *look])
-                rest = ~hit
-                if count := int(rest.sum()):
-                    u, w, of = before[rest], hashes[rest], part.column("row").take(pa.array(row[rest]))
-                    none, zeros = [pa.nulls(count, part.column(c).type) for c in ("id", "held_out")], np.zeros(count)
-                    (u_at, u_hot), (w_at, w_hot) = place(known, u), place(known, w)
-                    number = of.to_numpy()  # what is known here needs no join: its key is the row number
-                    seen = [np.where(u_hot, number, u.view(np.int64)), np.where(w_hot, number, w.view(np.int64))]
-                    values = [pa.array(x[i] if len(x) else np.zeros(count, x.dtype), mask=~h) for x, i, h in ((back, u_at, u_hot), (p, w_at, w_hot), (n, w_at, w_hot))]
-                    sums = [zeros.astype(np.int64), zeros.astype(np.int64), zeros, zeros, own[rest], free[rest]]
-                    columns = [of, *none, *map(pa.array, (u.view(np.int64), w.view(np.int64), *sums, *seen)), *values]
-                    yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "held_out", "u", "w", *names, *look])
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= DEALT_ROWS:
+                yield flush()
+        if held:
+            yield flush()
 
+    def answered(rows: pa.Table) -> pa.Table:
+        told = [undealt(x.as_py(), sent.value[0], np.int64, np.int64, np.float64) for x in rows.filter(rows["chunk"].is_null())["data"]]
+        known, n, t, p = (np.concatenate(x) for x in zip(*((pair_keys(u, w), *more) for u, w, *more in told), strict=True)) if told else (np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.float64))
+        order = np.argsort(known)
+        known, n, t, p = known[order], n[order], t[order], p[order]
+        asks = rows.filter(rows["chunk"].is_valid())
+        lists = [(u == ALONE, pair_keys(u, w), train > 0) for u, w, train in (undealt(x.as_py(), sent.value[0], np.uint8) for x in asks["data"])]
+        seen = np.unique(np.concatenate([np.zeros(0, np.uint64), *(keys[train] for _, keys, train in lists)]))
+        found = []
+        for alone, keys, _ in lists:
+            at, hit = place(known, keys)
+            once = place(seen, keys)[1].astype(np.int64)
+            some = [np.where(hit, x[at], once) if len(x) else once for x in (n, t)]
+            found.append(packed(keys.sum(keepdims=True), *some, p[at[alone]] if len(p) else np.zeros(0)))
+        return pa.table({"chunk": asks["chunk"].cast(pa.int64()), "bucket": asks["bucket"].cast(pa.int32()), "data": pa.array(found, pa.binary())})
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, chunk in chunks(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, chunk.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(chunk.combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.nulls(1, pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "bucket", "data"])
+
+    def scored(rows: pa.Table) -> pa.Table:
+        chunk = pa.ipc.open_stream(rows.filter(rows["bucket"].is_null())["data"][0].as_py()).read_all()
+        tokens, here, at, cold, some = asked(chunk["text"])
+        n, t, p = np.zeros(len(some.keys), np.int64), np.zeros(len(some.keys), np.int64), np.zeros(len(some.keys))
+        answers = rows.filter(rows["bucket"].is_valid())
+        asks = np.flatnonzero(np.diff(some.bounds))
+        if sorted(answers["bucket"].to_pylist()) != asks.tolist():
+            raise ValueError("the texts of a chunk were not read twice in the same order")
+        to, pairs = some.order, len(some.keys) - len(cold)
+        for k, data in zip(answers["bucket"].to_pylist(), answers["data"], strict=True):
+            part = slice(some.bounds[k], some.bounds[k + 1])
+            check, some_n, some_t, some_p = unpacked(data.as_py(), np.uint64, np.int64, np.int64, np.float64)
+            if check[0] != some.keys[part].sum():
+                raise ValueError("the texts of a chunk were not read twice in the same order")
+            n[to[part]], t[to[part]] = some_n, some_t
+            p[to[part][to[part] >= pairs]] = some_p
+        _, ranked_words, (_, pair_n, pair_t) = sent.value
+        c, seats = np.empty(len(here), np.int64), np.empty(len(here), np.int64)
+        for all_of, asked_for, known in ((c, n, pair_n), (seats, t, pair_t)):
+            all_of[~here], all_of[here] = asked_for[:pairs], known[at[here]]
+        ranks = tokens.coded[0]
+        word_n, word_p, word_tables = (np.empty(len(ranks), x.dtype) for x in (n, p, t))
+        for values, asked_for, known in zip((word_n, word_p, word_tables), (n, p, t), ranked_words, strict=True):
+            values[ranks >= 0], values[cold] = known[ranks[ranks >= 0]], asked_for[pairs:]
+        total = s + word_n
+        after = np.where(c > 0, c - d * seats, 0.0) / total[tokens.u] + ((s + d * word_tables) / total)[tokens.u] * word_p[tokens.w]
+        row = tokens.row
+        own, free = text_restaurants(row, tokens.word.astype(np.uint64), len(chunk), settings)
+        base = np.log10((word_n + 1) / (everything + distinct + 1.0))
+        sums = [np.bincount(row, weights=x, minlength=len(chunk)) for x in ((word_n > 0)[tokens.word], base[tokens.word], np.log10(own + free * after[tokens.pair]))]
+        columns = [chunk["id"], chunk["held_out"], pa.array(np.bincount(row, minlength=len(chunk))), pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:])]
+        return pa.table(columns, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    columns = ["us", "uc", "ws", "wc", "n", "t", "p"]
+    marked = seating.words.where("s < 0").select(F.lit(-1).alias("us"), F.lit(int(ALONE)).cast("bigint").alias("uc"), F.col("s").alias("ws"), F.col("c").alias("wc"), "n", F.col("tables").alias("t"), "p")
+    known = seating.more.withColumn("p", F.lit(0.0)).select(*columns).unionByName(marked)
+    shape = "bucket int, chunk bigint, data binary"
+    asks = docs.select("row", "held_out", "text").mapInArrow(asking, shape).unionByName(known.mapInArrow(telling, shape))
+    answers = asks.groupBy("bucket").applyInArrow(answered, "chunk bigint, bucket int, data binary")
+    whole = docs.mapInArrow(texts, "chunk bigint, bucket int, data binary").unionByName(answers)
     kind = docs.schema["id"].dataType.simpleString()
-    schema = (
-        f"row bigint, id {kind}, held_out boolean, u bigint, w bigint, n_tokens bigint, n_known bigint, base_score double, score double, own double, open double,"
-        " uk bigint, wk bigint, back double, p double, n bigint"
-    )
-    scored = pairs.select("u", "w", F.col("p").alias("_pair_p"), F.col("n").alias("_pair_n"))
-
-    def summed(rows: DataFrame, p: Column, n: Column) -> DataFrame:
-        word = F.col("open") > 0
-        return rows.groupBy("row").agg(
-            F.max("id").alias("id"),
-            F.max("held_out").alias("held_out"),
-            F.sum("n_tokens").alias("n_tokens"),
-            F.sum(F.col("n_known") + F.when(word & (n > 0), 1).otherwise(0)).alias("n_known"),
-            F.sum(F.col("base_score") + F.when(word, base(n)).otherwise(0.0)).alias("base_score"),
-            F.sum(F.col("score") + F.when(word, F.log10(F.col("own") + F.col("open") * p)).otherwise(0.0)).alias("score"),
-        )
-
-    made = lambda which: docs.where(which).select("row", "id", "held_out", "text").mapInArrow(run, schema)
-    # every pair of a training text is known; only those of held-out texts may go back to the word
-    trained = summed(made("NOT held_out").drop(*look).join(scored, ["u", "w"], "left"), F.col("_pair_p"), F.col("_pair_n"))
-    backs = scores.select(F.col("h").alias("uk"), F.col("back").alias("_back"))
-    singles = scores.select(F.col("h").alias("wk"), F.col("p").alias("_p"), F.col("n").alias("_n"))
-    held = made("held_out").join(scored, ["u", "w"], "left").join(singles, "wk", "left").join(backs, "uk", "left")
-    lower = F.coalesce("back", "_back", F.lit(1.0)) * F.coalesce("p", "_p")
-    return trained.unionByName(summed(held, F.coalesce(F.col("_pair_p"), lower), F.coalesce("_pair_n", "n", "_n")))
+    return whole.groupBy("chunk").applyInArrow(scored, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
 def text_restaurants(row: np.ndarray, hashes: np.ndarray, n_rows: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -470,7 +838,8 @@ def score_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     types = stored(word_counts(rows.select("text", (~F.col("held_out")).alias("train"))), "lm-types")
     total = types.agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("n") > 0, 1)).alias("distinct")).first()
     tokens, distinct = total["tokens"] or 0, total["distinct"] or 0
-    pairs = stored(pair_counts(rows.where("NOT held_out").select("text")), "lm-pairs")
-    scores, pairs = pair_scores(types, pairs, settings)
-    found = text_scores(rows, scores, pairs, tokens, distinct, settings)
+    hot = hot_words(types, settings)
+    seating = seated_words(types, pair_counts(rows.where("NOT held_out").select("text"), hot, tokens), hot, settings)
+    dropped(types)
+    found = text_scores(rows, seating, hot, tokens, distinct, settings)
     return found.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldtally.session import scratch_dir
+from fieldtally.session import scratch_dir, scratch_root
+from fieldtally.sources.storage import remove
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,16 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def dropped(*frames: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for these frames, or for those that they read; other folders stay."""
+    for frame in frames:
+        spark = frame.sparkSession
+        root = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+        root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
+        folders = {spark._jvm.org.apache.hadoop.fs.Path(file).getParent() for file in frame.inputFiles()}
+        remove(spark, sorted({where.toString() for where in folders if where.getParent().toString() == root}))
+
+
 def running_sums(frame: DataFrame, group: list[str], order: list[str], bucket: Column, value: Column, into: str) -> DataFrame:
     """Adds ``into``: the sum of ``value`` over the earlier rows of the row's group.
 
