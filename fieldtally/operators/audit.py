@@ -13,7 +13,7 @@ from fieldtally import schemas as M
 from fieldtally.functions import scalars as S
 from fieldtally.functions.predicates import Checks, first_failed, message_checks, valid_coords
 from fieldtally.operators.derive import first_reward, quest_labels
-from fieldtally.sources.payloads import SHAPES, family_of, messages, parsed_once
+from fieldtally.sources.payloads import SHAPES, family_of, may_be_object, messages, parsed_once
 
 FAMILIES = tuple(family for family, _ in M.MESSAGES.values())
 
@@ -43,7 +43,8 @@ def _told(rows: DataFrame, family: str) -> DataFrame:
     if family == "quests":
         shaped = quest_labels(first_reward(shaped))
     told = F.struct(refused.alias("message"), first_failed(fact_checks(family)).alias("fact"))
-    return shaped.select("audit_row.*", F.when(F.col("audit_row.family") == family, told).alias(f"r_{family}"))
+    own = F.when(F.col("audit_row.family") == family, told)
+    return parsed_once(shaped, **{f"r_{family}": own}).select("audit_row.*", f"r_{family}").drop(f"m_{family}", *keys)
 
 
 def audited(payloads: DataFrame) -> DataFrame:
@@ -57,10 +58,11 @@ def audited(payloads: DataFrame) -> DataFrame:
     rows = parsed_once(payloads.withColumn("family", family_of(kind)), **messages(kind), keys=F.when(kind == "quest", F.json_object_keys("message")))
     for family in FAMILIES:
         rows = _told(rows, family)
-    rows = parsed_once(rows.drop("keys", *[f"m_{family}" for family in FAMILIES]), told=F.coalesce(*[F.col(f"r_{family}") for family in FAMILIES]))
+    rows = parsed_once(rows, told=F.coalesce(*[F.col(f"r_{family}") for family in FAMILIES]))
     told = F.col("told")
     refused = (
         F.when(F.col("family").isNull(), "unknown_type").when(F.col("message").isNull(), "no_message")
+        .when(~may_be_object(F.col("message")), "unreadable")
         .when(told["message"].isNotNull() & F.json_object_keys("message").isNull(), "unreadable").otherwise(told["message"])
     )
     rows = rows.select(*payloads.columns, "family", refused.alias("refused"), told["fact"].alias("fact"))

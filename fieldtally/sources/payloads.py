@@ -165,9 +165,15 @@ def family_of(kind: Column) -> Column:
     return F.coalesce(*[F.when(kind == k, F.lit(family)) for k, (family, _) in M.MESSAGES.items()])
 
 
+def may_be_object(message: Column) -> Column:
+    """False for a text that can't hold a JSON object, as it has no closing brace: telling this costs far less than a parse that fails."""
+    return message.contains("}")
+
+
 def messages(kind: Column) -> dict[str, Column]:
     """``m_<family>`` for each family: the parsed message in the column of its own, null in the others."""
-    return {f"m_{family}": F.from_json(F.when(kind == k, F.col("message")), schema) for k, (family, schema) in M.MESSAGES.items()}
+    text = F.col("message")
+    return {f"m_{family}": F.from_json(F.when((kind == k) & may_be_object(text), text), schema) for k, (family, schema) in M.MESSAGES.items()}
 
 
 def wide_payloads(payloads: DataFrame) -> DataFrame:
