@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import replace
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from checks.base import END, NOW, START, Frames, query, window
 from checks.payload_files import audit_payloads, half_of, write_payloads
@@ -50,19 +52,35 @@ def a2(f: Frames) -> DataFrame:
     return f.spark.read.parquet(out).groupBy("type").agg(F.count("*").alias("n"))
 
 
+#: streams that flush a buffer side by side
+LANES = 8
+
+
 @query("K2_flush_by_rows", _TYPE_COUNTS)
 def k2_flush_by_rows(f: Frames) -> DataFrame:
-    """A stream whose micro-batches hold at most so many payloads; ``stream_facts`` takes it as it takes the other."""
-    buffer, out = scratch_dir(f.spark, "buffer"), scratch_dir(f.spark, "by-rows")
+    """Streams whose micro-batches hold at most so many payloads; ``stream_facts`` takes one as it takes the other. There are many
+    micro-batches, each of one task, so that lanes of the buffer are flushed side by side."""
+    buffer, out, mark = (scratch_dir(f.spark, label) for label in ("buffer", "by-rows", "by-rows-mark"))
     payloads = write_payloads(f)
     arriving = stream_payloads(f.spark, payloads, max_files=half_of(f, payloads))
     buffer_rows(arriving, buffer, scratch_dir(f.spark, "buffer-mark"), 25_000).awaitTermination()
     remove(f.spark, [payloads])
-    flushed = stream_buffered(f.spark, buffer).select("type", "message").writeStream.format("parquet").option("path", out)
-    flushed = flushed.option("compression", "zstd").option("checkpointLocation", scratch_dir(f.spark, "by-rows-mark"))
-    flushed.trigger(availableNow=True).start().awaitTermination()
+
+    def flush(lane: int) -> StreamingQuery:
+        rows = stream_buffered(f.spark, buffer, lane=lane, lanes=LANES).select("type", "message")
+        flushed = rows.writeStream.format("parquet").option("path", f"{out}/{lane}").option("compression", "zstd")
+        return flushed.option("checkpointLocation", f"{mark}/{lane}").trigger(availableNow=True).start()
+
+    flushes = [flush(lane) for lane in range(LANES)]
+    try:
+        for running in flushes:
+            running.awaitTermination()
+    finally:
+        for running in flushes:
+            running.stop()
     remove(f.spark, [buffer])
-    return f.spark.read.parquet(out).groupBy("type").agg(F.count("*").alias("n"))
+    rows = [ST.read_table(f.spark, f"{out}/{lane}", "type string, message string") for lane in range(LANES)]
+    return reduce(DataFrame.unionByName, rows).groupBy("type").agg(F.count("*").alias("n"))
 
 
 _ROUTED = {

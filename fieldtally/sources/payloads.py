@@ -60,13 +60,29 @@ def buffer_rows(stream: DataFrame, path: str, checkpoint: str, rows: int, every:
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def stream_buffered(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+#: where in the name of a buffer's file (``part-00000-<uuid>``) a random digit stands, and its values
+_DIGIT_AT, _DIGITS = 11, "0123456789abcdef"
+
+
+def _lane_names(lane: int, lanes: int) -> str:
+    """Names of the files of a lane as a glob. Lane 0 has all names that no other has, so that any name is in one lane."""
+    start, others = "?" * _DIGIT_AT, "".join(_DIGITS[n::lanes] for n in range(1, lanes))
+    if lane:
+        return f"{start}[{_DIGITS[lane::lanes]}]*"
+    return "{" + ",".join("?" * n for n in range(1, _DIGIT_AT + 1)) + f",{start}[!{others}]*" + "}"
+
+
+def stream_buffered(spark: SparkSession, path: str, max_files: int = 1, lane: int = 0, lanes: int = 1) -> DataFrame:
     """The payloads of :func:`buffer_rows`; a micro-batch has at most ``max_files`` times the rows of a file.
 
     Files come in the order in which they were written. Those that tasks write side by side have no order among each other, so
-    which row of a key is first depends on it, as on any other chunking.
+    which row of a key is first depends on it, as on any other chunking. With ``lanes`` (16 at most) each file belongs to one lane,
+    told by its name; the lanes can be flushed side by side, and then only files of the same lane are in order.
     """
-    return spark.readStream.schema(BUFFERED).option("maxFilesPerTrigger", max_files).parquet(path)
+    if not 0 <= lane < lanes <= len(_DIGITS):
+        raise ValueError(f"lane must be below lanes, and these at most {len(_DIGITS)}")
+    reader = spark.readStream.schema(BUFFERED).option("maxFilesPerTrigger", max_files)
+    return (reader if lanes == 1 else reader.option("pathGlobFilter", _lane_names(lane, lanes))).parquet(path)
 
 
 def parsed_once(payloads: DataFrame, **parsed: Column) -> DataFrame:
