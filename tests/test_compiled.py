@@ -7,6 +7,7 @@ from checks import payload_files as P
 from checks.base import Frames
 from fieldtally.functions import scalars as S
 from fieldtally.operators import audit as A
+from fieldtally.sources.payloads import may_be_object
 
 #: bytes of a method above which the JVM does not compile it
 HUGE = 8000
@@ -54,3 +55,19 @@ def test_flags_of_json_booleans_need_no_failing_cast(spark):
     assert [r[0] for r in rows.select(S.text_flag(F.col("x"))).collect()] == [1, 1, 0, 0, 1, 0, 1, 1, 0, 0, 0, 0, 0]
     told = rows.where("lower(btrim(x)) = 'false'").select(S.text_flag(F.col("x")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
     assert told.index("= false") < told.index("try_cast")
+
+
+def test_texts_without_a_closing_brace_are_not_parsed(spark):
+    """They have the outcome that a failed parse has."""
+    texts = ['{"gym_id":"g"', "cut", "", " ", "[1]", '{"a":1} x', '{"a":1}', "}", "[{}]", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "message string")
+    told = rows.select(may_be_object(F.col("message")).alias("may"), F.json_object_keys("message").isNotNull().alias("is")).collect()
+    assert [r["may"] for r in told] == [False] * 5 + [True] * 4 + [None]
+    assert not [r for r in told if r["is"] and not r["may"]]
+    payloads = rows.selectExpr("'raid' AS type", "message")
+    assert [r["reason"] for r in A.audited(payloads).collect()] == ["unreadable"] * 5 + ["missing:gym"] * 2 + ["unreadable"] * 2 + ["no_message"]
+
+
+def test_edges_of_areas_are_not_copied_into_events(frames):
+    events = frames.index.contained_in(frames.raw("sightings"), "lat", "lon", first_only=True)
+    assert events.schema["hit"].dataType.names == ["area_id", "area", "offset_hours"]
